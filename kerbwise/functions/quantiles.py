@@ -15,7 +15,7 @@ def value_counts(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     Nulls are left out by counting, not by a filter on ``value``: a filter would be
     pushed below the cleaning steps with the whole expression of the value inlined.
     """
-    return df.groupBy(*keys, value).agg(F.count(value).alias("n")).filter(F.col("n") > 0)
+    return df.groupBy(*keys, value).agg(F.count(value).alias("freq")).filter(F.col("freq") > 0)
 
 
 def exact_quantile(
@@ -26,7 +26,7 @@ def exact_quantile(
     name: str,
     coarse_width: int | None = None,
 ) -> DataFrame:
-    """Linear-interpolation quantile per group from ``(keys, value, n)`` rows.
+    """Linear-interpolation quantile per group from ``(keys, value, freq)`` rows.
 
     With ``coarse_width`` the ranks are first located in buckets of that width and
     only the values inside the bucket that holds the rank are ordered. Use it where
@@ -39,7 +39,7 @@ def exact_quantile(
         ranked = _ranks(counts, keys, [value], F.lit(0).cast("long"), q)
     else:
         bucketed = counts.withColumn("_b", F.floor(F.col(value) / F.lit(coarse_width)))
-        buckets = bucketed.groupBy(*keys, "_b").agg(F.sum("n").alias("n"))
+        buckets = bucketed.groupBy(*keys, "_b").agg(F.sum("freq").alias("freq"))
         holders = _ranks(buckets, keys, ["_b"], F.lit(0).cast("long"), q)
         holders = holders.filter(F.col("_has_lo") | F.col("_has_hi")).select(
             *[F.col(k).alias(f"_h_{k}") for k in keys], F.col("_b").alias("_hb"), "_start", "_total"
@@ -65,10 +65,10 @@ def _ranks(
     running = group.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ranked = df.withColumns(
         {
-            "_end": F.sum("n").over(running) + start,
-            "_total": F.sum("n").over(group) if total is None else total,
+            "_end": F.sum("freq").over(running) + start,
+            "_total": F.sum("freq").over(group) if total is None else total,
         }
-    ).withColumn("_start", F.col("_end") - F.col("n"))
+    ).withColumn("_start", F.col("_end") - F.col("freq"))
     position = F.lit(q) * (F.col("_total") - 1)
 
     def holds(rank: Column) -> Column:

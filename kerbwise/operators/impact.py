@@ -67,7 +67,7 @@ def clearance_medians(counts: DataFrame) -> DataFrame:
         .select(F.explode(levels).alias("k"), "dur_trust_us", "n")
         .select("k.*", "dur_trust_us", "n")
         .groupBy("level", *LEVEL_KEYS[0], "dur_trust_us")
-        .agg(F.sum("n").alias("n"))
+        .agg(F.sum("n").alias("freq"))
     )
     medians = exact_quantile(
         rolled, ["level", *LEVEL_KEYS[0]], "dur_trust_us", 0.5, "med_us", coarse_width=US_PER_MIN

@@ -37,26 +37,29 @@ def stream_enrich(raw: DataFrame, medians: DataFrame, criticality: DataFrame) ->
 
 
 def windowed_bursts(incidents: DataFrame) -> DataFrame:
-    """Gathering alarm per sliding window and square of the burst radius.
+    """Gathering alarm per sliding window and square, two radii wide.
 
-    Works on a stream and on a table. Counts are kept per cause first and per square
-    second, so the state holds numbers only. A square approximates the exact circle
-    around each incident that the batch operator uses.
+    Works on a stream and on a table. Squares overlap by one radius: an incident
+    counts in its own step of the grid and in the steps below and to the left. Counts
+    are kept per cause first and per square second, so the state holds numbers only.
+    A square approximates the exact circle of the batch operator.
     """
     height, width = bucket_degrees(S.BURST_KM)
+    steps = F.explode(F.array(*[F.struct(F.lit(y).alias("y"), F.lit(x).alias("x")) for y in (0, 1) for x in (0, 1)]))
     per_cause = (
         incidents.filter(F.col("t_event").isNotNull())
         .withWatermark("t_event", WATERMARK)
+        .withColumn("step", steps)
         .withColumns(
             {
-                "by": F.floor(F.col("lat") / F.lit(height)),
-                "bx": F.floor(F.col("lon") / F.lit(width)),
+                "sq_y": F.floor(F.col("lat") / F.lit(height)) - F.col("step.y"),
+                "sq_x": F.floor(F.col("lon") / F.lit(width)) - F.col("step.x"),
             }
         )
-        .groupBy(F.window("t_event", WINDOW, SLIDE), "by", "bx", "cause")
+        .groupBy(F.window("t_event", WINDOW, SLIDE), "sq_y", "sq_x", "cause")
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    per_square = per_cause.groupBy("window", "by", "bx").agg(
+    per_square = per_cause.groupBy("window", "sq_y", "sq_x").agg(
         F.sum("n").alias("size"),
         F.count(F.lit(1)).alias("mix"),
         F.max("n").alias("dom_n"),
@@ -66,7 +69,7 @@ def windowed_bursts(incidents: DataFrame) -> DataFrame:
     return per_square.filter(is_burst()).select(
         F.date_format("window.start", "yyyy-MM-dd HH:mm").alias("window_start"),
         F.date_format("window.end", "yyyy-MM-dd HH:mm").alias("window_end"),
-        "by", "bx", "size", "mix", "dom_cause",
+        "sq_y", "sq_x", "size", "mix", "dom_cause",
     )
 
 
