@@ -11,7 +11,7 @@ from kerbwise.operators.neighbours import PLACE_TIME, following, place_time_coun
 
 
 def cause_neighbours(enriched: DataFrame) -> DataFrame:
-    """Neighbour counts per anchor place and time and per cause: ``(t_us, lat, lon, cause, n)``."""
+    """Neighbour counts per anchor place and time and per cause: ``(t_s, lat, lon, cause, n)``."""
     counts = place_time_counts(enriched, "cause")
     anchors = counts.select(*PLACE_TIME).distinct()
     found = following(anchors, counts, S.BURST_KM, S.PAIR_WINDOW_SEC)
@@ -34,7 +34,7 @@ def neighbourhoods(enriched: DataFrame) -> DataFrame:
 
 
 def with_place_time(enriched: DataFrame) -> DataFrame:
-    return enriched.filter(F.col("t_event").isNotNull()).withColumn("t_us", F.unix_micros("t_event"))
+    return enriched.filter(F.col("t_event").isNotNull()).withColumn("t_s", F.unix_seconds("t_event"))
 
 
 def burst_neighbours(enriched: DataFrame) -> DataFrame:
@@ -57,7 +57,7 @@ def burst_score(enriched: DataFrame) -> DataFrame:
         with_place_time(enriched)
         .join(flagged, PLACE_TIME)
         .select(
-            "id", "t_event", "t_us", "lat", "lon", "date", "corridor", "description",
+            "id", "t_event", "t_s", "lat", "lon", "date", "corridor", "description",
             "size", "mix", "dom_cause", round_half_even(F.col("dom_n") / F.col("size"), 4).alias("dom_share"),
         )
     )
@@ -65,8 +65,8 @@ def burst_score(enriched: DataFrame) -> DataFrame:
 
 def burst_dedup(scored: DataFrame, top: int = 8) -> DataFrame:
     """The largest burst per (place to 2 decimals, date); the largest few overall."""
-    order = F.struct(-F.col("size"), F.col("t_us"), F.col("id"))
-    report = F.struct("id", "t_event", "t_us", "lat", "lon", "corridor", "description", "size", "mix", "dom_cause")
+    order = F.struct(-F.col("size"), F.col("t_s"), F.col("id"))
+    report = F.struct("id", "t_event", "t_s", "lat", "lon", "corridor", "description", "size", "mix", "dom_cause")
     best = (
         scored.groupBy(
             round_half_even(F.col("lat"), 2).alias("lat2"), round_half_even(F.col("lon"), 2).alias("lon2"), "date"
@@ -75,7 +75,7 @@ def burst_dedup(scored: DataFrame, top: int = 8) -> DataFrame:
         .select("r.*")
     )
     return (
-        best.orderBy(F.desc("size"), "t_us", "id")
+        best.orderBy(F.desc("size"), "t_s", "id")
         .limit(top)
         .select(
             "id",

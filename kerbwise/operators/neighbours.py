@@ -8,18 +8,20 @@ from pyspark.sql import functions as F
 from kerbwise import settings as S
 from kerbwise.functions.geo import bucket_degrees, haversine_km
 
-PLACE_TIME = ["t_us", "lat", "lon"]
+PLACE_TIME = ["t_s", "lat", "lon"]
 
 
 def place_time_counts(df: DataFrame, label: str) -> DataFrame:
-    """Incidents counted per (time, place, label).
+    """Incidents counted per (second, place, label).
 
     Copies of one incident, however many, become a single row with a weight before
-    anything is joined. Incidents without a time take no part.
+    anything is joined, and a place that holds a large share of the log is reduced to
+    its distinct seconds: at most one row per second of the window and label, whatever
+    the size of the log. Incidents without a time take no part.
     """
     return (
         df.filter(F.col("t_event").isNotNull())
-        .groupBy(F.unix_micros("t_event").alias("t_us"), "lat", "lon", label)
+        .groupBy(F.unix_seconds("t_event").alias("t_s"), "lat", "lon", label)
         .agg(F.count(F.lit(1)).alias("n"))
     )
 
@@ -34,9 +36,9 @@ def following(
 ) -> DataFrame:
     """Join each anchor to the points at most ``seconds`` later and ``km`` away.
 
-    Both sides carry ``t_us``, ``lat``, ``lon``; point columns come back with the
-    prefix ``p_``. Times are compared in whole seconds and a point may not be
-    earlier than its anchor; ``extra`` is a further condition on both sides.
+    Both sides carry ``t_s``, ``lat``, ``lon``; point columns come back with the
+    prefix ``p_``. Times are whole seconds and a point may not be earlier than its
+    anchor; ``extra`` is a further condition on both sides.
 
     Keys are one time bucket (as long as the window) and one square of side ``km``.
     Anchors sit in one bucket; a point is offered to its own and the previous time
@@ -46,13 +48,9 @@ def following(
     adaptive skew handling, which needs no order inside a bucket.
     """
     height, width = bucket_degrees(km, bounds)
-
-    def second(t_us: Column) -> Column:
-        return F.floor(t_us / F.lit(1_000_000))
-
     left = anchors.withColumns(
         {
-            "_bt": F.floor(second(F.col("t_us")) / F.lit(seconds)),
+            "_bt": F.floor(F.col("t_s") / F.lit(seconds)),
             "_by": F.floor(F.col("lat") / F.lit(height)),
             "_bx": F.floor(F.col("lon") / F.lit(width)),
         }
@@ -63,7 +61,7 @@ def following(
         points.select(*[F.col(c).alias(f"p_{c}") for c in points.columns])
         .withColumns(
             {
-                "_pt": F.floor(second(F.col("p_t_us")) / F.lit(seconds)),
+                "_pt": F.floor(F.col("p_t_s") / F.lit(seconds)),
                 "_py": F.floor(F.col("p_lat") / F.lit(height)),
                 "_px": F.floor(F.col("p_lon") / F.lit(width)),
                 "_step": F.explode(around),
@@ -79,8 +77,7 @@ def following(
         .drop("_pt", "_py", "_px", "_step")
     )
     condition = (
-        (F.col("p_t_us") >= F.col("t_us"))
-        & (second(F.col("p_t_us")) - second(F.col("t_us")) <= seconds)
+        F.col("p_t_s").between(F.col("t_s"), F.col("t_s") + seconds)
         & (haversine_km(F.col("lat"), F.col("lon"), F.col("p_lat"), F.col("p_lon")) <= km)
     )
     if extra is not None:

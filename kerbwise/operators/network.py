@@ -38,11 +38,11 @@ def spillover_pairs(incidents: DataFrame) -> DataFrame:
     """Number of follow-on pairs per ordered corridor pair ``(src, dst, count)``.
 
     A pair is an incident and a later one on another corridor within the time
-    window and radius. At equal times the alphabetically smaller corridor is the
+    window and radius. Within one second the alphabetically smaller corridor is the
     source, so each pair counts once and never depends on row order.
     """
     counts = place_time_counts(incidents, "corridor")
-    later = (F.col("p_t_us") > F.col("t_us")) | (F.col("p_corridor") > F.col("corridor"))
+    later = (F.col("p_t_s") > F.col("t_s")) | (F.col("p_corridor") > F.col("corridor"))
     pairs = following(
         counts, counts, S.SPILL_KM, S.PAIR_WINDOW_SEC, (F.col("p_corridor") != F.col("corridor")) & later
     )

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kerbwise import settings as S
@@ -43,11 +42,12 @@ def scan_parquet(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
 def null_tokens(df: DataFrame, tokens: tuple[str, ...] = S.NULL_TOKENS) -> DataFrame:
     """Cells equal to a missing-value token become null, on every text column."""
-    return df.select(
+    listed = ", ".join("'" + token.replace("'", "\\'") + "'" for token in tokens)
+    return df.selectExpr(
         *[
-            F.when(~F.col(f.name).isin(*tokens), F.col(f.name)).alias(f.name)
+            f"CASE WHEN `{f.name}` NOT IN ({listed}) THEN `{f.name}` END AS `{f.name}`"
             if isinstance(f.dataType, T.StringType)
-            else F.col(f.name)
+            else f"`{f.name}`"
             for f in df.schema.fields
         ]
     )
