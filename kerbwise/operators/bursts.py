@@ -7,14 +7,15 @@ from pyspark.sql import functions as F
 
 from kerbwise import settings as S
 from kerbwise.functions.numbers import round_half_even
-from kerbwise.operators.neighbours import PLACE_TIME, following, place_time_counts
+from kerbwise.operators.neighbours import PAIR_LIMIT, PLACE_TIME, following, place_time_counts
+from kerbwise.session import cut
 
 
-def cause_neighbours(enriched: DataFrame) -> DataFrame:
+def cause_neighbours(enriched: DataFrame, pair_limit: int = PAIR_LIMIT) -> DataFrame:
     """Neighbour counts per anchor place and time and per cause: ``(t_s, lat, lon, cause, n)``."""
-    counts = place_time_counts(enriched, "cause")
+    counts = cut(place_time_counts(enriched, "cause"))
     anchors = counts.select(*PLACE_TIME).distinct()
-    found = following(anchors, counts, S.BURST_KM, S.PAIR_WINDOW_SEC)
+    found = following(anchors, counts, "cause", S.BURST_KM, S.PAIR_WINDOW_SEC, pair_limit=pair_limit)
     return found.groupBy(*PLACE_TIME, F.col("p_cause").alias("cause")).agg(F.sum("p_n").alias("n"))
 
 

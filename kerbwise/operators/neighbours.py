@@ -6,9 +6,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kerbwise import settings as S
-from kerbwise.functions.geo import bucket_degrees, haversine_km
+from kerbwise.functions.geo import KM_PER_DEGREE, bucket_degrees, haversine_km
+from kerbwise.session import cut, sized
 
 PLACE_TIME = ["t_s", "lat", "lon"]
+A_BOX = ["bt", "by", "bx"]
+P_BOX = ["p_bt", "p_by", "p_bx"]
+# Row pairs two neighbouring boxes may be joined for before they are halved.
+PAIR_LIMIT = 1_000_000
+# Halving a window of hours and a radius of kilometres this often ends below one
+# second and one metre, where a box holds single places.
+MAX_LEVEL = 13
 
 
 def place_time_counts(df: DataFrame, label: str) -> DataFrame:
@@ -29,57 +37,136 @@ def place_time_counts(df: DataFrame, label: str) -> DataFrame:
 def following(
     anchors: DataFrame,
     points: DataFrame,
+    label: str,
     km: float,
     seconds: int,
-    extra: Column | None = None,
+    tie: Column | None = None,
+    pair_limit: int = PAIR_LIMIT,
     bounds: S.Bounds = S.BOUNDS,
 ) -> DataFrame:
-    """Join each anchor to the points at most ``seconds`` later and ``km`` away.
-
-    Both sides carry ``t_s``, ``lat``, ``lon``; point columns come back with the
-    prefix ``p_``. Times are whole seconds and a point may not be earlier than its
-    anchor; ``extra`` is a further condition on both sides.
-
-    Keys are one time bucket (as long as the window) and one square of side ``km``.
-    Anchors sit in one bucket; a point is offered to its own and the previous time
-    bucket and to the nine squares around it, so a pair meets exactly once. The
-    result is meant to be aggregated at once: the aggregation combines within each
-    join task, so that counts and not pairs are shuffled. A hot bucket is split by
-    adaptive skew handling, which needs no order inside a bucket.
+    """Anchor rows with the number ``p_n`` of points per ``p_<label>`` that follow them
+    within ``seconds`` and ``km``. To be summed by the caller; an anchor and a label
+    may occur on several rows.
+
+    Both sides carry ``t_s``, ``lat``, ``lon``; points also ``label`` and a weight
+    ``n``. A point may not be earlier than its anchor; ``tie`` is a further condition
+    for points of the same second.
+
+    Space-time is cut into boxes as long as the window and as wide as the radius. Two
+    neighbouring boxes with few rows are joined row by row. Where the product of their
+    row counts exceeds ``pair_limit`` both are halved along every side, repeatedly:
+    sub-boxes that lie entirely within reach of each other contribute their counts,
+    those entirely out of reach are dropped, and only what remains on the rim is
+    joined row by row. A box that holds much of the log is thus counted, not paired.
     """
     height, width = bucket_degrees(km, bounds)
-    left = anchors.withColumns(
-        {
-            "_bt": F.floor(F.col("t_s") / F.lit(seconds)),
-            "_by": F.floor(F.col("lat") / F.lit(height)),
-            "_bx": F.floor(F.col("lon") / F.lit(width)),
-        }
+    sizes = (float(seconds), height, width)
+    heavy = sized(_heavy_neighbours(anchors, points, sizes, pair_limit))
+    nearby = (
+        F.col("p_t_s").between(F.col("t_s"), F.col("t_s") + seconds)
+        & (haversine_km(F.col("lat"), F.col("lon"), F.col("p_lat"), F.col("p_lon")) <= km)
     )
-    around = F.array(*[F.struct(F.lit(t).alias("t"), F.lit(y).alias("y"), F.lit(x).alias("x"))
-                       for t in (0, -1) for y in (-1, 0, 1) for x in (-1, 0, 1)])
-    right = (
-        points.select(*[F.col(c).alias(f"p_{c}") for c in points.columns])
-        .withColumns(
-            {
-                "_pt": F.floor(F.col("p_t_s") / F.lit(seconds)),
-                "_py": F.floor(F.col("p_lat") / F.lit(height)),
-                "_px": F.floor(F.col("p_lon") / F.lit(width)),
-                "_step": F.explode(around),
-            }
+    if tie is not None:
+        nearby = nearby & ((F.col("p_t_s") > F.col("t_s")) | tie)
+    result = [*anchors.columns, f"p_{label}", "p_n"]
+    others = points.select(*[F.col(c).alias(f"p_{c}") for c in ("t_s", "lat", "lon", label, "n")])
+
+    offered = _offer(_boxed(others, "p_", sizes, 0))
+    any_heavy = not heavy.isEmpty()
+    if any_heavy:
+        offered = offered.join(heavy, A_BOX + P_BOX, "left_anti")
+    found = _boxed(anchors, "", sizes, 0).join(offered, A_BOX).filter(nearby).select(*result)
+    level = 0
+    while any_heavy:
+        level += 1
+        parents = heavy.select(*[F.col(c).alias(f"up_{c}") for c in A_BOX + P_BOX])
+        halves = parents.join(_box_counts(anchors, sizes, level, "a"), [f"up_{c}" for c in A_BOX]).join(
+            _box_counts(points, sizes, level, "p"), [f"up_{c}" for c in P_BOX]
+        )
+        inside, outside = _relation(sizes, level, km, seconds)
+        pairs = cut(
+            halves.filter(~outside).select(*A_BOX, *P_BOX, inside.alias("inside"), (F.col("a_n") * F.col("p_n")).alias("load"))
         )
-        .withColumns(
-            {
-                "_bt": F.col("_pt") + F.col("_step.t"),
-                "_by": F.col("_py") + F.col("_step.y"),
-                "_bx": F.col("_px") + F.col("_step.x"),
-            }
+        here, there = _boxed(anchors, "", sizes, level), _boxed(others, "p_", sizes, level)
+        counts = there.groupBy(*P_BOX, f"p_{label}").agg(F.sum("p_n").alias("p_n"))
+        whole = (
+            pairs.filter(F.col("inside")).join(counts, P_BOX).groupBy(*A_BOX, f"p_{label}").agg(F.sum("p_n").alias("p_n"))
         )
-        .drop("_pt", "_py", "_px", "_step")
+        rim = pairs.filter(~F.col("inside"))
+        light = rim if level == MAX_LEVEL else rim.filter(F.col("load") <= pair_limit)
+        single = here.join(light.select(*A_BOX, *P_BOX), A_BOX).join(there, P_BOX).filter(nearby)
+        found = found.unionByName(here.join(whole, A_BOX).select(*result)).unionByName(single.select(*result))
+        heavy = rim.filter(F.col("load") > pair_limit)
+        any_heavy = level < MAX_LEVEL and not heavy.isEmpty()
+    return found
+
+
+def _boxed(df: DataFrame, prefix: str, sizes: tuple[float, float, float], level: int) -> DataFrame:
+    """Add the box of each row; sides are halved once per level, exactly."""
+    names = P_BOX if prefix else A_BOX
+    sources = [f"{prefix}{c}" for c in PLACE_TIME]
+    return df.withColumns(
+        {n: F.floor(F.col(c) / F.lit(size / 2**level)) for n, c, size in zip(names, sources, sizes)}
     )
-    condition = (
-        F.col("p_t_s").between(F.col("t_s"), F.col("t_s") + seconds)
-        & (haversine_km(F.col("lat"), F.col("lon"), F.col("p_lat"), F.col("p_lon")) <= km)
+
+
+def _offer(boxed: DataFrame) -> DataFrame:
+    """Offer points to their own and the previous time box and the nine squares around.
+
+    Anchors sit in one box each, so a pair meets exactly once.
+    """
+    around = F.array(
+        *[
+            F.struct(F.lit(t).alias("t"), F.lit(y).alias("y"), F.lit(x).alias("x"))
+            for t in (0, -1) for y in (-1, 0, 1) for x in (-1, 0, 1)
+        ]
     )
-    if extra is not None:
-        condition = condition & extra
-    return left.join(right, ["_bt", "_by", "_bx"]).filter(condition).drop("_bt", "_by", "_bx")
+    stepped = boxed.withColumn("_s", F.explode(around))
+    return stepped.withColumns(
+        {a: F.col(p) + F.col(f"_s.{axis}") for a, p, axis in zip(A_BOX, P_BOX, ("t", "y", "x"))}
+    ).drop("_s")
+
+
+def _box_counts(df: DataFrame, sizes: tuple[float, float, float], level: int, side: str) -> DataFrame:
+    """Rows per box, with the box one level up."""
+    names = A_BOX if side == "a" else P_BOX
+    boxes = _boxed(df.select(*PLACE_TIME), "", sizes, level).withColumnsRenamed(dict(zip(A_BOX, names)))
+    counted = boxes.groupBy(*names).agg(F.count(F.lit(1)).alias(f"{side}_n"))
+    return counted.withColumns({f"up_{c}": F.floor(F.col(c) / F.lit(2)) for c in names})
+
+
+def _heavy_neighbours(
+    anchors: DataFrame, points: DataFrame, sizes: tuple[float, float, float], pair_limit: int
+) -> DataFrame:
+    """Neighbouring boxes whose row counts multiply to more than the limit."""
+    here = _box_counts(anchors, sizes, 0, "a").select(*A_BOX, "a_n")
+    there = _box_counts(points, sizes, 0, "p").select(*P_BOX, "p_n")
+    load = F.col("a_n") * F.col("p_n")
+    return here.join(_offer(there), A_BOX).filter(load > pair_limit).select(*A_BOX, *P_BOX)
+
+
+def _relation(
+    sizes: tuple[float, float, float], level: int, km: float, seconds: int
+) -> tuple[Column, Column]:
+    """Whether two boxes of a level lie entirely within or entirely out of reach.
+
+    Both answers are on the safe side of rounding; a box pair in doubt is neither.
+    """
+    span, height, width = (size / 2**level for size in sizes)
+    gap = F.col("p_bt") - F.col("bt")
+    south = F.least("by", "p_by") * F.lit(height)
+    north = (F.greatest("by", "p_by") + 1) * F.lit(height)
+    cosines = (F.cos(F.radians(south)), F.cos(F.radians(north)))
+    widest = F.when((south <= 0) & (north >= 0), F.lit(1.0)).otherwise(F.greatest(*cosines))
+    rows_apart, columns_apart = F.abs(F.col("p_by") - F.col("by")), F.abs(F.col("p_bx") - F.col("bx"))
+
+    def planar(rows: Column, columns: Column, cosine: Column) -> Column:
+        y, x = rows * F.lit(height), columns * F.lit(width) * cosine
+        return F.lit(KM_PER_DEGREE) * F.sqrt(y * y + x * x)
+
+    farthest = planar(rows_apart + 1, columns_apart + 1, widest) * F.lit(1 + 1e-6)
+    none = F.lit(0)
+    nearest = planar(F.greatest(rows_apart - 1, none), F.greatest(columns_apart - 1, none), F.least(*cosines))
+    inside = (gap >= 1) & ((gap + 1) * F.lit(span) <= seconds) & (farthest <= km)
+    outside = (gap < 0) | ((gap - 1) * F.lit(span) > seconds) | (nearest * F.lit(1 - 1e-6) > km)
+    return inside, outside

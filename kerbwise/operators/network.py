@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from kerbwise import settings as S
 from kerbwise.functions.geo import distance_pairs
 from kerbwise.functions.numbers import mean_lat, mean_lon, round_half_even, sum_tenths
-from kerbwise.operators.neighbours import following, place_time_counts
+from kerbwise.operators.neighbours import PAIR_LIMIT, following, place_time_counts
 from kerbwise.operators.surface import unplanned
 from kerbwise.session import cut, sized
 
@@ -34,20 +34,21 @@ def node_incidents(enriched: DataFrame, nodes: DataFrame) -> DataFrame:
     return unplanned(enriched).join(nodes.select("corridor"), "corridor", "left_semi")
 
 
-def spillover_pairs(incidents: DataFrame) -> DataFrame:
+def spillover_pairs(incidents: DataFrame, pair_limit: int = PAIR_LIMIT) -> DataFrame:
     """Number of follow-on pairs per ordered corridor pair ``(src, dst, count)``.
 
     A pair is an incident and a later one on another corridor within the time
     window and radius. Within one second the alphabetically smaller corridor is the
     source, so each pair counts once and never depends on row order.
     """
-    counts = place_time_counts(incidents, "corridor")
-    later = (F.col("p_t_s") > F.col("t_s")) | (F.col("p_corridor") > F.col("corridor"))
-    pairs = following(
-        counts, counts, S.SPILL_KM, S.PAIR_WINDOW_SEC, (F.col("p_corridor") != F.col("corridor")) & later
+    counts = cut(place_time_counts(incidents, "corridor"))
+    found = following(
+        counts, counts, "corridor", S.SPILL_KM, S.PAIR_WINDOW_SEC, F.col("p_corridor") > F.col("corridor"), pair_limit
     )
-    return pairs.groupBy(F.col("corridor").alias("src"), F.col("p_corridor").alias("dst")).agg(
-        F.sum(F.col("n") * F.col("p_n")).alias("count")
+    return (
+        found.filter(F.col("p_corridor") != F.col("corridor"))
+        .groupBy(F.col("corridor").alias("src"), F.col("p_corridor").alias("dst"))
+        .agg(F.sum(F.col("n") * F.col("p_n")).alias("count"))
     )
 
 

@@ -95,6 +95,19 @@ def test_burst_neighbours_equal_brute_force(spark):
         assert got[a[0]] == (len(near), len({b[4] for b in near}))
 
 
+def test_halving_crowded_boxes_gives_the_same_counts(spark):
+    rows = incident_rows(160, 19, hours=3, spread=0.02, copies=15)
+    rows += incident_rows(60, 23, hours=3, spread=0.08)
+    cleaned = cleaning.clean(raw(spark, rows))
+    key = ["t_s", "lat", "lon", "cause"]
+    plain = {tuple(r[k] for k in key): r["n"] for r in bursts.cause_neighbours(cleaned).collect()}
+    for limit in (400, 20):
+        halved = {tuple(r[k] for k in key): r["n"] for r in bursts.cause_neighbours(cleaned, limit).collect()}
+        assert halved == plain
+    pairs = {(r["src"], r["dst"]): r["count"] for r in network.spillover_pairs(cleaned).collect()}
+    assert pairs == {(r["src"], r["dst"]): r["count"] for r in network.spillover_pairs(cleaned, 300).collect()}
+
+
 def test_burst_rules(spark):
     def group(causes, day):
         return [{"created_date": f"2024-01-{day:02d} 06:0{i}:00+00", "event_cause": c} for i, c in enumerate(causes)]
