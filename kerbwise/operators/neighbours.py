@@ -94,7 +94,11 @@ def following(
         )
         rim = pairs.filter(~F.col("inside"))
         light = rim if level == MAX_LEVEL else rim.filter(F.col("load") <= pair_limit)
-        single = here.join(light.select(*A_BOX, *P_BOX), A_BOX).join(there, P_BOX).filter(nearby)
+        # A fixed number of partitions: adaptive execution would judge these few, busy
+        # rows by their bytes and put them into one task.
+        tasks = int(anchors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        paired = here.join(light.select(*A_BOX, *P_BOX), A_BOX).repartition(tasks, *P_BOX)
+        single = paired.join(there.repartition(tasks, *P_BOX), P_BOX).filter(nearby)
         found = found.unionByName(here.join(whole, A_BOX).select(*result)).unionByName(single.select(*result))
         heavy = rim.filter(F.col("load") > pair_limit)
         any_heavy = level < MAX_LEVEL and not heavy.isEmpty()
