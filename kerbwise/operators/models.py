@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.ml.feature import StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressionModel, GBTRegressor, RandomForestRegressor
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kerbwise import settings as S
@@ -18,7 +18,7 @@ from kerbwise.operators.evaluate import (
     fold_start,
     mean_capture,
 )
-from kerbwise.operators.surface import CELL, cell_date_panel, holdout_start, last_day
+from kerbwise.operators.surface import CELL, cell_date_panel, holdout_start
 from kerbwise.session import cut, sized
 
 RISK_FEATURES = ["lat", "lon", "dow", "month", "is_weekend", "hist_n", "hist_rate", "crit"]
@@ -35,7 +35,6 @@ def fit_risk(train: DataFrame, features: list[str], iterations: int) -> tuple[Ve
         labelCol="y", featuresCol="features", predictionCol="raw", maxDepth=6, stepSize=0.08,
         maxIter=iterations, minInstancesPerNode=20, seed=SEED,
     )
-    # A fixed row order per cell and date makes the fit repeatable.
     rows = assembler.transform(train).select("features", "y")
     return assembler, trees.fit(rows)
 
@@ -95,8 +94,6 @@ def walk_forward_model(days: DataFrame, iterations: int = 10) -> DataFrame:
     if result is None:
         result = dated.select(F.lit(0).alias("fold"), F.lit(0.0).alias("capture"), F.lit(0).alias("train_days")).limit(0)
     # At most one row per fold; a fold without capture has a null and no week.
-    from pyspark.sql import Window
-
     return result.filter(F.col("capture").isNotNull()).select(
         F.row_number().over(Window.orderBy("fold")).alias("week"), "capture", "train_days"
     )
