@@ -79,72 +79,87 @@ def thresholds(docs: DataFrame, budgets: DataFrame) -> DataFrame:
     return state.select("source_id", "threshold", "words")
 
 
-def mix(
+INTERVALS = "array<struct<low:bigint,high:bigint,most:double>>"
+
+
+def source_id(source: Column) -> Column:
+    return F.xxhash64(source.isNull(), F.coalesce(source.cast("string"), F.lit("")))
+
+
+def plan_mix(
     docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[float, ...] = WEIGHTS,
     share: float = SHARE, repeats: int = REPEATS, tolerance: float = 0.005,
 ) -> DataFrame:
-    """Every row of ``docs`` with what the mix takes of it: ``key``, size, source_size, target, taken, plus
-    ``source`` and copies (how often the whole document is taken, 0 to ``repeats``).
+    """What the mix takes of each source: source_id, source_size, target, rounds (whole passes over the source) and
+    intervals of places (with the largest size that fits) that are taken once more.
 
-    Size is the number of words (null text: 0). A source's target is met by whole rounds over the source and
-    one partial round: the documents whose place is below the source's threshold. Because the document at the
+    A partial round takes the documents whose place is below the source's threshold. Because the document at the
     threshold rarely fits, what is left of the budget goes to the later documents that still fit, by the same
-    histograms, until less than ``tolerance`` of the target is left or nothing fits; thresholds are nested, a
-    smaller budget takes a prefix of the larger one's first round. Place depends on key and text only, so reruns
-    and other partitionings agree. Rows that repeat key and text share their place and are taken or left together.
-    Null sources form one source, documents without words are never taken, and an empty table gives an empty
-    result. Other columns are not read.
+    histograms, until at most ``tolerance`` of the target is left or nothing fits. A smaller budget takes a prefix
+    of a larger one's first interval.
     """
-    table = stored(
-        docs.select(F.col(key).alias("id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), place(F.col(key), F.col(text)).alias("place")),
-        "sizes",
+    columns = [source_id(F.col(source)).alias("source_id"), F.col(source).cast("string").alias("source"), word_count(F.col(text)).alias("size")]
+    table = stored(docs.select(*columns, place(F.col(key), F.col(text)).alias("place")), "sizes")
+    sizes = table.groupBy("source").agg(F.sum("size").alias("source_size"))
+    rounds = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("int")
+    plan = stored(targets(sizes, weights, share, repeats).withColumns({"source_id": source_id(F.col("source")), "rounds": rounds}), "plan")
+    left = stored(
+        plan.select(
+            "source_id", (F.col("target") - F.col("rounds") * F.col("source_size")).alias("budget"), (F.col("target") * tolerance).alias("enough"),
+            F.lit(-1).cast("long").alias("after"),
+        ),
+        "left",
     )
-    sizes = table.groupBy("source").agg(F.sum("size").alias("source_size"), F.min("place").alias("_any"))
-    plan = stored(
-        targets(sizes.drop("_any"), weights, share, repeats).withColumns({
-            "source_id": F.xxhash64(F.col("source").isNull(), F.coalesce("source", F.lit(""))),
-            "rounds": F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("int"),
-        }),
-        "plan",
-    )
-    known = F.xxhash64(F.col("source").isNull(), F.coalesce("source", F.lit("")))
-    rows = table.withColumn("source_id", known).drop("source")
-    left = stored(plan.select("source_id", (F.col("target") - F.col("rounds") * F.col("source_size")).alias("budget"), (F.col("target") * tolerance).alias("enough")), "left")
-    open_docs, extra = rows.filter("size > 0").select("source_id", "place", "size"), None
-    while not left.filter("budget > enough").isEmpty():
-        # documents past the last threshold that fit what is left; the first pass takes all
-        fitting = open_docs.join(small(left.filter("budget > enough")), "source_id").filter(F.col("size") <= F.col("budget"))
-        if extra is not None:
-            fitting = fitting.filter(F.col("place") > F.col("after"))
-        candidates = stored(fitting.select("source_id", "place", "size"), "candidates") if extra is not None else open_docs
-        if candidates.isEmpty():
+    rows = table.filter("size > 0").select("source_id", "place", "size")
+    taken = stored(left.limit(0).select("source_id", F.lit(0).cast("long").alias("low"), F.lit(0).cast("long").alias("high"), F.lit(0.0).alias("most")), "intervals")
+    first = True
+    while True:
+        wanting = left.filter("budget > enough")
+        if wanting.isEmpty():
+            break
+        most = F.lit(float("inf")) if first else F.col("budget")
+        fitting = rows.join(small(wanting), "source_id").filter((F.col("place") > F.col("after")) & (F.col("size") <= most))
+        fitting = stored(fitting.select("source_id", "place", "size"), "candidates")
+        if fitting.isEmpty():
             break
-        now = stored(thresholds(candidates, left.filter("budget > enough").select("source_id", "budget")), "thresholds")
+        now = thresholds(fitting, wanting.select("source_id", "budget"))
         step = now.select("source_id", F.col("threshold").alias("upto"), F.col("words").alias("won"))
-        intervals = left.join(step, "source_id").select(
-            "source_id", (F.col("after") if "after" in left.columns else F.lit(-1).cast("long")).alias("low"), F.col("upto").alias("high"),
-            (F.col("budget") if extra is not None else F.lit(float("inf"))).alias("most"),
-        )
-        extra = intervals if extra is None else extra.unionByName(intervals)
-        extra = stored(extra, "intervals")
+        found = wanting.join(step, "source_id").select("source_id", F.col("after").alias("low"), F.col("upto").alias("high"), most.alias("most"))
+        taken = stored(taken.unionByName(found), "intervals")
         left = stored(
             left.join(step, "source_id", "left").select(
-                "source_id", (F.col("budget") - F.coalesce("won", F.lit(0))).alias("budget"), "enough",
-                F.coalesce("upto", F.col("after") if "after" in left.columns else F.lit(-1).cast("long")).alias("after"),
+                "source_id", (F.col("budget") - F.coalesce("won", F.lit(0))).alias("budget"), "enough", F.coalesce("upto", "after").alias("after")
             ),
             "left",
         )
-    if extra is None:
-        chosen = plan.select("source_id").limit(0).select("source_id", F.array().cast("array<struct<low:long,high:long,most:double>>").alias("rounds_in"))
-    else:
-        chosen = extra.groupBy("source_id").agg(F.collect_list(F.struct("low", "high", "most")).alias("rounds_in"))  # one entry a pass
-    full = plan.join(chosen, "source_id", "left")
-    out = rows.join(small(stored(full, "chosen")), "source_id")
-    inside = F.exists(
-        F.coalesce("rounds_in", F.array().cast("array<struct<low:bigint,high:bigint,most:double>>")),
-        lambda r: (F.col("place") > r["low"]) & (F.col("place") < r["high"]) & (F.col("size") <= r["most"]),
-    )
-    copies = F.when(F.col("size") > 0, F.col("rounds") + inside.cast("int")).otherwise(0).cast("int")
-    return out.select(
-        F.col("id").alias(key), "size", "source_size", "target", (copies * F.col("size")).cast("long").alias("taken"), F.col("source").alias(source), copies.alias("copies"), "place",
+        first = False
+    listed = taken.groupBy("source_id").agg(F.collect_list(F.struct("low", "high", "most")).alias("intervals"))  # one entry a pass
+    whole = plan.join(listed, "source_id", "left").select(
+        "source_id", "source_size", "target", "rounds", F.coalesce("intervals", F.array().cast(INTERVALS)).alias("intervals")
     )
+    return stored(whole, "mix")
+
+
+def apply_mix(docs: DataFrame, plan: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    """``docs`` with _size, _source_size, _target and _copies: how often the mix takes the whole document."""
+    known = {"_source_id": source_id(F.col(source)), "_size": word_count(F.col(text)), "_place": place(F.col(key), F.col(text))}
+    of = small(plan.select(*[F.col(c).alias(f"_{c}") for c in plan.columns]))
+    joined = docs.withColumns(known).join(of, "_source_id")
+    inside = F.exists("_intervals", lambda r: (F.col("_place") > r["low"]) & (F.col("_place") < r["high"]) & (F.col("_size") <= r["most"]))
+    copies = F.when(F.col("_size") > 0, F.col("_rounds") + inside.cast("int")).otherwise(0).cast("int")
+    return joined.withColumn("_copies", copies).drop("_source_id", "_place", "_rounds", "_intervals")
+
+
+def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
+    """Every row of ``docs`` with what the mix takes of it: ``key``, size, source_size, target, taken, copies.
+
+    Size is the number of words (null text: 0). ``taken`` is copies * size: whole documents, at most ``repeats``
+    times each. Place depends on key and text only, so reruns and other partitionings agree. Rows that repeat key
+    and text share their place and are taken or left together. Null sources form one source, documents without
+    words are never taken, and an empty table gives an empty result. Other columns are not read.
+    """
+    thin = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"), F.col(source).alias("_source"))
+    names = {"key": "_key", "text": "_text", "source": "_source"}
+    out = apply_mix(thin, plan_mix(thin, **names, **options), **names)
+    taken = (F.col("_copies") * F.col("_size")).cast("long").alias("taken")
+    return out.select(F.col("_key").alias(key), F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), taken, F.col("_copies").alias("copies"))
