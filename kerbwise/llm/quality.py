@@ -16,7 +16,7 @@ BUCKETS = 1 << 16
 FACTORS = 8
 #: The classifier is fitted on at most this many labelled documents, those of smallest hash.
 TRAIN_DOCS = 6000
-EPOCHS, BATCH, RATE, DECAY = 30, 32, 0.05, 1e-4
+EPOCHS, BATCH, RATE, DECAY = 10, 32, 0.05, 1e-4
 STATISTICS = (
     "words", "bytes", "word_length", "digits", "capitals", "symbols", "beyond_ascii", "distinct_words", "distinct_lines", "words_a_line", "word_ends",
     "characters",
@@ -121,12 +121,10 @@ class FactorisationMachine:
                 margin = self.bias + np.add.reduceat(w * value, start) + 0.5 * ((summed**2).sum(1) - squares)
                 error = (1 / (1 + np.exp(-np.clip(margin, -30, 30))) - labels[at]) / len(at)
                 e = np.repeat(error, size)
-                d_linear = np.bincount(feature, e * value, self.size)
-                active = np.unique(feature)
-                place = np.searchsorted(active, feature)
-                d_vectors = np.zeros((len(active), FACTORS))
-                np.add.at(d_vectors, place, e[:, None] * (value[:, None] * np.repeat(summed, size, 0) - v * alone[:, None]))
-                d_linear = d_linear[active] + DECAY * self.linear[active]
+                active, place = np.unique(feature, return_inverse=True)
+                pull = e[:, None] * (value[:, None] * np.repeat(summed, size, 0) - v * alone[:, None])
+                d_vectors = np.stack([np.bincount(place, pull[:, f], len(active)) for f in range(FACTORS)], 1)
+                d_linear = np.bincount(place, e * value, len(active)) + DECAY * self.linear[active]
                 d_vectors += DECAY * self.vectors[active]
                 g_bias += error.sum() ** 2
                 self.bias -= RATE * error.sum() / np.sqrt(g_bias)
