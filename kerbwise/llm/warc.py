@@ -174,6 +174,8 @@ def _parse(head: bytes) -> tuple[dict[str, str], int]:
         name, colon, value = line.partition(b":")
         if not colon:
             raise Damaged("header line without colon")
+        if b"\r" in line or b"\n" in line or re.search(rb"WARC/1\.\d$", line):
+            raise Damaged("another record within the header")
         headers[name.strip().lower().decode("utf-8", "replace")] = value.strip().decode("utf-8", "replace")
     if not headers.get("content-length", "").isascii() or not headers.get("content-length", "").isdigit():
         raise Damaged("no content length")
