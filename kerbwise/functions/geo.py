@@ -32,42 +32,41 @@ def with_grid(df: DataFrame, size: float = S.GRID_DEG) -> DataFrame:
     return df.withColumns({"gy": grid_index(F.col("lat"), size), "gx": grid_index(F.col("lon"), size)})
 
 
-def bucket_degrees(km: float, bounds: S.Bounds = S.BOUNDS) -> tuple[float, float]:
-    """Bucket height and width in degrees such that ``km`` spans at most one bucket."""
-    widest = max(abs(bounds.lat_min), abs(bounds.lat_max)) + 1.0
+def bucket_degrees(km: float, latitude: float) -> tuple[float, float]:
+    """Bucket height and width in degrees such that ``km`` spans at most one bucket
+    anywhere between the two parallels of ``latitude``."""
     height = km / KM_PER_DEGREE * BUCKET_MARGIN
-    width = km / (KM_PER_DEGREE * math.cos(math.radians(widest))) * BUCKET_MARGIN
+    width = km / (KM_PER_DEGREE * math.cos(math.radians(min(abs(latitude) + height, 89.9)))) * BUCKET_MARGIN
     return height, width
 
 
-def distance_pairs(
-    left: DataFrame, right: DataFrame, km: float, strict: bool = False, bounds: S.Bounds = S.BOUNDS
-) -> DataFrame:
+def band_width(band: Column, km: float) -> Column:
+    """Bucket width in degrees for a band of latitude (a bucket row) and its neighbours.
+    It follows from the band alone, so it holds wherever the data lie."""
+    height = F.lit(km / KM_PER_DEGREE * BUCKET_MARGIN)
+    farthest = F.least(F.greatest(F.abs(band - 1), F.abs(band + 2)) * height, F.lit(89.9))
+    return F.lit(km / KM_PER_DEGREE * BUCKET_MARGIN) / F.cos(F.radians(farthest))
+
+
+def distance_pairs(left: DataFrame, right: DataFrame, km: float, strict: bool = False) -> DataFrame:
     """Rows of ``left`` joined to rows of ``right`` no further than ``km`` away.
 
     Both sides carry ``lat``/``lon``; the other columns must have distinct names.
     Every left row sits in one bucket and every right row is offered to the nine
     buckets around its own, so that the join is an equi-join and no pair occurs
-    twice. Adds ``km``; the right coordinates are ``lat_r``/``lon_r``.
+    twice. Bucket widths follow the latitude; pairs across the 180th meridian are not joined. Adds ``km``; the right coordinates are ``lat_r``/``lon_r``.
     """
-    height, width = bucket_degrees(km, bounds)
+    height = km / KM_PER_DEGREE * BUCKET_MARGIN
     steps = F.array(*[F.lit(step) for step in (-1, 0, 1)])
-    bucketed = left.withColumns(
-        {
-            "_by": F.floor(F.col("lat") / F.lit(height)),
-            "_bx": F.floor(F.col("lon") / F.lit(width)),
-        }
+    bucketed = left.withColumn("_by", F.floor(F.col("lat") / F.lit(height))).withColumn(
+        "_bx", F.floor(F.col("lon") / band_width(F.col("_by"), km))
     )
     offered = (
         right.withColumnsRenamed({"lat": "lat_r", "lon": "lon_r"})
         .withColumn("_sy", F.explode(steps))
         .withColumn("_sx", F.explode(steps))
-        .withColumns(
-            {
-                "_by": F.floor(F.col("lat_r") / F.lit(height)) + F.col("_sy"),
-                "_bx": F.floor(F.col("lon_r") / F.lit(width)) + F.col("_sx"),
-            }
-        )
+        .withColumn("_by", F.floor(F.col("lat_r") / F.lit(height)) + F.col("_sy"))
+        .withColumn("_bx", F.floor(F.col("lon_r") / band_width(F.col("_by"), km)) + F.col("_sx"))
         .drop("_sy", "_sx")
     )
     distance = haversine_km(F.col("lat"), F.col("lon"), F.col("lat_r"), F.col("lon_r"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kerbwise import settings as S
@@ -17,15 +17,20 @@ from kerbwise.functions.numbers import (
 )
 from kerbwise.functions.text import urgency_label, urgency_tier
 from kerbwise.operators.surface import CELL, most_frequent
+from kerbwise.session import cut
+
+
+def _finite(value: Column) -> Column:
+    """A coordinate on the globe or null: a stray number cannot be an end of a road."""
+    return F.when(F.abs(value) <= 180, value)
 
 
 def approach_points(enriched: DataFrame) -> DataFrame:
     """One row per closure approach: the incident point, and the segment end when it
     is present and a different place."""
-    end_lat = F.expr("try_cast(endlatitude AS double)")
-    end_lon = F.expr("try_cast(endlongitude AS double)")
+    end_lat, end_lon = (_finite(F.expr(f"try_cast({c} AS double)")) for c in ("endlatitude", "endlongitude"))
     apart = F.abs(F.col("_elat") - F.col("lat")) + F.abs(F.col("_elon") - F.col("lon")) > 1e-4
-    distinct_end = F.col("_elat").isNotNull() & (F.col("_elat") != 0) & apart
+    distinct_end = F.col("_elat").isNotNull() & F.col("_elon").isNotNull() & (F.col("_elat") != 0) & apart
     primary = F.struct(F.lit(0).alias("kind"), F.col("lat"), F.col("lon"))
     end = F.struct(F.lit(1).alias("kind"), F.col("_elat").alias("lat"), F.col("_elon").alias("lon"))
     points = F.when(distinct_end, F.array(primary, end)).otherwise(F.array(primary))
@@ -42,7 +47,7 @@ def approach_points(enriched: DataFrame) -> DataFrame:
 
 def barricade_zones(enriched: DataFrame) -> DataFrame:
     """Approaches clustered on the fine grid with their modes and a priority score."""
-    combined = (
+    combined = cut(
         with_grid(approach_points(enriched), S.ZONE_GRID_DEG)
         .groupBy(*CELL, "corridor", "junction", "cause")
         .agg(

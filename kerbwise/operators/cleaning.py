@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from kerbwise import settings as S
 from kerbwise.functions.text import strip
+from kerbwise.session import prepare
 from kerbwise.sources.incidents import null_tokens
 
 TIME_COLUMNS = {
@@ -34,12 +35,14 @@ def geo_clean(df: DataFrame, bounds: S.Bounds = S.BOUNDS) -> DataFrame:
 
 def event_time(df: DataFrame) -> DataFrame:
     """Parse the five timestamps as UTC; the event time is created, else start."""
+    prepare(df.sparkSession)
     parsed = df.withColumns({new: F.try_to_timestamp(F.col(old)) for new, old in TIME_COLUMNS.items()})
     return parsed.withColumn("t_event", F.coalesce("t_created", "t_start"))
 
 
 def time_features(df: DataFrame, tz: str = S.TIMEZONE) -> DataFrame:
     """Local weekday (Monday 0), weekend flag, month, date and part of the day."""
+    prepare(df.sparkSession)  # from_utc_timestamp shifts what the session's zone renders
     local = F.from_utc_timestamp(F.col("t_event"), tz)
     hour = F.hour(local)
     return df.withColumns(

@@ -48,19 +48,27 @@ def quantile_scalar(df: DataFrame, value: str, q: float) -> Column:
 def counterfactual(reached: DataFrame, share: float = S.PREVENTABLE_SHARE) -> DataFrame:
     """Share of incidents and impact the plan would have reached, overall and for the
     quarter with the highest impact."""
-    threshold = quantile_scalar(reached, "impact_min", 0.75)
+    reached = cut(reached.groupBy("impact_min", "reached").agg(F.count(F.lit(1)).alias("n")))
+    freq = reached.groupBy("impact_min").agg(F.sum("n").alias("freq")).filter(F.col("impact_min").isNotNull())
+    threshold = exact_quantile(freq, [], "impact_min", 0.75, "q").select("q").scalar()
     severe = F.col("impact_min") >= threshold
     hit = F.col("reached")
-    impact = F.col("impact_min")
-    nothing = F.lit(0.0)
+    impact = tenths(F.col("impact_min")) * F.col("n")
+
+    def number(condition: Column) -> Column:
+        return F.coalesce(F.sum(F.when(condition, F.col("n"))), F.lit(0))
+
+    def minutes(condition: Column) -> Column:
+        return F.coalesce(F.sum(F.when(condition, impact)), F.lit(0)).cast("double") / F.lit(10.0)
+
     sums = reached.withColumn("severe", severe).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.count_if(hit).alias("n_hit"),
-        sum_tenths(impact).alias("total"),
-        F.coalesce(sum_tenths(F.when(hit, impact)), nothing).alias("hit_impact"),
-        F.count_if(F.col("severe")).alias("n_sev"),
-        F.count_if(F.col("severe") & hit).alias("n_sev_hit"),
-        F.coalesce(sum_tenths(F.when(F.col("severe") & hit, impact)), nothing).alias("sev_hit_impact"),
+        number(F.lit(True)).alias("n"),
+        number(hit).alias("n_hit"),
+        (F.sum(impact).cast("double") / F.lit(10.0)).alias("total"),
+        minutes(hit).alias("hit_impact"),
+        number(F.col("severe")).alias("n_sev"),
+        number(F.col("severe") & hit).alias("n_sev_hit"),
+        minutes(F.col("severe") & hit).alias("sev_hit_impact"),
     )
     prevented = F.col("hit_impact") * F.lit(share)
     return sums.select(

@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kerbwise import settings as S
 from kerbwise.functions.geo import KM_PER_DEGREE, bucket_degrees, haversine_km
 from kerbwise.session import cut, sized
 
 PLACE_TIME = ["t_s", "lat", "lon"]
 A_BOX = ["bt", "by", "bx"]
 P_BOX = ["p_bt", "p_by", "p_bx"]
-# Row pairs two neighbouring boxes may be joined for before they are halved.
+# Row pairs two neighbouring boxes may be joined for before they are halved. Neither
+# this nor the last level changes any result; they only choose how it is computed.
 PAIR_LIMIT = 1_000_000
 # Halving a window of hours and a radius of kilometres this often ends below one
 # second and one metre, where a box holds single places.
@@ -42,7 +42,6 @@ def following(
     seconds: int,
     tie: Column | None = None,
     pair_limit: int = PAIR_LIMIT,
-    bounds: S.Bounds = S.BOUNDS,
 ) -> DataFrame:
     """Anchor rows with the number ``p_n`` of points per ``p_<label>`` that follow them
     within ``seconds`` and ``km``. To be summed by the caller; an anchor and a label
@@ -59,7 +58,9 @@ def following(
     those entirely out of reach are dropped, and only what remains on the rim is
     joined row by row. A box that holds much of the log is thus counted, not paired.
     """
-    height, width = bucket_degrees(km, bounds)
+    # The box width holds for the highest latitude that occurs; one number from stored counts.
+    latitude = points.agg(F.max(F.abs("lat"))).first()[0]
+    height, width = bucket_degrees(km, latitude or 0.0)
     sizes = (float(seconds), height, width)
     heavy = sized(_heavy_neighbours(anchors, points, sizes, pair_limit))
     nearby = (
@@ -97,8 +98,10 @@ def following(
         # A fixed number of partitions: adaptive execution would judge these few, busy
         # rows by their bytes and put them into one task.
         tasks = int(anchors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        paired = here.join(light.select(*A_BOX, *P_BOX), A_BOX).repartition(tasks, *P_BOX)
-        single = paired.join(there.repartition(tasks, *P_BOX), P_BOX).filter(nearby)
+        # Keyed by the pair of boxes, so a box on the rim of many others is not one task.
+        boxes = light.select(*A_BOX, *P_BOX)
+        paired = here.join(boxes, A_BOX).repartition(tasks, *A_BOX, *P_BOX)
+        single = paired.join(there.join(boxes, P_BOX).repartition(tasks, *A_BOX, *P_BOX), A_BOX + P_BOX).filter(nearby)
         found = found.unionByName(here.join(whole, A_BOX).select(*result)).unionByName(single.select(*result))
         heavy = rim.filter(F.col("load") > pair_limit)
         any_heavy = level < MAX_LEVEL and not heavy.isEmpty()

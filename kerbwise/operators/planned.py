@@ -6,28 +6,41 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kerbwise import settings as S
-from kerbwise.functions.numbers import COORD_SCALE, round_half_even, sum_tenths
-from kerbwise.functions.quantiles import exact_quantile, value_counts
+from kerbwise.functions.numbers import COORD_SCALE, round_half_even, tenths
+from kerbwise.functions.quantiles import exact_quantile
 from kerbwise.functions.text import archetype
 from kerbwise.operators.surface import planned
+from kerbwise.session import cut
 
 
 def with_archetype(df: DataFrame, rules=S.REPORT_RULES, default: str = S.DEFAULT_ARCHETYPE) -> DataFrame:
     return df.withColumn("archetype", archetype(F.col("description"), rules, default))
 
 
-def group_quantile(df: DataFrame, keys: list[str], value: str, q: float, name: str) -> DataFrame:
+def counted(events: DataFrame, keys: list[str]) -> DataFrame:
+    """Planned events as stored counts per combination of the values that the reports use.
+    The log is read once for all figures of a report."""
+    return cut(events.groupBy(*keys, "impact_min", "exp_clearance_min", "closure").agg(F.count(F.lit(1)).alias("n")))
+
+
+def frequencies(counts: DataFrame, keys: list[str], value: str) -> DataFrame:
+    return counts.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.sum("n").alias("freq"))
+
+
+def group_quantile(counts: DataFrame, keys: list[str], value: str, q: float, name: str) -> DataFrame:
     """Exact quantile of a score or expected clearance; both take few distinct values."""
-    return exact_quantile(value_counts(df, keys, value), keys, value, q, name).drop(f"{name}_n")
+    return exact_quantile(frequencies(counts, keys, value), keys, value, q, name).drop(f"{name}_n")
+
+
+def event_totals(counts: DataFrame, keys: list[str]) -> DataFrame:
+    return counts.groupBy(*keys).agg(F.sum("n").alias("events"), F.sum(F.col("closure") * F.col("n")).alias("closures"))
 
 
 def planned_archetypes(enriched: DataFrame) -> DataFrame:
     """Count, closures, median impact and median clearance per archetype."""
-    events = with_archetype(planned(enriched))
     keys = ["archetype"]
-    totals = events.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("events"), F.sum("closure").cast("long").alias("closures")
-    )
+    events = counted(with_archetype(planned(enriched)), keys)
+    totals = event_totals(events, keys)
     return (
         totals.join(group_quantile(events, keys, "impact_min", 0.5, "med_impact"), keys)
         .join(group_quantile(events, keys, "exp_clearance_min", 0.5, "med_clearance"), keys)
@@ -43,11 +56,9 @@ def planned_archetypes(enriched: DataFrame) -> DataFrame:
 
 def planned_p90(enriched: DataFrame) -> DataFrame:
     """As above on the calendar rules, with the 90th percentile of clearance."""
-    events = with_archetype(planned(enriched), S.CALENDAR_RULES)
     keys = ["archetype"]
-    totals = events.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("events"), F.sum("closure").cast("long").alias("closures")
-    )
+    events = counted(with_archetype(planned(enriched), S.CALENDAR_RULES), keys)
+    totals = event_totals(events, keys)
     return (
         totals.join(group_quantile(events, keys, "impact_min", 0.5, "med_impact"), keys)
         .join(group_quantile(events, keys, "exp_clearance_min", 0.9, "p90_clear"), keys)
@@ -71,15 +82,16 @@ def scenario_archetypes(enriched: DataFrame) -> DataFrame:
         .withColumn("lon_e7", F.rint(F.col("lon") * float(COORD_SCALE)).cast("long"))
     )
     keys = ["name"]
+    events = counted(events, [*keys, "lat_e7", "lon_e7"])
 
     def coordinate_median(value: str) -> DataFrame:
         return exact_quantile(
-            value_counts(events, keys, value), keys, value, 0.5, f"med_{value}", coarse_width=COORD_SCALE // 1000
+            frequencies(events, keys, value), keys, value, 0.5, f"med_{value}", coarse_width=COORD_SCALE // 1000
         ).drop(f"med_{value}_n")
 
     return (
         events.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("events"))
+        .agg(F.sum("n").alias("events"))
         .join(coordinate_median("lat_e7"), keys)
         .join(coordinate_median("lon_e7"), keys)
         .join(group_quantile(events, keys, "impact_min", 0.5, "med_impact"), keys)
@@ -107,9 +119,9 @@ def calendar_uplift(enriched: DataFrame, coverage: DataFrame) -> DataFrame:
         .withColumn("day", F.dayofmonth("date"))
     )
     keys = ["month", "day", "archetype"]
-    uplift = events.groupBy(*keys).agg(
-        round_half_even(sum_tenths(F.col("impact_min")), 1).alias("impact")
-    )
+    events = counted(events, [*keys, "dow"])
+    total = F.sum(tenths(F.col("impact_min")) * F.col("n")).cast("double") / F.lit(10.0)
+    uplift = events.groupBy(*keys).agg(round_half_even(total, 1).alias("impact"))
     hold = group_quantile(events, keys, "exp_clearance_min", 0.9, "p90")
     weekdays = events.select("month", "day", "dow").distinct()
     return (

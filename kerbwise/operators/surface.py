@@ -11,11 +11,8 @@ from kerbwise.functions.numbers import (
     LAT_ORIGIN_E7,
     LON_ORIGIN_E7,
     mean_from_offsets,
-    mean_lat,
-    mean_lon,
     offset_e7,
     round_half_even,
-    sum_tenths,
     tenths,
 )
 from kerbwise.session import cut
@@ -48,16 +45,32 @@ def most_frequent(counts: DataFrame, keys: list[str], value: str, name: str, n:
 
 def cell_dow_load(enriched: DataFrame) -> DataFrame:
     """Impact per cell and weekday, divided by the city-wide number of such days."""
-    source = unplanned(enriched)
+    return _dow_load(weekday_sums(enriched))
+
+
+def weekday_sums(enriched: DataFrame) -> DataFrame:
+    """Sums per (cell, date) of the unplanned track, stored: weekday loads, the number of
+    days and the centroids follow from them without another read of the log."""
+    return cut(
+        with_grid(unplanned(enriched)).groupBy(*CELL, "date", "dow").agg(
+            F.count(F.lit(1)).alias("n"),
+            F.sum(tenths(F.col("impact_min"))).alias("impact_t"),
+            F.sum(offset_e7(F.col("lat"), LAT_ORIGIN_E7)).alias("lat_off"),
+            F.sum(offset_e7(F.col("lon"), LON_ORIGIN_E7)).alias("lon_off"),
+        )
+    )
+
+
+def _dow_load(sums: DataFrame) -> DataFrame:
     days = (
-        source.filter(F.col("date").isNotNull())
+        sums.filter(F.col("date").isNotNull())
         .select("date", "dow")
         .distinct()
         .groupBy("dow")
         .agg(F.count(F.lit(1)).alias("days"))
     )
-    load = with_grid(source).filter(F.col("dow").isNotNull()).groupBy(*CELL, "dow").agg(
-        sum_tenths(F.col("impact_min")).alias("sum_impact")
+    load = sums.filter(F.col("dow").isNotNull()).groupBy(*CELL, "dow").agg(
+        (F.sum("impact_t").cast("double") / F.lit(10.0)).alias("sum_impact")
     )
     # A weekday takes one of seven values, so this side has at most seven rows.
     return load.join(F.broadcast(days), "dow").select(
@@ -124,11 +137,14 @@ def hotspots(enriched: DataFrame, top: int = 15) -> DataFrame:
 
 def weekday_risk(enriched: DataFrame) -> DataFrame:
     """Expected impact per cell and weekday at the cell centroid (no model)."""
-    centroids = with_grid(unplanned(enriched)).groupBy(*CELL).agg(
-        mean_lat(F.col("lat")).alias("lat"), mean_lon(F.col("lon")).alias("lon")
+    sums = weekday_sums(enriched)
+    n = F.sum("n")
+    centroids = sums.groupBy(*CELL).agg(
+        mean_from_offsets(F.sum("lat_off"), n, LAT_ORIGIN_E7).alias("lat"),
+        mean_from_offsets(F.sum("lon_off"), n, LON_ORIGIN_E7).alias("lon"),
     )
     return (
-        cell_dow_load(enriched)
+        _dow_load(sums)
         .join(centroids, CELL)
         .select(*CELL, "lat", "lon", "dow", F.col("exp_impact_per_day").alias("exp_impact"))
     )

@@ -21,7 +21,8 @@ ENRICHED_COLUMNS = [
 
 
 def stage_tables(enriched: DataFrame) -> dict[str, DataFrame]:
-    """The tables later steps and other users read."""
+    """The tables later steps and other users read. With models, ``run`` writes the
+    model's surface as ``risk_by_dow`` instead of the plain averages here."""
     return {
         "incidents_enriched": enriched.select(*ENRICHED_COLUMNS),
         "risk_cells": surface.risk_cells(enriched),

@@ -9,7 +9,7 @@ from __future__ import annotations
 import re
 
 from kerbwise import settings as S
-from kerbwise.functions.geo import bucket_degrees
+from kerbwise.functions.geo import BUCKET_MARGIN, KM_PER_DEGREE
 from kerbwise.plans.registry import PIN
 from kerbwise.sources.event_log import DUCKDB_FORMS, expand
 from kerbwise.sources.incidents import RAW_COLUMNS
@@ -422,11 +422,12 @@ STEPS["clearance_split"] = f"SELECT max(t_us) - {S.HOLDOUT_DAYS * 86400000000} A
 STEPS["train_median"] = f"""
 SELECT {quantile('dur_trust_us', 0.5)} AS m FROM clearance_log WHERE t_us <= (SELECT limit_us FROM clearance_split)"""
 
-HEIGHT, WIDTH = bucket_degrees(S.BURST_KM)
+HEIGHT = S.BURST_KM / KM_PER_DEGREE * BUCKET_MARGIN
+FARTHEST = f"least(greatest(abs(sq_y - 1), abs(sq_y + 2)) * '{HEIGHT!r}'::DOUBLE, 89.9::DOUBLE)"
 STEPS["window_causes"] = f"""
-SELECT w, sq_y, sq_x, cause, count(*) AS n FROM (
+SELECT w, sq_y, CAST(floor(lon / ('{HEIGHT!r}'::DOUBLE / cos(radians({FARTHEST})))) AS BIGINT) - sx AS sq_x, cause, count(*) AS n FROM (
   SELECT cause, CAST(floor(t_us / 900000000.0::DOUBLE) AS BIGINT) * 900 - 900 * unnest(range(0, 6)) AS w,
-    CAST(floor(lat / '{HEIGHT!r}'::DOUBLE) AS BIGINT) - sy AS sq_y, CAST(floor(lon / '{WIDTH!r}'::DOUBLE) AS BIGINT) - sx AS sq_x
+    CAST(floor(lat / '{HEIGHT!r}'::DOUBLE) AS BIGINT) - sy AS sq_y, lon, sx
   FROM clean_log, (SELECT unnest([0, 1]) AS sy), (SELECT unnest([0, 1]) AS sx) WHERE t_us IS NOT NULL)
 GROUP BY ALL"""
 STEPS["window_squares"] = f"""

@@ -19,6 +19,7 @@ RAW_SCHEMA = T.StructType([T.StructField(name, T.StringType()) for name in RAW_C
 
 def scan_csv(spark: SparkSession, path: str | list[str], multi_line: bool = True) -> DataFrame:
     """Raw log from CSV with a header row; columns are matched by name, all as text.
+    Files of one scan must have the same header: one that differs is an error.
 
     ``multi_line`` keeps line breaks inside quoted descriptions and reads one file
     per task. For logs without such breaks turn it off so that large files split.
@@ -30,6 +31,7 @@ def scan_csv(spark: SparkSession, path: str | list[str], multi_line: bool = True
         .option("quote", '"')
         .option("escape", '"')
         .option("inferSchema", False)
+        .option("enforceSchema", False)
     )
     return null_tokens(reader.csv(path).select(*RAW_COLUMNS), S.CSV_NA_TOKENS)
 

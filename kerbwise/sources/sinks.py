@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+# A null in a CSV table, apart from the empty text.
+CSV_NULL = "\\N"
+
+
 def write_table(df: DataFrame, path: str, partition_by: str | None = None, format: str = "parquet") -> DataFrame:
     """Write a table and read it back typed. ``csv`` writes a header row.
 
@@ -16,13 +20,13 @@ def write_table(df: DataFrame, path: str, partition_by: str | None = None, forma
         df = df.hint("rebalance", partition_by)
     writer = df.write.mode("overwrite").format(format)
     if format == "csv":
-        writer = writer.option("header", True)
+        writer = writer.options(header=True, escape='"', quoteAll=True, emptyValue="", nullValue=CSV_NULL)
     if partition_by:
         writer = writer.partitionBy(partition_by)
     writer.save(path)
     reader = df.sparkSession.read.schema(df.schema).format(format)
     if format == "csv":
-        reader = reader.option("header", True)
+        reader = reader.options(header=True, multiLine=True, escape='"', emptyValue="", nullValue=CSV_NULL, enforceSchema=False)
     return reader.load(path)
 
 

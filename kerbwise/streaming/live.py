@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kerbwise import settings as S
-from kerbwise.functions.geo import bucket_degrees
+from kerbwise.functions.geo import BUCKET_MARGIN, KM_PER_DEGREE, band_width
 from kerbwise.operators.bursts import is_burst
 from kerbwise.operators.cleaning import clean
 from kerbwise.operators.impact import score
@@ -44,7 +44,8 @@ def windowed_bursts(incidents: DataFrame) -> DataFrame:
     are kept per cause first and per square second, so the state holds numbers only.
     A square approximates the exact circle of the batch operator.
     """
-    height, width = bucket_degrees(S.BURST_KM)
+    height = S.BURST_KM / KM_PER_DEGREE * BUCKET_MARGIN
+    band = F.floor(F.col("lat") / F.lit(height)) - F.col("step.y")
     steps = F.explode(F.array(*[F.struct(F.lit(y).alias("y"), F.lit(x).alias("x")) for y in (0, 1) for x in (0, 1)]))
     per_cause = (
         incidents.filter(F.col("t_event").isNotNull())
@@ -52,8 +53,8 @@ def windowed_bursts(incidents: DataFrame) -> DataFrame:
         .withColumn("step", steps)
         .withColumns(
             {
-                "sq_y": F.floor(F.col("lat") / F.lit(height)) - F.col("step.y"),
-                "sq_x": F.floor(F.col("lon") / F.lit(width)) - F.col("step.x"),
+                "sq_y": band,
+                "sq_x": F.floor(F.col("lon") / band_width(band, S.BURST_KM)) - F.col("step.x"),
             }
         )
         .groupBy(F.window("t_event", WINDOW, SLIDE), "sq_y", "sq_x", "cause")

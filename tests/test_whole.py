@@ -109,6 +109,6 @@ def test_risk_model_learns_place(spark):
         for lat, count in (("12.90", 4), ("13.00", 1 if d % 3 == 0 else 0)):
             rows += [{"latitude": lat, "created_date": f"{day} 06:00:00+00", "resolved_datetime": f"{day} 07:00:00+00"}] * count
     days = surface.cell_days(impact.enrich(raw(spark, rows)))
-    predicted = models.risk_forecast(days, iterations=5)
+    predicted = models.risk_forecast(days, rounds=5)
     mean = {r["gy"]: r["p"] for r in predicted.groupBy("gy").agg(F.avg("pred").alias("p")).collect()}
     assert mean[1075] > 2 * mean[1083] and predicted.filter("pred < 0").count() == 0
