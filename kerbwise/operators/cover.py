@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from kerbwise import settings as S
 from kerbwise.functions.geo import distance_pairs, haversine_km
-from kerbwise.functions.numbers import round_half_even
+from kerbwise.functions.numbers import round_half_even, tenths
 from kerbwise.operators.surface import CELL
 from kerbwise.session import cut, sized
 
@@ -138,6 +138,20 @@ def preposition(
     )
 
 
+def busiest_weekday(cell_dow: DataFrame) -> int | None:
+    """The weekday with the largest total impact, the earlier one of equals; None without any."""
+    total = cell_dow.groupBy("dow").agg(F.sum(tenths(F.col("sum_impact"))).alias("t"))
+    first = total.orderBy(F.desc("t"), "dow").select("dow").first()
+    return first["dow"] if first else None
+
+
+def preposition_busiest(cells: DataFrame, cell_dow: DataFrame, units: int = S.UNITS) -> DataFrame:
+    """City-wide anchors for the busiest weekday, with that weekday."""
+    cell_dow = cut(cell_dow)
+    dow = busiest_weekday(cell_dow)
+    return preposition(cells, units, -1 if dow is None else dow, cell_dow).withColumn("dow", F.lit(dow).cast("int"))
+
+
 def deploy_by_dow(risk: DataFrame, units: int = S.UNITS, minsep_km: float = S.PLAN_MINSEP_KM) -> DataFrame:
     """Anchors for every weekday in one run, at least ``minsep_km`` apart."""
     weighted = cut(risk.filter(F.col("exp_impact") > 0).withColumnRenamed("exp_impact", "w"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kerbwise import settings as S
+from kerbwise.functions.text import urgency_label, urgency_tier
 from kerbwise.operators import anomaly, barricade, bursts, cover, evaluate, models, planned, surface
 from kerbwise.operators.impact import enrich
 from kerbwise.operators.network import Network, top_edges
@@ -32,17 +33,19 @@ def stage_tables(enriched: DataFrame) -> dict[str, DataFrame]:
     }
 
 
-def report_sections(enriched: DataFrame, with_models: bool = False) -> dict:
-    """Every section of the feed as a column of nested values."""
+def report_sections(enriched: DataFrame, predicted: DataFrame | None = None) -> dict:
+    """Every section of the feed as a column of nested values. ``predicted`` is the model's
+    forecast; without it heat, plan, reach and learning curve come from plain averages."""
     cells = cut(surface.risk_cells(enriched))
     days = surface.cell_days(enriched)
-    if with_models:
-        predicted = cut(models.risk_forecast(days))
+    if predicted is not None:
         risk = cut(models.risk_surface_model(predicted))
         clearance = models.clearance_table(enriched)
+        learning = cut(models.walk_forward_model(days))
     else:
         risk = cut(surface.weekday_risk(enriched))
         clearance = models.clearance_by_cause(enriched).select("cause", "p50_min", "p90_min")
+        learning = evaluate.walk_forward(evaluate.walk_forward_scores(days))
     plan = cut(cover.deploy_by_dow(risk))
     curve = cut(cover.coverage_curve(cells))
     network = Network(enriched)
@@ -74,7 +77,7 @@ def report_sections(enriched: DataFrame, with_models: bool = False) -> dict:
         "abnormal_days": rec(anomaly.abnormal_context(enriched, flagged).withColumn("o", -F.col("z")), ["o", "date"],
                              ["date", "z", "impact", "cause", "event"]),
         "barricading": rec(barricade.barricade_plan(barricade.barricade_zones(enriched), diversion), ["gy", "gx"]),
-        "learning_curve": rec(evaluate.walk_forward(evaluate.walk_forward_scores(days)), ["week"]),
+        "learning_curve": rec(learning, ["week"]),
         "gatherings": rec(bursts.burst_dedup(bursts.burst_score(enriched)).withColumn("o", -F.col("size")), ["o", "started"],
                           ["started", "lat", "lon", "size", "area", "cause", "mix", "text"]),
         "scenario_archetypes": rec(scenarios.withColumn("o", -F.col("bump")), ["o", "name"],
@@ -85,7 +88,11 @@ def report_sections(enriched: DataFrame, with_models: bool = False) -> dict:
         "equity": rec(evaluate.equity_by_zone(reached), ["reached_pct", "zone"]),
         "confidence_audit": rec(evaluate.confidence_audit(confidence), ["confidence", "gy", "gx"]),
     }
-    if with_models:
+    busiest = cover.preposition_busiest(cells, surface.cell_dow_load(enriched))
+    sections["preposition"] = rec(busiest, ["k"], ["dow", "k", "lat", "lon", "anchor_corridor", "covers", "cum_coverage_pct"])
+    urgency = enriched.groupBy("cause").agg(F.count(F.lit(1)).alias("incidents")).withColumn("tier", urgency_tier(F.col("cause")))
+    sections["urgency"] = rec(urgency.withColumn("response", urgency_label(F.col("tier"))), ["cause"], ["cause", "incidents", "tier", "response"])
+    if predicted is not None:
         sections["risk_metrics"] = rec(models.risk_metrics(predicted), ["n_cells"])
         sections["clearance_metrics"] = rec(models.clearance_metrics(enriched), ["p50_mae"])
     return sections
@@ -100,7 +107,10 @@ def run(spark: SparkSession, raw: DataFrame, folder: str, with_models: bool = Tr
     prepare(spark)
     stored = sinks.write_table(enrich(raw).select(*ENRICHED_COLUMNS), f"{folder}/incidents_enriched", "date")
     rest = {name: df for name, df in stage_tables(stored).items() if name != "incidents_enriched"}
+    predicted = cut(models.risk_forecast(surface.cell_days(stored))) if with_models else None
+    if predicted is not None:
+        rest["risk_by_dow"] = models.risk_surface_model(predicted)
     sinks.write_tables(rest, folder, {})
-    feed = cut(sinks.document(spark, report_sections(stored, with_models)))
+    feed = cut(sinks.document(spark, report_sections(stored, predicted)))
     sinks.write_feed(feed, f"{folder}/feed")
     return feed

@@ -353,6 +353,11 @@ greedy(
     "city", "SELECT 0 AS one, gy, gx, lat, lon, exp_impact_per_day AS w, -impact AS minus, top_corridor FROM cell_table "
     "WHERE exp_impact_per_day > 0", "one", "minus, gy, gx", S.UNITS, 0.0,
 )
+STEPS["busiest"] = f"SELECT dow FROM unplanned_log WHERE dow IS NOT NULL GROUP BY dow ORDER BY {total('impact_min')} DESC, dow LIMIT 1"
+greedy(
+    "busy", "SELECT 0 AS one, c.gy, c.gx, c.lat, c.lon, d.exp_impact_per_day AS w, -c.impact AS minus FROM cell_table c JOIN cell_dow d USING (gy, gx) "
+    "WHERE d.exp_impact_per_day > 0 AND d.dow = (SELECT dow FROM busiest)", "one", "minus, gy, gx", S.UNITS, 0.0,
+)
 greedy(
     "curve", "SELECT 0 AS one, gy, gx, lat, lon, exp_impact_per_day AS w, -impact AS minus FROM cell_table "
     "WHERE exp_impact_per_day > 0", "one", "minus, gy, gx", S.CURVE_UNITS, S.CURVE_MINSEP_KM,
@@ -549,6 +554,14 @@ FINAL: dict[str, str] = {
         {rnd('gain / 1e6::DOUBLE', 1)} AS covers, cum_coverage_pct
         FROM (SELECT city.*, {coverage('city', 'one', True)} AS cum_coverage_pct FROM city)
         JOIN (SELECT gy, gx, top_corridor AS anchor_corridor FROM cell_table) USING (gy, gx)""",
+    "preposition_busiest": f"""SELECT CAST(k AS INTEGER) AS k, gy, gx, {rnd('lat', 6)} AS lat, {rnd('lon', 6)} AS lon, anchor_corridor,
+        {rnd('gain / 1e6::DOUBLE', 1)} AS covers, cum_coverage_pct, (SELECT dow FROM busiest) AS dow
+        FROM (SELECT busy.*, {coverage('busy', 'one', True)} AS cum_coverage_pct FROM busy)
+        JOIN (SELECT gy, gx, top_corridor AS anchor_corridor FROM cell_table) USING (gy, gx)""",
+    "plan_for_date": f"""SELECT 'unit' AS kind, CAST(k AS VARCHAR) AS name, lat, lon, covers AS impact, CAST(NULL AS INTEGER) AS hold_min
+        FROM week_report WHERE dow = 0
+        UNION ALL SELECT 'uplift', calendar_label, NULL, NULL, {total('impact_min')}, CAST(trunc({quantile('exp_clearance_min', 0.9)}) AS INTEGER)
+        FROM planned_log WHERE month = 1 AND day = 15 GROUP BY calendar_label""",
     "deploy_by_dow": "SELECT dow, k, gy, gx, lat, lon, covers, cum_coverage_pct FROM week_report",
     "coverage_curve": "SELECT k, gy, gx, lat, lon, covers, cum_coverage_pct FROM curve_report",
     "marginal_units": "SELECT " + ", ".join(

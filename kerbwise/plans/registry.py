@@ -24,6 +24,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
 # A given point for the what-if sweep: name, latitude, longitude, extra impact.
+# A given date for the calendar lookup: month, day, weekday (Monday 0).
+DATE = (1, 15, 0)
 PIN = ("Custom event", 12.97, 77.62, 600.0)
 
 
@@ -371,6 +373,16 @@ def preposition(enriched):
     return _cell_columns(cover.preposition(surface.risk_cells(enriched)))
 
 
+@_enriched
+def preposition_busiest(enriched):
+    return _cell_columns(cover.preposition_busiest(surface.risk_cells(enriched), surface.cell_dow_load(enriched)))
+
+
+@_enriched
+def plan_for_date(enriched):
+    return planned.plan_for_date(enriched, cut(cover.deploy_by_dow(surface.weekday_risk(enriched))), *DATE)
+
+
 @_enriched
 def deploy_by_dow(enriched):
     return cover.deploy_by_dow(surface.weekday_risk(enriched))
@@ -512,7 +524,7 @@ def write_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_direct
 def feed_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write all stage tables and the nested feed document; returns its sections."""
-    return full_run.run(spark, scan_events(spark, sf_dir), _fresh_folder(spark, "feed"), with_models=False)
+    return full_run.run(spark, scan_events(spark, sf_dir), _fresh_folder(spark, "feed"))
 
 
 def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
