@@ -2,18 +2,20 @@
 
 Index lists over word shingles with two kinds of skipping. Lists are cut into blocks by set size and
 position of the shingle in the set; block pairs that cannot reach the similarity are skipped whole.
-And a set's answers are taken over from a highly similar set's: every list is first answered for one
-pivot set, sets already linked to each other are skipped together from then on, and two sets whose
+And a set's answers are taken over from a highly similar set's: every list is first answered for a few
+pivot sets, sets already linked to each other are skipped together from then on, and two sets whose
 distances to a common pivot differ too much are skipped by the triangle inequality.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kerbwise.llm import words as W
@@ -27,6 +29,8 @@ COUNTED = int(0.4 * 2**64)
 COMMON = 0.02
 FLUSH = 2_000_000
 POSITIONS = 16
+PIVOTS = 8
+CLOSE, FAMILY_BLOCK = 0.6, 512
 
 
 def pack(values: np.ndarray) -> bytes:
@@ -289,49 +293,111 @@ def _possible(percent: int, n1, p1, n2, p2):
 
 
 def components(lists: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(set_id, comp) for the sets with postings: components of the links between them."""
+    """(set_id, comp) for the sets with postings: components of the links between them.
+
+    Each round answers the open lists (those with sets of several components) for PIVOTS of their sets. Rounds
+    go on while they leave at most three quarters of the pairs across components; then, or when few are left,
+    all of those are answered.
+    """
     labels = stored(lists.select("set_id").distinct().select("set_id", F.col("set_id").alias("comp")), "comps")
-    done = None
-    rows, step = lists, 0
-    while True:
-        placed = stored(rows.join(labels, "set_id"), "placed")
-        state = placed.groupBy("token").agg(
-            F.min("comp").alias("lo"), F.max("comp").alias("hi"),
-            F.min(F.struct(F.xxhash64("set_id", F.lit(step)).alias("h"), "set_id", "n", "pos", "comp")).alias("pivot"),
-        )
-        open_ = state.filter("lo < hi").select("token", "pivot")
-        rows = stored(placed.join(open_, "token"), "open")  # lists within one component are answered
-        shape = rows.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("c")).groupBy("token").agg(F.sum("c").alias("s"), F.sum(F.col("c") * F.col("c")).alias("q"))
-        across, held = shape.agg(F.sum((F.col("s") * F.col("s") - F.col("q")) / 2), F.sum("s")).first()
-        if not held:
+    done, rows, before = None, lists, None
+    for step in count():
+        placed = rows.join(small(labels), "set_id")
+        held = placed.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("c"))
+        shape = held.groupBy("token").agg(F.sum("c").alias("s"), F.sum(F.col("c").cast("double") * F.col("c")).alias("q"), F.count(F.lit(1)).alias("comps"))
+        open_ = stored(shape.filter("comps > 1"), "open")  # lists within one component are answered
+        across, postings = open_.agg(F.sum((F.col("s").cast("double") * F.col("s") - F.col("q")) / 2), F.sum("s")).first()
+        if not postings:
             return labels
-        if across <= 4 * held:
+        rows = stored(placed.join(open_.select("token"), "token", "left_semi"), "rows")
+        if across <= 2 * postings or (before is not None and across > 0.75 * before):
             break
-        pivots = rows.filter("comp != pivot.comp").filter(_possible(percent, F.col("n"), F.col("pos"), F.col("pivot.n"), F.col("pivot.pos")))
-        pairs = pivots.select(F.col("pivot.set_id").alias("a"), F.col("set_id").alias("b")).distinct()
+        order = Window.partitionBy("token").orderBy(F.xxhash64("set_id", F.lit(step)), "set_id")
+        pivots = rows.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= PIVOTS)
+        pivots = pivots.select("token", *[F.col(c).alias(f"p_{c}") for c in ("set_id", "n", "pos", "comp")])
+        near = rows.join(pivots, "token").filter((F.col("comp") != F.col("p_comp")) & _possible(percent, F.col("n"), F.col("pos"), F.col("p_n"), F.col("p_pos")))
+        pairs = near.select(F.least("p_set_id", "set_id").alias("a"), F.greatest("p_set_id", "set_id").alias("b")).distinct()
         if done is not None:
             pairs = pairs.join(done.select("a", "b"), ["a", "b"], "left_anti")
         answers = verified(pairs, sets, percent)
         done = answers if done is None else done.unionByName(answers)
-        before = labels
-        labels = merge(labels, answers.filter("linked"))
-        rows, step = rows.select("token", "set_id", "n", "pos"), step + 1
-        if labels is before:  # pivots say nothing new
-            placed = stored(rows.join(labels, "set_id"), "placed")
-            rows = placed
-            break
-    pairs = _across(rows, done, percent)
-    return merge(labels, verified(pairs, sets, percent).filter("linked"))
-
+        labels, before = merge(labels, answers.filter("linked")), across
+        rows = rows.select("token", "set_id", "n", "pos")
+    if done is None:
+        return merge(labels, verified(_across(rows, None, None, percent), sets, percent).filter("linked"))
+    families = _families(rows, done, labels)
+    inside = _family_links(families, sets, percent)
+    across = verified(_across(rows, done, families, percent), sets, percent).filter("linked")
+    return merge(labels, inside.unionByName(across.select("a", "b")))
+
+
+def _families(rows: DataFrame, done: DataFrame, labels: DataFrame) -> DataFrame:
+    """(set_id, family, comp): each open set joins, of itself and the sets it was compared with and is close to,
+    the one compared most, so that a large group of similar sets has one pivot."""
+    close = done.filter(F.col("distance") <= CLOSE)
+    both = stored(close.select(F.col("a").alias("set_id"), F.col("b").alias("other")).unionByName(close.select(F.col("b").alias("set_id"), F.col("a").alias("other"))), "close")
+    degree = stored(both.groupBy("set_id").agg(F.count(F.lit(1)).alias("degree")), "degree")
+    seen = both.join(small(degree.withColumnRenamed("set_id", "other")), "other").select("set_id", "other", "degree")
+    own = degree.select("set_id", F.col("set_id").alias("other"), "degree")
+    chosen = seen.unionByName(own).groupBy("set_id").agg(F.max(F.struct("degree", "other")).alias("best")).select("set_id", F.col("best.other").alias("family"))
+    needed = rows.select("set_id").distinct()
+    return stored(chosen.join(needed, "set_id", "left_semi").join(small(labels), "set_id"), "families")
+
+
+def _family_links(families: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between sets of one family and different components, one for each pair of components met in a task.
+
+    A set is given by its difference to the pivot, and what two sets share follows from what the pivot shares with
+    each: |x & y| = |p| - |p - x| - |p - y| + |(x ^ p) & (y ^ p)|. Only differences move, FAMILY_BLOCK sets to a block,
+    and a task compares two blocks; families of any size split into blocks.
+    """
+    blocks = small(stored(families.groupBy("family").agg(F.ceil(F.count(F.lit(1)) / FAMILY_BLOCK).cast("int").alias("blocks")), "blocks"))
+    pivot = sets.select(F.col("set_id").alias("family"), F.col("tokens").alias("base"))
+    own = families.join(sets, "set_id").join(pivot, "family").join(blocks, "family")
+    missing = F.array_except("base", "tokens")
+    own = own.select(
+        "family", "set_id", "comp", F.size("tokens").alias("n"), F.size("base").alias("p"), F.size(missing).alias("m"),
+        F.concat(missing, F.array_except("tokens", "base")).alias("difference"),
+        F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"),
+    )
+    own = own.withColumns({"one": F.least("block", "other"), "two": F.greatest("block", "other")}).drop("other")
 
-def _across(rows: DataFrame, done: DataFrame | None, percent: int) -> DataFrame:
-    """Pairs (a, b) of different components that the lists leave possible and no pivot has answered."""
+    def run(table: pa.Table) -> pa.Table:
+        get = lambda name: table.column(name).combine_chunks().to_numpy(zero_copy_only=False)
+        ids, comp, n, m, p, block = (get(c).astype(np.int64) for c in ("set_id", "comp", "n", "m", "p", "block"))
+        lists = table.column("difference").combine_chunks()
+        owner = np.repeat(np.arange(len(ids)), pa.compute.list_value_length(lists).to_numpy(zero_copy_only=False))
+        _, token, seen = np.unique(lists.flatten().to_numpy(zero_copy_only=False), return_inverse=True, return_counts=True)
+        shared = seen[token] > 1
+        token, owner = np.unique(token[shared], return_inverse=True)[1], owner[shared]
+        first, second = get("one")[0], get("two")[0]
+        x, y = np.flatnonzero(block == first), np.flatnonzero(block == second)
+        common = np.zeros((len(x), len(y)), np.float32)
+        for low in range(0, int(token.max(initial=-1)) + 1, 4096):
+            part = (token >= low) & (token < low + 4096)
+            held = np.zeros((len(ids), 4096), np.float32)
+            held[owner[part], token[part] - low] = 1
+            common += held[x] @ held[y].T
+        inter = p[0] - m[x][:, None] - m[y][None, :] + common.astype(np.int64)
+        linked = 100 * inter >= percent * (n[x][:, None] + n[y][None, :] - inter)
+        i, j = np.nonzero(linked & (comp[x][:, None] != comp[y][None, :]))
+        a, b = x[i], y[j]
+        _, once = np.unique(np.stack([comp[a], comp[b]]), axis=1, return_index=True)
+        return pa.table([pa.array(ids[a[once]]), pa.array(ids[b[once]])], ["a", "b"])
+
+    return stored(own.groupBy("family", "one", "two").applyInArrow(run, "a long, b long"), "links")
+
+
+def _across(rows: DataFrame, done: DataFrame | None, families: DataFrame | None, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components and families that the lists leave possible and no pivot has answered."""
     rows = rows.select("token", "set_id", "n", "pos", "comp")
     if done is None:
-        rows = rows.withColumns({"pivot": F.lit(None).cast("long"), "away": F.lit(None).cast("double")})
+        rows = rows.withColumns({"pivot": F.lit(None).cast("long"), "away": F.lit(None).cast("double"), "family": F.lit(None).cast("long")})
     else:
-        near = stored(done.groupBy(F.col("b").alias("set_id")).agg(F.min(F.struct("distance", "a")).alias("near")), "near")
+        both = done.select(F.col("a").alias("set_id"), F.col("b").alias("a"), "distance").unionByName(done.select(F.col("b").alias("set_id"), "a", "distance"))
+        near = stored(both.groupBy("set_id").agg(F.min(F.struct("distance", "a")).alias("near")), "near")
         rows = rows.join(near, "set_id", "left").select("token", "set_id", "n", "pos", "comp", F.col("near.a").alias("pivot"), F.col("near.distance").alias("away"))
+        rows = rows.join(small(families.select("set_id", "family")), "set_id", "left")
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent)))
     rows = stored(rows.withColumn("block", F.struct(band.alias("band"), F.floor(F.col("pos") / POSITIONS).alias("at"))), "blocks")
     blocks = stored(
@@ -348,9 +414,10 @@ def _across(rows: DataFrame, done: DataFrame | None, percent: int) -> DataFrame:
         & (100 * F.col("l_n1") >= percent * F.col("r_n0")) & (100 * F.col("r_n1") >= percent * F.col("l_n0"))
         & ~((F.col("l_c0") == F.col("l_c1")) & (F.col("r_c0") == F.col("r_c1")) & (F.col("l_c0") == F.col("r_c0")))
     )
-    x, y = (rows.select("token", *[F.col(c).alias(f"{side}_{c}") for c in ("block", "set_id", "n", "pos", "comp", "pivot", "away")]) for side in ("l", "r"))
+    x, y = (rows.select("token", *[F.col(c).alias(f"{side}_{c}") for c in ("block", "set_id", "n", "pos", "comp", "pivot", "away", "family")]) for side in ("l", "r"))
     pairs = kept.select("token", "l_block", "r_block").join(x, ["token", "l_block"]).join(y, ["token", "r_block"]).filter(
         (F.col("l_comp") != F.col("r_comp"))
+        & ~F.coalesce(F.col("l_family") == F.col("r_family"), F.lit(False))
         & ((F.col("l_block") != F.col("r_block")) | (F.col("l_set_id") < F.col("r_set_id")))
         & _possible(percent, F.col("l_n"), F.col("l_pos"), F.col("r_n"), F.col("r_pos"))
         & ~F.coalesce((F.col("l_pivot") == F.col("r_pivot")) & (F.abs(F.col("l_away") - F.col("r_away")) > 1 - percent / 100 + 1e-9), F.lit(False))
@@ -358,8 +425,7 @@ def _across(rows: DataFrame, done: DataFrame | None, percent: int) -> DataFrame:
     pairs = pairs.select(F.col("l_set_id").alias("a"), F.col("r_set_id").alias("b"))
     pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     if done is not None:
-        known = done.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        pairs = pairs.join(known, ["a", "b"], "left_anti")
+        pairs = pairs.join(done.select("a", "b"), ["a", "b"], "left_anti")
     return stored(pairs, "pairs")
 
 
