@@ -19,9 +19,9 @@ from kerbwise.llm.store import stored, tasks
 
 _U = np.uint64
 GRAM = 6
-FLUSH = 4_000_000
-#: Cells of the filter of seeds met in two documents; its size is fixed, 16 MB.
-FILTER_BITS = 27
+FLUSH = 3_000_000
+#: Cells of the filter for each seed met in two documents, and most cells of all (128 MB).
+FILTER_LOAD, FILTER_BITS = 12, 30
 BROADCAST_BYTES = 32 << 20
 _BLOB = "bucket int, a binary, b binary, c binary, d binary, e binary, f binary, kind int"
 _SCHEMA = pa.schema([("bucket", pa.int32()), *[(c, pa.binary()) for c in "abcdef"], ("kind", pa.int32())])
@@ -43,9 +43,9 @@ def unsqueeze(data: bytes) -> np.ndarray:
 
 
 def runs(w: W.Words, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Maximal runs of consecutive windows of one text with the same seed: text, first window, windows, seed."""
+    """Maximal runs of consecutive windows of one text with the same seed (of 48-bit words): text, first window, windows, seed."""
     gram = min(GRAM, size)
-    grams = W.combine(w.hashes, gram)
+    grams = W.combine(w.hashes >> _U(16), gram)
     counts = np.maximum(np.diff(w.bounds) - size + 1, 0)
     text = np.repeat(np.arange(len(w)), counts)
     if not len(text):
@@ -65,13 +65,14 @@ def runs(w: W.Words, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
 
 
 def seeds_met_twice(rows: DataFrame, size: int) -> np.ndarray:
-    """Bit map over hashed seeds: set where two documents may share the seed. Every shared seed is set.
+    """Bit map over hashed seeds: set where two rows share the seed, and for few others.
 
-    The map has a fixed size; the fuller it gets, the more passages go on to the index for nothing, never less.
+    Seeds are counted exactly (by 48 bits) in ranges; each range then draws its slice of the map, FILTER_LOAD cells for every
+    seed met twice but at most 2 ** FILTER_BITS cells in all. Beyond that the map fills and lets more passages
+    through to the index for nothing, never fewer.
     """
-    parts = tasks(rows.sparkSession)
-    span = -(-(1 << FILTER_BITS) // parts // 8) * 8
-    shift = _U(64 - FILTER_BITS)
+    level = (tasks(rows.sparkSession) - 1).bit_length()
+    parts = 1 << level
 
     def run(batches):
         cells, owners, held = [], [], 0
@@ -81,40 +82,48 @@ def seeds_met_twice(rows: DataFrame, size: int) -> np.ndarray:
             order = np.argsort(cell, kind="stable")
             cell, owner = cell[order], owner[order]
             start = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
-            end = np.r_[start[1:], len(cell)]
             several = np.minimum.reduceat(owner, start) != np.maximum.reduceat(owner, start)
             value = cell[start] * _U(2) + several.astype(_U)
-            edge = np.searchsorted(cell[start] // _U(span), np.arange(parts + 1, dtype=_U))
+            edge = np.searchsorted(cell[start] >> _U(48 - level), np.arange(parts + 1, dtype=_U))
             got = [(b, pack_sorted(value[i:j])) for b, (i, j) in enumerate(zip(edge[:-1], edge[1:])) if j > i]
-            assert end[-1] == len(cell)
-            return pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.int32()), pa.array([g[1] for g in got], pa.binary())], ["bucket", "cells"])
+            return pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.int32()), pa.array([g[1] for g in got], pa.binary())], ["bucket", "seeds"])
 
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             for w in W.words(batch.column(2)):
                 text, _, _, seed = runs(w, size)
-                cells.append(seed >> shift)
+                cells.append(seed >> _U(16))
                 owners.append(ids[w.first + text])
                 held += len(seed)
-                if held > FLUSH:
+                if held > FLUSH // 2:
                     yield flush()
                     cells, owners, held = [], [], 0
         if held:
             yield flush()
 
-    def mark(table: pa.Table) -> pa.Table:
-        bucket = table.column("bucket")[0].as_py()
-        seen, twice = np.zeros(span, bool), np.zeros(span, bool)
-        for blob in table.column("cells"):
-            value = unpack_sorted(blob.as_py())
-            cell = (value >> _U(1)).astype(np.int64) - bucket * span
-            twice[cell] |= seen[cell] | (value & _U(1)).astype(bool)
-            seen[cell] = True
-        return pa.table([pa.array([bucket], pa.int32()), pa.array([np.packbits(twice, bitorder="little").tobytes()])], ["bucket", "map"])
-
-    sent = rows.mapInArrow(run, "bucket int, cells binary")
-    whole = np.zeros(span * parts // 8, np.uint8)
-    for r in sent.groupBy("bucket").applyInArrow(mark, "bucket int, map binary").toLocalIterator():
+    def count(table: pa.Table) -> pa.Table:
+        value = np.sort(np.concatenate([unpack_sorted(x.as_py()) for x in table.column("seeds")]))
+        seed = value >> _U(1)
+        start = np.flatnonzero(np.r_[True, seed[1:] != seed[:-1]])
+        met = (np.diff(np.r_[start, len(seed)]) > 1) | np.bitwise_or.reduceat(value & _U(1), start).astype(bool)
+        found = seed[start[met]]
+        return pa.table([table.column("bucket")[:1], pa.array([pack_sorted(found)], pa.binary()), pa.array([len(found)], pa.int64())], ["bucket", "seeds", "met"])
+
+    sent = rows.mapInArrow(run, "bucket int, seeds binary")
+    counted = stored(sent.groupBy("bucket").applyInArrow(count, "bucket int, seeds binary, met long"), "seeds")
+    met = counted.agg(F.sum("met")).first()[0] or 0
+    bits = max(level + 3, min(FILTER_BITS, (FILTER_LOAD * met).bit_length()))
+    span = 1 << (bits - level)
+
+    def draw(batches):
+        for batch in batches:
+            for bucket, seeds in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                cells = np.zeros(span, bool)
+                cells[(unpack_sorted(seeds) >> _U(48 - bits)).astype(np.int64) - bucket * span] = True
+                yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([np.packbits(cells, bitorder="little").tobytes()], pa.binary())], ["bucket", "map"])
+
+    whole = np.zeros(1 << (bits - 3), np.uint8)
+    for r in counted.select("bucket", "seeds").mapInArrow(draw, "bucket int, map binary").toLocalIterator():  # at most 2 ** FILTER_BITS bits in all
         whole[r["bucket"] * span // 8 : (r["bucket"] + 1) * span // 8] = np.frombuffer(r["map"], np.uint8)
     return whole
 
@@ -122,7 +131,7 @@ def seeds_met_twice(rows: DataFrame, size: int) -> np.ndarray:
 def _passages(size: int, buckets: int, met: np.ndarray):
     """Map side: passages (runs of windows with a seed met twice) by shard. Of equal passages in a task the one
     in the smallest document goes to the shard; the others repeat it whole and go straight to their documents."""
-    shift = _U(64 - FILTER_BITS)
+    shift = _U(64 - (len(met) * 8).bit_length() + 1)
 
     def flush(held):
         words, lengths, seeds, row, doc, at = (np.concatenate(x) for x in zip(*held))
@@ -149,12 +158,9 @@ def _passages(size: int, buckets: int, met: np.ndarray):
         for b in np.unique(part):
             own = lead[np.searchsorted(part, b) : np.searchsorted(part, b, "right")]
             flat = np.repeat(start[own], lengths[own]) + np.arange(lengths[own].sum()) - np.repeat(np.cumsum(lengths[own]) - lengths[own], lengths[own])
-            vocabulary, index, count = np.unique(words[flat], return_inverse=True, return_counts=True)
-            often = np.argsort(-count, kind="stable")
-            renumber = np.empty(len(often), np.int64)
-            renumber[often] = np.arange(len(often))
+            vocabulary, index = np.unique(words[flat], return_inverse=True)
             rows.append((
-                int(b), pack(vocabulary[often]), squeeze(renumber[index]), squeeze(lengths[own]), pack(row[own].astype(_U)), pack(doc[own].astype(_U)), squeeze(at[own]), 0,
+                int(b), pack_sorted(vocabulary), squeeze(index), squeeze(lengths[own]), pack(row[own].astype(_U)), pack(doc[own].astype(_U)), squeeze(at[own]), 0,
             ))
         return pa.RecordBatch.from_arrays(_rows(rows), schema=_SCHEMA)
 
@@ -172,7 +178,7 @@ def _passages(size: int, buckets: int, met: np.ndarray):
                     continue
                 lengths = windows + size - 1
                 flat = np.repeat(at - (np.cumsum(lengths) - lengths), lengths) + np.arange(lengths.sum())
-                held.append((w.hashes[flat], lengths, seed, ids[w.first + text], docs[w.first + text], at - w.bounds[text]))
+                held.append((w.hashes[flat] >> _U(16), lengths, seed, ids[w.first + text], docs[w.first + text], at - w.bounds[text]))
                 n += len(flat)
                 if n > FLUSH:
                     yield flush(held)
@@ -192,7 +198,7 @@ def _search_shard(size: int, buckets: int):
         if bucket >= buckets:
             return table.set_column(0, "bucket", pa.array([bucket - buckets] * len(table), pa.int32()))
         blobs = list(zip(*[table.column(c).to_pylist() for c in "abcdef"]))
-        words = np.concatenate([unpack(b[0])[unsqueeze(b[1])] for b in blobs])
+        words = np.concatenate([unpack_sorted(b[0])[unsqueeze(b[1])] for b in blobs])
         lengths = np.concatenate([unsqueeze(b[2]) for b in blobs]).astype(np.int64)
         row, doc = (np.concatenate([unpack(b[i]) for b in blobs]).view(np.int64) for i in (3, 4))
         at = np.concatenate([unsqueeze(b[5]) for b in blobs])
@@ -287,7 +293,7 @@ def numbered(docs: DataFrame, key: str, text: str) -> DataFrame:
 def repeated_spans(rows: DataFrame, size: int) -> DataFrame:
     """(row, spans) for rows with words covered by a window that also starts in a row of smaller ``order``."""
     given = rows.select("row", "order", "text")
-    buckets = 4 * tasks(rows.sparkSession)
+    buckets = 2 * tasks(rows.sparkSession)
     met = seeds_met_twice(given, size)
     sent = given.mapInArrow(_passages(size, buckets, met), _BLOB)
     answers = sent.groupBy("bucket").applyInArrow(_search_shard(size, buckets), _BLOB)
@@ -302,7 +308,7 @@ def substring_dedup(docs: DataFrame, size: int = 13, key: str = "doc_id", text:
     by a window whose words also start in a row with a smaller key are removed. Windows are judged on the input.
     Null keys count as larger than all others and as equal to each other; rows that repeat a key do not remove each
     other. Null text has no words. An empty table gives an empty result; other columns are not read.
-    Windows are compared word by word as 64-bit hashes.
+    Windows are compared word by word as 48-bit hashes: a false match needs every word that differs to collide.
     """
     rows = numbered(docs, key, text)
     spans = repeated_spans(rows, size)
