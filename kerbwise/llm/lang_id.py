@@ -118,13 +118,21 @@ def training_rows(docs: DataFrame, text: str, label: str, limit: int) -> tuple[l
                     if b > a:
                         f, c = np.unique(feature[a:b], return_counts=True)
                         yield pa.RecordBatch.from_arrays(
-                            [batch.column(0).slice(row + i, 1), batch.column(2).slice(row + i, 1), pa.array([f.tolist()], pa.list_(pa.int32())), pa.array([(c / (b - a)).tolist()], pa.list_(pa.float64()))],
+                            [batch.column(0).slice(row + i, 1), batch.column(2).slice(row + i, 1), pa.array([f], pa.list_(pa.int32())), pa.array([(c / (b - a)).astype(np.float32)], pa.list_(pa.float32()))],
                             ["h", "label", "feature", "tf"],
                         )
 
-    rows = hashed.filter(F.col("h") <= edge).mapInArrow(run, "h long, label string, feature array<int>, tf array<double>").toArrow()
+    rows = hashed.filter(F.col("h") <= edge).mapInArrow(run, "h long, label string, feature array<int>, tf array<float>").toArrow()
     rows = rows.sort_by([("h", "ascending"), ("label", "ascending")]).slice(0, limit)
-    return [(np.array(f), np.array(t)) for f, t in zip(rows.column("feature").to_pylist(), rows.column("tf").to_pylist())], rows.column("label").to_pylist()
+    return list(zip(list_rows(rows.column("feature")), list_rows(rows.column("tf")))), rows.column("label").to_pylist()
+
+
+def list_rows(column: pa.ChunkedArray) -> list[np.ndarray]:
+    """The rows of a list column as views of one array."""
+    lists = column.combine_chunks()
+    lists = lists if isinstance(lists, pa.Array) else pa.concat_arrays(lists.chunks)
+    counts = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+    return np.split(lists.flatten().to_numpy(zero_copy_only=False), np.cumsum(counts)[:-1]) if len(counts) else []
 
 
 class Model:

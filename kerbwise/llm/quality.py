@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kerbwise.llm import words as W
+from kerbwise.llm.lang_id import list_rows
 
 _U = np.uint64
 BUCKETS = 1 << 16
@@ -155,7 +156,7 @@ def train(docs: DataFrame, text: str = "text", label: str = "quality", size: str
                 for i in range(len(stats)):
                     f, c = np.unique(feature[bounds[i] : bounds[i + 1]], return_counts=True)
                     yield pa.RecordBatch.from_arrays(
-                        [batch.column(0).slice(first + i, 1), batch.column(1).slice(first + i, 1), pa.array([f.tolist()], pa.list_(pa.int32())), pa.array([c.tolist()], pa.list_(pa.int64())), pa.array([stats[i].tolist()], pa.list_(pa.float64()))],
+                        [batch.column(0).slice(first + i, 1), batch.column(1).slice(first + i, 1), pa.array([f], pa.list_(pa.int32())), pa.array([c], pa.list_(pa.int64())), pa.array([stats[i]], pa.list_(pa.float64()))],
                         ["h", "y", "f", "c", "s"],
                     )
 
@@ -164,7 +165,7 @@ def train(docs: DataFrame, text: str = "text", label: str = "quality", size: str
     labels = found.column("y").to_numpy()
     if len(set(labels.tolist())) < 2:
         return None
-    data = [(np.array(f, np.int64), np.array(c, float), np.array(s)) for f, c, s in zip(*(found.column(n).to_pylist() for n in ("f", "c", "s")))]
+    data = list(zip(*(list_rows(found.column(n)) for n in ("f", "c", "s"))))
     return FactorisationMachine().fit(data, labels)
 
 
