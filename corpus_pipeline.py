@@ -18,8 +18,8 @@ MIN_LANGUAGE_SCORE = 0.5
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents without a letter or without a clear language. Learned from the labelled documents themselves."""
-    judged = lang_id.identify(docs, lang_id.train(docs), names=("_language", "_sure"))
-    sure = (F.col("_language") != lang_id.UNKNOWN) & (F.col("_sure") >= MIN_LANGUAGE_SCORE)
+    judged = lang_id.identify(docs, lang_id.train(docs), names=("_stage_language", "_stage_score"))
+    sure = (F.col("_stage_language") != lang_id.UNKNOWN) & (F.col("_stage_score") >= MIN_LANGUAGE_SCORE)
     return judged.filter(sure).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
@@ -40,9 +40,9 @@ def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Take sources at their weights: a document stays once, twice or not at all."""
-    mixed = mixing.apply_mix(docs, mixing.plan_mix(docs))
+    mixed = mixing.apply_mix(_packed(docs, "doc_id", "text", "source"), mixing.plan_mix(docs))
     copies = F.explode(F.array_repeat(F.lit(1), F.col("_copies")))
-    return mixed.filter("_copies > 0").withColumn("_copy", copies).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return mixed.filter("_copies > 0").select("_doc", copies.alias("_copy")).select("_doc.*")
 
 
 def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,9 +58,14 @@ STAGES = [
 ORACLE_SQL = None
 
 
+def _packed(docs: DataFrame, *columns: str) -> DataFrame:
+    """All columns as one, so that none can clash with those of a stage, and the named ones beside it."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), *columns)
+
+
 def _without(docs: DataFrame, rows: DataFrame) -> DataFrame:
     gone = small(stored(rows, "gone"))
-    return docs.withColumn("_row", F.monotonically_increasing_id()).join(gone, "_row", "left_anti").drop("_row")
+    return _packed(docs, F.monotonically_increasing_id().alias("_row")).join(gone, "_row", "left_anti").select("_doc.*")
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
