@@ -110,7 +110,7 @@ def prefix_length(n: np.ndarray, percent: int) -> np.ndarray:
     return np.where(n > 0, n + (-percent * n // 100) + 1, 0)
 
 
-def _tokens_by_bucket(k: int, percent: int, common: np.ndarray, buckets: int):
+def _tokens_by_bucket(k: int, percent: int, common: np.ndarray, buckets: int, parts: int):
     """Map side: counted shingles with their sets, by ranges of the hash; and what a set is known by."""
     step = _U(COUNTED // buckets + 1)
     schema = pa.schema([("bucket", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary()), ("d", pa.binary()), ("kind", pa.int32())])
@@ -129,7 +129,7 @@ def _tokens_by_bucket(k: int, percent: int, common: np.ndarray, buckets: int):
         n, a, tail = (np.concatenate([f[i] for f in facts]) for i in (1, 2, 3))
         tails = np.concatenate([f[4] for f in facts])
         start = np.cumsum(tail) - tail
-        part = (ids[once] % _U(buckets)).astype(np.int64)
+        part = (ids[once] % _U(parts)).astype(np.int64)
         for b in np.unique(part):
             own = once[part == b]
             rest = np.concatenate([tails[start[i] : start[i] + tail[i]] for i in own])
@@ -165,7 +165,7 @@ def _tokens_by_bucket(k: int, percent: int, common: np.ndarray, buckets: int):
     return run
 
 
-def _count_tokens(buckets: int):
+def _count_tokens(buckets: int, parts: int):
     """Per range of the hash: how many sets hold each shingle; those of at least two go on to their sets."""
     schema = pa.schema([("bucket", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary()), ("d", pa.binary()), ("kind", pa.int32())])
 
@@ -184,10 +184,10 @@ def _count_tokens(buckets: int):
         df = np.diff(np.r_[start, len(token)])
         df = np.repeat(df, df)
         token, owner, df = token[df > 1], owner[df > 1], df[df > 1]
-        part = (owner % _U(buckets)).astype(np.int64)
+        part = (owner % _U(parts)).astype(np.int64)
         order = np.lexsort((token, part))
         token, owner, df, part = token[order], owner[order], df[order], part[order]
-        edge = np.searchsorted(part, np.arange(buckets + 1))
+        edge = np.searchsorted(part, np.arange(parts + 1))
         rows = [
             (b, pack_sorted(token[i:j]), pack(owner[i:j]), pack(df[i:j].astype(_U)), b"", 0)
             for b, (i, j) in enumerate(zip(edge[:-1], edge[1:])) if j > i
@@ -234,10 +234,11 @@ def _choose_prefix(percent: int):
 def index_lists(docs: DataFrame, k: int, percent: int, common: np.ndarray, text: str) -> DataFrame:
     """Postings (token, set_id, n, pos) of the lists with at least two sets. Two sets that reach the
     similarity share a shingle of both their prefixes, so they meet in a list."""
-    buckets = 4 * tasks(docs.sparkSession)
+    parts = tasks(docs.sparkSession)
+    buckets = 2 * parts
     blob = "bucket int, a binary, b binary, c binary, d binary, kind int"
-    sent = docs.select(F.lit(None).cast("int").alias("_"), text).mapInArrow(_tokens_by_bucket(k, percent, common, buckets), blob)
-    counted = sent.groupBy("bucket").applyInArrow(_count_tokens(buckets), blob)
+    sent = docs.select(F.lit(None).cast("int").alias("_"), text).mapInArrow(_tokens_by_bucket(k, percent, common, buckets, parts), blob)
+    counted = sent.groupBy("bucket").applyInArrow(_count_tokens(buckets, parts), blob)
     postings = stored(counted.groupBy("bucket").applyInArrow(_choose_prefix(percent), "token long, set_id long, n long, pos long"), "postings")
     shared = postings.groupBy("token").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("token")
     return stored(postings.join(shared, "token", "left_semi"), "lists")
