@@ -1,7 +1,7 @@
 """The corpus pipeline: language, near duplicates, benchmark passages, mix, shards.
 
-Every stage takes (spark, docs, sf_dir) and works on all that its predecessor kept. Rows are told apart by their
-number in the scan of the stage's input, a written table, so that repeated or missing ids are no ambiguity.
+Every stage takes (spark, docs, sf_dir) and works on all that its predecessor kept. Rows are told apart by a number
+that is the same in every pass (``store.numbered``), so that repeated or missing ids are no ambiguity.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kerbwise.llm import decontaminate, jaccard_join, lang_id, mixing, sharding
-from kerbwise.llm.store import small, stored
+from kerbwise.llm.store import numbered, small, stored
 
 #: A document stays if a language was found with at least this calibrated probability.
 MIN_LANGUAGE_SCORE = 0.5
@@ -25,17 +25,19 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked at a similarity of 0.8 of five-word shingles the one with the smallest doc_id stays."""
-    key = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("id"), F.monotonically_increasing_id().alias("row"))
-    linked = jaccard_join.jaccard_components(docs.select(key.alias("_key"), "text"), k=5, percent=80, key="_key")
+    rows = _numbered(docs)
+    key = F.struct(F.col("_doc.doc_id").isNull().alias("n"), F.col("_doc.doc_id").alias("id"), F.col("_row").alias("row"))
+    linked = jaccard_join.jaccard_components(rows.select(key.alias("_key"), F.col("_doc.text").alias("text")), k=5, percent=80, key="_key")
     gone = linked.filter("_key.row != component_id.row").select(F.col("_key.row").alias("_row"))
-    return _without(docs, gone)
+    return _without(rows, gone)
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that hold a benchmark item."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    found = decontaminate.contaminated(docs.select(F.monotonically_increasing_id().alias("_row"), "text"), benchmark, key="_row")
-    return _without(docs, found.select("_row").distinct())
+    rows = _numbered(docs)
+    found = decontaminate.contaminated(rows.select("_row", F.col("_doc.text").alias("text")), benchmark, key="_row")
+    return _without(rows, found.select("_row").distinct())
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -63,9 +65,12 @@ def _packed(docs: DataFrame, *columns: str) -> DataFrame:
     return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), *columns)
 
 
-def _without(docs: DataFrame, rows: DataFrame) -> DataFrame:
-    gone = small(stored(rows, "gone"))
-    return _packed(docs, F.monotonically_increasing_id().alias("_row")).join(gone, "_row", "left_anti").select("_doc.*")
+def _numbered(docs: DataFrame) -> DataFrame:
+    return numbered(docs, "_row", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"))
+
+
+def _without(rows: DataFrame, gone: DataFrame) -> DataFrame:
+    return rows.join(small(stored(gone, "gone")), "_row", "left_anti").select("_doc.*")
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,6 +29,37 @@ def small(table: DataFrame, limit: int = BROADCAST_ROW_LIMIT) -> DataFrame:
     return F.broadcast(table) if table.limit(limit + 1).count() <= limit else table
 
 
+def rereads_alike(df: DataFrame) -> bool:
+    """Whether ``df`` is the scan of one Parquet path with at most a choice of columns and rows above it, so that
+    path and row index of a file name a row once, however its splits are drawn."""
+    if not hasattr(df, "_jdf"):
+        return False
+    plan = df._jdf.queryExecution().analyzed()
+    while plan.getClass().getSimpleName() in ("Project", "Filter", "SubqueryAlias") and plan.deterministic():
+        plan = plan.children().apply(0)
+    if plan.getClass().getSimpleName() != "LogicalRelation" or plan.relation().getClass().getSimpleName() != "HadoopFsRelation":
+        return False
+    relation = plan.relation()
+    return relation.fileFormat().getClass().getSimpleName() == "ParquetFileFormat" and relation.location().rootPaths().size() == 1
+
+
+def numbered(df: DataFrame, name: str, *columns: Column) -> DataFrame:
+    """``columns`` of ``df`` with a number of the row, ``name``, that is the same in every pass and job.
+
+    A number given during a scan follows its splits, and these follow the cores registered at that moment. Rows
+    of a Parquet path are therefore numbered by file and place in the file; those of any other frame are written
+    once with their number.
+    """
+    if not rereads_alike(df):
+        return stored(df.select(*columns, F.monotonically_increasing_id().alias(name)), "numbered")
+    place = df.metadataColumn("_metadata")
+    paths = sorted(r[0] for r in df.select(place.getField("file_path")).distinct().toLocalIterator())  # one a file
+    files = df.sparkSession.createDataFrame(list(enumerate(paths)), "_file_number long, _file_path string")
+    placed = df.select(*columns, place.getField("file_path").alias("_file_path"), place.getField("row_index").alias("_file_row"))
+    joined = placed.join(small(files), "_file_path")
+    return joined.withColumn(name, F.shiftleft("_file_number", 40) + F.col("_file_row")).drop("_file_path", "_file_row", "_file_number")
+
+
 def tasks(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

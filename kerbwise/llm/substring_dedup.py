@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kerbwise.llm import store
 from kerbwise.llm import words as W
 from kerbwise.llm.fm_index import FMIndex
 from kerbwise.llm.jaccard_join import pack, pack_sorted, unpack, unpack_sorted
@@ -285,9 +286,10 @@ def _spans(size: int):
 
 
 def numbered(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """Row number, key (null: largest) and text. The number is that of the scan, the same in every pass."""
+    """Row number, key (null: largest) and text. The number is the same in every pass."""
     order = F.coalesce(F.col(key).cast("long"), F.lit(2**63 - 1))
-    return docs.select(F.monotonically_increasing_id().alias("row"), order.alias("order"), F.col(text).alias("text"), F.col(key).alias("key"))
+    rows = store.numbered(docs, "row", order.alias("order"), F.col(text).alias("text"), F.col(key).alias("key"))
+    return rows.select("row", "order", "text", "key")
 
 
 def repeated_spans(rows: DataFrame, size: int) -> DataFrame:

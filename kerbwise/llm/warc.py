@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kerbwise.llm.store import fresh_path, small, stored
+from kerbwise.llm.store import fresh_path, numbered, small, stored
 
 ARCHIVE_BYTES = 64 << 20
 BLOCK = 1 << 18
@@ -63,9 +63,7 @@ def write_archives(pages: DataFrame, folder: str, archive_bytes: int = ARCHIVE_B
     one of them is the response. Null html is an empty payload. A task's files carry a name of their
     own for each attempt, and only those of the attempts that succeeded are in the returned manifest.
     """
-    source = pages.select(
-        F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html"), F.monotonically_increasing_id().alias("row")
-    )
+    source = numbered(pages, "row", F.col("page_id").cast("long").alias("page_id"), F.col("url"), F.coalesce("html", F.lit("")).alias("html"))
     source = source.withColumn("sha1", F.sha1("html"))
     long_enough = source.filter(F.octet_length("html") >= revisit_min_bytes)
     best = F.max(F.struct("page_id", (-F.col("row")).alias("row"))).alias("best")
