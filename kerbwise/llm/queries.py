@@ -47,8 +47,7 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     manifest = warc.write_archives(pages, warc.archive_folder(pages))
-    records = warc.read_archives(manifest).filter("kind != 'gap'")
-    return records.select("page_id", "payload_bytes", "payload_digest", F.col("kind").alias("record_type"), "refers_to")
+    return warc.read_back(manifest).select("page_id", "payload_bytes", "payload_digest", F.col("kind").alias("record_type"), "refers_to")
 
 
 @_query

@@ -21,6 +21,8 @@ from kerbwise.llm.store import fresh_path, numbered, small, stored
 ARCHIVE_BYTES = 64 << 20
 BLOCK = 1 << 18
 MEMBER, VERSION = b"\x1f\x8b\x08", b"WARC/1."
+#: Every record has each of these once; a second one in a header is that of another record.
+MANDATORY = {"warc-type", "warc-record-id", "warc-date", "content-length"}
 DATE = "2024-01-01T00:00:00Z"
 
 
@@ -167,14 +169,18 @@ def _parse(head: bytes) -> tuple[dict[str, str], int]:
     end = head.find(b"\r\n\r\n")
     if end < 0:
         raise Damaged("header without end")
+    version, *lines = head[:end].split(b"\r\n")
+    if not re.fullmatch(rb"WARC/1\.\d", version):
+        raise Damaged("no version line")
     headers = {}
-    for line in head[:end].split(b"\r\n")[1:]:
+    for line in lines:
         name, colon, value = line.partition(b":")
         if not colon:
             raise Damaged("header line without colon")
-        if b"\r" in line or b"\n" in line or re.search(rb"WARC/1\.\d$", line):
+        key = name.strip().lower().decode("utf-8", "replace")
+        if b"\r" in line or b"\n" in line or (key in MANDATORY and key in headers):
             raise Damaged("another record within the header")
-        headers[name.strip().lower().decode("utf-8", "replace")] = value.strip().decode("utf-8", "replace")
+        headers[key] = value.strip().decode("utf-8", "replace")
     if not headers.get("content-length", "").isascii() or not headers.get("content-length", "").isdigit():
         raise Damaged("no content length")
     return headers, end + 4
@@ -298,5 +304,14 @@ def read_archives(manifest: DataFrame, with_payload: bool = False) -> DataFrame:
     return manifest.select("path").repartition(max(1, files), "path").mapInArrow(read, RECORD_SCHEMA)
 
 
+def read_back(manifest: DataFrame) -> DataFrame:
+    """The records of the archives just written. An error if there are not as many as the manifest states."""
+    records = stored(read_archives(manifest).filter("kind != 'gap'").drop("payload"), "records")
+    written, read = manifest.agg(F.sum("records")).first()[0] or 0, records.count()
+    if read != written:
+        raise RuntimeError(f"{written} records were written and {read} read back")
+    return records
+
+
 def archive_folder(df: DataFrame) -> str:
     return fresh_path(df.sparkSession, "warc")

@@ -6,6 +6,7 @@ import hashlib
 import io
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from kerbwise.llm import url_filter, warc
@@ -118,3 +119,25 @@ def test_search_across_blocks(monkeypatch):
     parts = _file(4)
     noise = b"x" * 1234
     assert _salvaged(noise + b"".join(parts)) == ([0, 1, 2, 3], [(0, 1234)])
+
+
+def test_urls_that_end_like_a_version_line(spark):
+    pages = [(1, "http://a/WARC/1.0", "same"), (2, "http://a/?q=WARC/1.1", "other"), (3, "http://b/", "same"), (9, "http://a/WARC/1.1", "same")]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = warc.read_back(warc.write_archives(df, warc.archive_folder(df)))
+    assert sorted((r.page_id, r.url, r.kind, r.refers_to) for r in got.collect()) == [
+        (1, "http://a/WARC/1.0", "revisit", 9), (2, "http://a/?q=WARC/1.1", "response", None), (3, "http://b/", "revisit", 9), (9, "http://a/WARC/1.1", "response", None),
+    ]
+
+
+def test_a_record_torn_anywhere_in_its_header_is_told_from_the_next():
+    parts = [warc.record(i, f"http://a/{i}/WARC/1.1", b"text %d" % i, warc.payload_digest(b"text %d" % i), None, False) for i in range(3)]
+    for n in range(1, parts[1].index(b"\r\n\r\n")):
+        assert _salvaged(parts[0] + parts[1][:n] + parts[2]) == ([0, 2], [(len(parts[0]), len(parts[0]) + n)]), n
+
+
+def test_a_record_lost_on_reading_back_is_an_error(spark):
+    df = spark.createDataFrame([(1, "u", "x")], "page_id long, url string, html string")
+    manifest = warc.write_archives(df, warc.archive_folder(df))
+    with pytest.raises(RuntimeError, match="2 records were written and 1 read back"):
+        warc.read_back(manifest.withColumn("records", F.lit(2).cast("long")))
