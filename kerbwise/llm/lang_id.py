@@ -19,7 +19,7 @@ from kerbwise.llm.words import CHUNK_BYTES, mix, string_parts
 _U = np.uint64
 FEATURES = 1 << 16
 ORDERS = (1, 2, 3)
-#: The classifier is fitted on at most this many labelled documents, those of smallest hash.
+#: The classifier is fitted on at most this many different labelled texts, those of smallest hash.
 TRAIN_DOCS = 4000
 SCALE = 100.0
 EPOCHS, ALPHA, BETA, L1, L2 = 3, 0.5, 1.0, 0.02, 0.01
@@ -34,6 +34,13 @@ def letters() -> np.ndarray:
     return _letters[0]
 
 
+def has_letter(text: Column) -> Column:
+    """Whether a text has one of ``letters()``; false for null."""
+    edge = np.flatnonzero(np.diff(np.concatenate([[False], letters(), [False]]).astype(np.int8)))
+    ranges = "".join(f"\\x{{{a:x}}}-\\x{{{b - 1:x}}}" for a, b in edge.reshape(-1, 2))
+    return F.coalesce(text.rlike(f"[{ranges}]"), F.lit(False))
+
+
 def remainder(key: Column, modulus: int) -> Column:
     """crc32 of the key as text (null: of nothing), modulo ``modulus``."""
     return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % modulus
@@ -105,11 +112,17 @@ def document_frequencies(docs: DataFrame, text: str) -> tuple[np.ndarray, int]:
 
 
 def training_rows(docs: DataFrame, text: str, label: str, limit: int) -> tuple[list[tuple[np.ndarray, np.ndarray]], list]:
-    """Term frequencies of the (at most ``limit``) texts of smallest hash, with their labels, in that order."""
-    hashed = docs.select(F.xxhash64(text, label).alias("h"), text, label)
-    edge = hashed.select("h").orderBy("h").limit(limit).agg(F.max("h")).first()[0]
+    """Term frequencies of the (at most ``limit``) texts of smallest hash, with their labels, in that order.
+
+    Copies of a text with the same label are one row, and texts without a letter, which train nothing, take no place.
+    """
+    lettered = docs.filter(has_letter(F.col(text)))
+    hashed = lettered.select(F.xxhash64(text, label).alias("h"), F.col(text).alias("text"), F.col(label).cast("string").alias("label"))
+    edge = hashed.select("h").distinct().orderBy("h").limit(limit).agg(F.max("h")).first()[0]
     if edge is None:
         return [], []
+    # Copies are combined where they lie; beside one row a hash, only texts of one hash pass the edge.
+    chosen = hashed.filter(F.col("h") <= edge).groupBy("h", "text", "label").agg(F.lit(1)).orderBy("h", "label", "text").limit(limit)
 
     def run(batches):
         for batch in batches:
@@ -122,8 +135,8 @@ def training_rows(docs: DataFrame, text: str, label: str, limit: int) -> tuple[l
                             ["h", "label", "feature", "tf"],
                         )
 
-    rows = hashed.filter(F.col("h") <= edge).mapInArrow(run, "h long, label string, feature array<int>, tf array<float>").toArrow()
-    rows = rows.sort_by([("h", "ascending"), ("label", "ascending")]).slice(0, limit)
+    rows = chosen.select("h", "text", "label").mapInArrow(run, "h long, label string, feature array<int>, tf array<float>").toArrow()
+    rows = rows.sort_by([("h", "ascending"), ("label", "ascending")])
     return list(zip(list_rows(rows.column("feature")), list_rows(rows.column("tf")))), rows.column("label").to_pylist()
 
 

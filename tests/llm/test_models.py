@@ -97,3 +97,24 @@ def test_quality_on_odd_rows(spark):
     assert {r.score for r in quality.score(odd, quality.train(quality.labelled(odd, labels.filter("quality = 1")))).collect()} == {0.5}
     assert quality.score(cases.empty(spark), model).count() == 0
     assert quality.score(odd, model, size=None).count() == len(got)
+
+
+def test_copies_and_blank_texts_take_no_training_places(spark):
+    texts = [(f"{w} {i} {w[::-1]}", lang) for i in range(20) for lang, w in (("aa", "alpha"), ("bb", "omega"), ("cc", "été"))]
+    h = F.xxhash64("text", "lang")
+    kinds = spark.createDataFrame(texts, "text string, lang string")
+    blanks = spark.createDataFrame([(None, f"l{i}") for i in range(40)] + [(f" {i}.", "aa") for i in range(40)], "text string, lang string")
+    first = kinds.orderBy(h).limit(1)
+    docs = kinds.unionAll(first.crossJoin(spark.range(4500)).drop("id")).unionAll(blanks)
+    rows, names = lang_id.training_rows(docs, "text", "lang", lang_id.TRAIN_DOCS)
+    assert len(rows) == 60 and sorted(names) == sorted(lang for _, lang in texts)
+    rows, names = lang_id.training_rows(docs, "text", "lang", 25)
+    assert names == [r.lang for r in kinds.orderBy(h).limit(25).collect()] and len(rows) == 25
+    assert lang_id.train(docs).languages == ["aa", "bb", "cc"]
+
+
+def test_letters_in_sql_are_those_of_the_classifier(spark):
+    codes = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    df = spark.createDataFrame([(c, chr(c)) for c in codes[::7] + [0x2E80, 0x3400, 0x1E900]], "c int, text string")
+    got = df.select("c", lang_id.has_letter(F.col("text")).alias("l")).collect()
+    assert all(r.l == chr(r.c).isalpha() for r in got)
