@@ -118,3 +118,11 @@ def test_letters_in_sql_are_those_of_the_classifier(spark):
     df = spark.createDataFrame([(c, chr(c)) for c in codes[::7] + [0x2E80, 0x3400, 0x1E900]], "c int, text string")
     got = df.select("c", lang_id.has_letter(F.col("text")).alias("l")).collect()
     assert all(r.l == chr(r.c).isalpha() for r in got)
+
+
+def test_few_rows_are_calibrated_too(spark):
+    docs = spark.createDataFrame([("abcdefghijklmnopqrstuvwxyz"[i : i + 3], f"l{i * 7 % 5 % 2}") for i in range(24)], "text string, lang string")
+    model = lang_id.train(docs)
+    assert model.temperature != 1.0
+    assert lang_id.identify(docs, model).filter("score between 0.5 and 1").count() == 24
+    assert lang_id.train(docs.limit(1)).languages == ["l0"]
