@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kerbwise.llm import decontaminate, exact_dedup, jaccard_join, lang_id, mixing, quality, sharding, substring_dedup, url_filter, warc
+from kerbwise.llm import (
+    decontaminate, exact_dedup, jaccard_join, lang_id, mixing, quality, sharding, substring_dedup, token_files, url_filter, warc,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 URL_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
@@ -83,3 +85,15 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = quality.train(quality.labelled(docs.filter(~held_out), labels.filter(~held_out)))
     scored = quality.score(docs, model)
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def tokenizer_file(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@_query
+def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = token_files.token_files(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
+    return read.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
