@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kerbwise.llm import (
-    decontaminate, exact_dedup, jaccard_join, lang_id, mixing, quality, sharding, substring_dedup, token_files, url_filter, warc,
+    decontaminate, exact_dedup, jaccard_join, lang_id, merkle, mixing, quality, sharding, substring_dedup, token_files, url_filter, warc,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -87,6 +87,11 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+@_query
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(table(spark, sf_dir, "documents"), tampered=merkle.without_line_feeds())
+
+
 def tokenizer_file(name: str) -> str:
     import public_tokenizers
 
