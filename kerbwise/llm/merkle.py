@@ -11,14 +11,14 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kerbwise.llm.store import ordered_sums, small, stored
+from kerbwise.llm.store import ordered_sums, small, stored, tasks
 
 FANOUT = 3
 #: A node is named by its first leaf and its level; levels of the upper tree, over the sources, count from UPPER on.
 UPPER, LEVELS = 64, 128
 #: Up to this many nodes above a level travel to every task; below it they are met by a shuffle, and there a node has
 #: at most FANOUT ** levels leaves, so no key is hot.
-TOP_NODES = 50_000
+TOP_NODES = 20_000
 
 
 def field(value: Column) -> Column:
@@ -27,8 +27,17 @@ def field(value: Column) -> Column:
     return F.coalesce(F.concat(F.octet_length(text).cast("string"), F.lit(":"), text), F.lit("-"))
 
 
+def digest(text: Column) -> Column:
+    """SHA-256 as bytes; inputs are given as text."""
+    return F.unhex(F.sha2(text, 256))
+
+
+def as_text(hashes: Column) -> Column:
+    return F.lower(F.hex(hashes))
+
+
 def leaf_hash(*values: Column) -> Column:
-    return F.sha2(F.concat(*[field(v) for v in values]), 256)
+    return digest(F.concat(*[field(v) for v in values]))
 
 
 def name_of(first: Column, level: Column | int) -> Column:
@@ -52,12 +61,12 @@ def levels(leaves: DataFrame, base: int) -> tuple[DataFrame, DataFrame]:
         run = F.floor(F.col("place") / FANOUT).alias("run")
         child = [F.max(F.when(F.col("place") % FANOUT == i, F.struct("id", "hash"))).alias(f"c{i}") for i in range(FANOUT)]
         runs = going.groupBy("tree", run).agg(F.first("size").alias("size"), F.min("first").alias("first"), *child)
-        hashes = [F.coalesce(F.col(f"c{i}.hash"), F.lit("")) for i in range(FANOUT)]
+        hashes = [F.coalesce(F.col(f"c{i}.hash"), F.lit(b"")) for i in range(FANOUT)]
         level += 1
-        runs = runs.withColumns({"parent": name_of(F.col("first"), level), "hash": F.sha2(F.concat(*hashes), 256)})
+        runs = runs.withColumns({"parent": name_of(F.col("first"), level), "hash": digest(as_text(F.concat(*hashes)))})
         runs = stored(runs, "runs")
         rows = F.array(*[
-            F.struct(F.col(f"c{i}.id").alias("id"), F.concat(F.lit(""), *hashes[:i]).alias("lefts"), F.concat(F.lit(""), *hashes[i + 1 :]).alias("rights"))
+            F.struct(F.col(f"c{i}.id").alias("id"), F.concat(F.lit(b""), *hashes[:i]).alias("lefts"), F.concat(F.lit(b""), *hashes[i + 1 :]).alias("rights"))
             for i in range(FANOUT)
         ])
         below = runs.select("parent", F.lit(level - 1).alias("level"), F.explode(rows).alias("c")).filter("c.id is not null").select("c.id", "level", "parent", "c.lefts", "c.rights")
@@ -80,28 +89,31 @@ def unlimited_recursion(spark: SparkSession):
             spark.conf.set(name, before)
 
 
-def climb(start: DataFrame, nodes: DataFrame, name: str, hint: str = "") -> DataFrame:
-    """Ascend from (leaf, node, folded) over the node rows until no node of theirs is met: rows (leaf, step, node, folded,
-    lefts, rights), one a leaf and level. ``folded`` is the hash at the node, ``lefts`` and ``rights`` are what was met
-    below it."""
+def climb(start: DataFrame, nodes: DataFrame, name: str, columns: dict[str, str], result: str, hint: str = "") -> DataFrame:
+    """A recursive query over the node rows, stored: ``start`` has node and the names of ``columns``, whose values say how each
+    goes on when the climb (c) meets the row (n) of its node. ``result`` is what is selected from all rows met, with
+    the number of the step."""
     spark = start.sparkSession
-    start.createOrReplaceTempView(f"{name}_start")
-    nodes.createOrReplaceTempView(f"{name}_nodes")
+    views = {f"{name}_start": start, f"{name}_nodes": nodes}
+    for view, frame in views.items():
+        frame.createOrReplaceTempView(view)
     try:
         with unlimited_recursion(spark):
-            steps = spark.sql(f"""
-                WITH RECURSIVE climb(leaf, step, node, folded, siblings) AS (
-                    SELECT leaf, 0, node, folded, CAST(unhex('') AS BINARY) FROM {name}_start
+            met = spark.sql(f"""
+                WITH RECURSIVE climb(step, node, {", ".join(columns)}) AS (
+                    SELECT 0, node, {", ".join(columns)} FROM {name}_start
                     UNION ALL
-                    SELECT {hint} c.leaf, c.step + 1, n.parent, unhex(sha2(concat(n.lefts, lower(hex(c.folded)), n.rights), 256)), unhex(concat(n.lefts, n.rights))
-                    FROM climb c JOIN {name}_nodes n ON c.node = n.id
+                    SELECT {hint} c.step + 1, n.parent, {", ".join(columns.values())} FROM climb c JOIN {name}_nodes n ON c.node = n.id
                 )
-                SELECT leaf, step, node, folded, siblings FROM climb
+                SELECT {result}
             """)
-            return stored(steps, "climb")
+            return stored(met, "climb")
     finally:
-        spark.catalog.dropTempView(f"{name}_start")
-        spark.catalog.dropTempView(f"{name}_nodes")
+        for view in views:
+            spark.catalog.dropTempView(view)
+
+
+FOLD = "unhex(sha2(lower(hex(concat(n.lefts, c.folded, n.rights))), 256))"
 
 
 def build(docs: DataFrame, key: str = "doc_id", source: str = "source", fields: tuple[str, ...] = ("doc_id", "source", "lang", "n_chars", "text"),
@@ -127,36 +139,47 @@ def build(docs: DataFrame, key: str = "doc_id", source: str = "source", fields:
     ranked = stored(ranked.select(F.lit(0).alias("tree"), "place", F.lit(subroots.count()).cast("long").alias("size"), "first", "id", "hash"), "sources")
     upper, roots = levels(ranked, UPPER)
     found = [n for n in (nodes, upper) if n is not None]
-    empty = rows.sparkSession.createDataFrame([], "id long, level int, parent long, lefts string, rights string")
+    empty = rows.sparkSession.createDataFrame([], "id long, level int, parent long, lefts binary, rights binary")
     both = found[0] if len(found) == 1 else found[0].unionByName(found[1]) if found else empty
     subroots = subroots.select("tree", F.col("first").alias("tree_first"), F.col("hash").alias("subroot"))
-    root = roots.select("hash").first()
+    root = roots.select(as_text(F.col("hash")).alias("hash")).first()
     return placed, stored(both, "nodes"), subroots.withColumn("root", F.lit(root["hash"] if root else None).cast("string"))
 
 
 def prove(leaves: DataFrame, nodes: DataFrame, top_nodes: int = TOP_NODES) -> DataFrame:
-    """(leaf, proof_sha256, folded_root) of every leaf. The lower levels are climbed by shuffles until at most ``top_nodes``
-    nodes are above, the others with those nodes in every task."""
+    """(leaf, proof_sha256, folded_root) of every leaf.
+
+    Levels with at most ``top_nodes`` nodes in all, from the root down, travel to every task; below them the climb meets
+    its nodes by shuffles, handing on the siblings of a step as a row. What is met above an entry to the upper levels is the
+    same for all leaves below it, so those siblings are appended once per entry; hashes are folded per leaf all the way.
+    """
     sizes = sorted((r["level"], r["count"]) for r in nodes.groupBy("level").count().collect())  # a row a level
     above, split = 0, (sizes[-1][0] + 1 if sizes else 0)
     for level, count in reversed(sizes):
         if above + count > top_nodes:
             break
         above, split = above + count, level
-    start = leaves.select("leaf", name_of(F.col("leaf"), 0).alias("node"), F.unhex("after").alias("folded"))
-    steps = []
+    start = leaves.select("leaf", name_of(F.col("leaf"), 0).alias("node"), F.col("after").alias("folded"))
     if sizes and sizes[0][0] < split:
-        low = climb(start, nodes.filter(F.col("level") < split), "low")
-        steps.append(low.filter("step > 0").select("leaf", F.col("step").alias("at"), "folded", "siblings"))
-        last = low.groupBy("leaf").agg(F.max(F.struct("step", "node", "folded")).alias("l"))
-        start = stored(last.select("leaf", "l.node", "l.folded"), "climb")
-    high = climb(start, nodes.filter(F.col("level") >= split), "high", "/*+ BROADCAST(n) */")
-    steps.append(high.select("leaf", (F.col("step") + LEVELS).alias("at"), "folded", "siblings"))
-    both = steps[0] if len(steps) == 1 else steps[0].unionByName(steps[1])
-    met = both.groupBy("leaf").agg(F.collect_list(F.struct("at", "siblings", "folded")).alias("steps"))  # a row a level
-    way = F.array_sort("steps")
-    proof = F.array_join(F.transform(way, lambda s: F.lower(F.hex(s["siblings"]))), "")
-    return met.select("leaf", F.sha2(proof, 256).alias("proof_sha256"), F.lower(F.hex(F.element_at(way, -1)["folded"])).alias("folded_root"))
+        steps = climb(
+            start.withColumn("siblings", F.lit(b"")), nodes.filter(F.col("level") < split), "low",
+            {"leaf": "c.leaf", "folded": FOLD, "siblings": "concat(n.lefts, n.rights)"}, "leaf, step, node, folded, siblings FROM climb",
+        )
+        met = steps.groupBy("leaf").agg(F.collect_list(F.struct("step", "siblings")).alias("s"), F.max(F.struct("step", "node", "folded")).alias("l"))  # a row a level
+        own = F.array_join(F.transform(F.array_sort("s"), lambda x: as_text(x["siblings"])), "")
+        start = stored(met.select("leaf", "l.node", "l.folded", F.unhex(own).alias("low")), "climb")
+    else:
+        start = start.withColumn("low", F.lit(b""))
+    top = nodes.filter(F.col("level") >= split)
+    wide = "/*+ BROADCAST(n) */"
+    entries = start.select(F.col("node").alias("entry"), "node").distinct().withColumn("high", F.lit(b""))
+    last = "FROM climb LEFT ANTI JOIN {0}_nodes n ON climb.node = n.id"  # at the root
+    append = {"entry": "c.entry", "high": "concat(c.high, n.lefts, n.rights)"}
+    highs = climb(entries, top, "entry", append, f"entry, high {last.format('entry')}", wide)
+    spread = start.select("leaf", "node", "folded").repartition(tasks(leaves.sparkSession), "leaf")
+    roots = climb(spread, top, "high", {"leaf": "c.leaf", "folded": FOLD}, f"leaf, folded {last.format('high')}", wide)
+    proofs = start.join(small(highs), start["node"] == highs["entry"]).select("leaf", F.sha2(as_text(F.concat("low", "high")), 256).alias("proof_sha256"))
+    return proofs.join(roots, "leaf").select("leaf", "proof_sha256", as_text(F.col("folded")).alias("folded_root"))
 
 
 def manifest(docs: DataFrame, key: str = "doc_id", source: str = "source", fields: tuple[str, ...] = ("doc_id", "source", "lang", "n_chars", "text"),
@@ -174,7 +197,7 @@ def manifest(docs: DataFrame, key: str = "doc_id", source: str = "source", field
     proofs = stored(prove(leaves, nodes), "proofs")
     joined = leaves.alias("l").join(small(stored(tops, "tops")).alias("t"), F.col("l.tree").eqNullSafe(F.col("t.tree"))).select("leaf", "key", "hash", "subroot", "root")
     return joined.join(proofs, "leaf").select(
-        F.col("key").alias(key), F.col("hash").alias("leaf"), "subroot", "root", "proof_sha256", "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"),
+        F.col("key").alias(key), as_text(F.col("hash")).alias("leaf"), as_text(F.col("subroot")).alias("subroot"), "root", "proof_sha256", "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"),
     )
 
 
