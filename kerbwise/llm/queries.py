@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kerbwise.llm import (
-    decontaminate, exact_dedup, jaccard_join, lang_id, merkle, mixing, quality, sharding, substring_dedup, token_files, url_filter, warc,
+    alignment, decontaminate, exact_dedup, jaccard_join, lang_id, merkle, mixing, quality, sharding, substring_dedup, token_files, url_filter, warc,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -98,6 +98,12 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+@_query
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return alignment.alignment(docs, tokenizer_file("byte_bpe_50k.json"), tokenizer_file("piece_bpe_32k.model"))
+
+
 @_query
 def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = token_files.token_files(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
