@@ -1,7 +1,7 @@
 """Alignment of two tokenizers' tokens over the same bytes, and corpus counts of the id pairs they link.
 
 Arrow from end to end: token lists are flattened with the index of their document, lengths summed to ends per document, the
-ends of both tokenizers joined by Acero on (document, end), and pairs counted by ``Table.group_by``. What a task has counted
+ends of both tokenizers joined by Acero on document-end keys, and pairs counted by ``Table.group_by``. What a task has counted
 are partial counts, which Spark adds up.
 """
 
@@ -29,10 +29,8 @@ TABLE_PAIRS = 500_000
 # One batch ------------------------------------------------------------------
 
 
-def token_lists(kind: type, path: str, texts: list[bytes]) -> pa.ListArray:
-    ids = [encoding.held(kind, path).encode(t) if t else b"" for t in texts]
-    ends = np.cumsum([0, *[len(i) // 4 for i in ids]])
-    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(ids), "<u4").astype(np.int32)))
+def token_lists(byte_path: str, piece_path: str, texts: list[bytes]) -> list[pa.ListArray]:
+    return [pa.ListArray.from_arrays(pa.array(at), pa.array(ids)) for ids, at in encoding.held_pair(byte_path, piece_path).both(texts)]
 
 
 def spells(ids: pa.ListArray, token_bytes: pa.Array, texts: list[bytes]) -> np.ndarray:
@@ -52,42 +50,49 @@ def kept_lists(ids: pa.ListArray, good: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, lists)]), pa.int32()), pa.concat_arrays(lists) if lists else pa.array([], pa.int32()))
 
 
-def ends(ids: pa.ListArray, sizes: pa.Array, side: str) -> pa.Table:
-    """Tokens one after another: document, end (bytes of the document up to the token's last), and place among all."""
+def ends(ids: pa.ListArray, sizes: pa.Array, starts: pa.Array, side: str) -> pa.Table:
+    """Tokens one after another: document-end key and place among all. The key is the end of the token in its document, a
+    segmented cumulative sum of lengths, behind the start that all tokens of the document share on either side."""
     doc, run = pc.list_parent_indices(ids), pc.cumulative_sum(pc.take(sizes, pc.list_flatten(ids)))
-    before = pa.concat_arrays([pa.array([0], pa.int64()), run])  # segmented: less the sum before the document
-    start = pc.take(before, ids.offsets.slice(0, len(ids)))
-    return pa.table({"doc": doc, "end": pc.subtract(run, pc.take(start, doc)), side: pa.array(np.arange(len(doc), dtype=np.int32))})
+    before = pc.take(pa.concat_arrays([pa.array([0], pa.int64()), run]), ids.offsets.slice(0, len(ids)))
+    end = pc.subtract(run, pc.take(pc.subtract(before, starts), doc))
+    return pa.table({"key": end, side: pa.array(np.arange(len(doc), dtype=np.int32))})
 
 
-def align(a: pa.ListArray, b: pa.ListArray, size_a: pa.Array, size_b: pa.Array) -> pa.Table:
+def align(a: pa.ListArray, b: pa.ListArray, size_a: pa.Array, size_b: pa.Array, starts: pa.Array) -> pa.Table:
     """One row per link, in order: doc, a, b (places among all tokens of a side) and ``both``, whether both tokens end with it.
 
-    Between two neighbouring ends of either side lies one stretch of bytes, covered by one token of each; so
-    the links are the different ends, each with the next token to end there or later on either side."""
-    met = ends(a, size_a, "a").join(ends(b, size_b, "b"), ["doc", "end"], join_type="full outer", use_threads=False)
-    doc, end = (met.column(c).combine_chunks().to_numpy(zero_copy_only=False) for c in ("doc", "end"))
-    met = met.take(pa.array(np.lexsort((end, doc))))
+    ``starts`` has a number for each document, larger by more than its bytes for the next. Between two neighbouring
+    ends of either side lies one stretch of bytes, covered by one token of each; so the links are the different
+    ends, each with the next token to end there or later on either side."""
+    met = ends(a, size_a, starts, "a").join(ends(b, size_b, starts, "b"), "key", join_type="full outer", use_threads=False)
+    met = met.take(pa.array(np.argsort(met.column("key").to_numpy())))
     ta, tb = met.column("a").combine_chunks(), met.column("b").combine_chunks()
-    return pa.table({"doc": met.column("doc"), "a": pc.fill_null_backward(ta), "b": pc.fill_null_backward(tb), "both": pc.and_(pc.is_valid(ta), pc.is_valid(tb))})
+    doc = np.searchsorted(starts.to_numpy(), met.column("key").to_numpy(), "left") - 1
+    return pa.table({"doc": pa.array(doc), "a": pc.fill_null_backward(ta), "b": pc.fill_null_backward(tb), "both": pc.and_(pc.is_valid(ta), pc.is_valid(tb))})
 
 
-def group_texts(a: pa.ListArray, b: pa.ListArray, links: pa.Table) -> list[bytes]:
+def marked_ids(size: int) -> pa.Array:
+    """Every id as text with a comma, a bar and a semicolon behind it."""
+    return pa.array([f"{i}{mark}" for i in range(size) for mark in ",|;"], pa.string())
+
+
+def group_texts(a: pa.ListArray, b: pa.ListArray, links: pa.Table, marked: pa.Array) -> list[bytes]:
     """For each document its groups as text: ids of a group joined by commas, the sides by a bar, groups by semicolons."""
-    both = links.column("both").combine_chunks().to_numpy(zero_copy_only=False)
-    last = [links.column(c).combine_chunks().to_numpy(zero_copy_only=False)[both] for c in ("a", "b")]  # last tokens of each group
-    n, flat = [len(x.values) for x in (a, b)], [np.asarray(x.values) for x in (a, b)]
-    group = [np.searchsorted(e, np.arange(k)) for e, k in zip(last, n)]
+    both = links.column("both").to_numpy()
+    n, at, text = [len(x.values) for x in (a, b)], [], np.empty(len(a.values) + len(b.values), np.int64)
+    last = [links.column(c).to_numpy()[both] for c in ("a", "b")]  # last tokens of each group
     upto = [np.r_[0, e + 1] for e in last]  # tokens of a side in the groups before
-    at = [np.arange(n[0]) + upto[1][group[0]], np.arange(n[1]) + upto[0][group[1] + 1]]
-    ids, mark = np.empty(sum(n), np.int64), np.zeros(sum(n), np.int64)
     for side in (0, 1):
-        ids[at[side]] = flat[side]
-        mark[at[side][last[side]]] = side + 1
-    marks = pa.array([b",", b"|", b";"], pa.binary())
-    text = pc.binary_join_element_wise(pc.cast(pa.array(ids), pa.string()).cast(pa.binary()), pc.take(marks, pa.array(mark)), b"")
-    _, offsets, data = text.cast(pa.large_binary()).buffers()
-    offsets = np.frombuffer(offsets, np.int64, len(text) + 1)
+        closed = np.zeros(n[side] + 1, np.int32)
+        closed[last[side] + 1] = 1
+        group = np.cumsum(closed[:-1])
+        at.append(np.arange(n[side]) + upto[1 - side][group + side])
+        mark = np.zeros(n[side], np.int64)
+        mark[last[side]] = side + 1
+        text[at[side]] = 3 * np.asarray((a, b)[side].values).astype(np.int64) + mark
+    _, offsets, data = pc.take(marked, pa.array(text)).buffers()
+    offsets = np.frombuffer(offsets, np.int32, len(text) + 1)
     first = np.asarray(a.offsets) + np.asarray(b.offsets)
     data = memoryview(data).cast("B") if data is not None else memoryview(b"")
     return [bytes(data[offsets[i] : max(offsets[i], offsets[j] - 1)]) for i, j in zip(first[:-1], first[1:])]
@@ -120,6 +125,7 @@ def aligned(docs: DataFrame, byte_path: str, piece_path: str, key: str = "doc_id
         kinds = [(encoding.ByteBpe, byte_path), (encoding.PieceBpe, piece_path)]
         spelt = [pa.array(encoding.held(k, p).token_bytes(), pa.binary()) for k, p in kinds]
         sizes = [pc.cast(pc.binary_length(s), pa.int64()) for s in spelt]
+        marked = marked_ids(max(map(len, spelt)))
         counted, held, id_type = [], 0, None
 
         def counts() -> pa.RecordBatch:
@@ -129,10 +135,11 @@ def aligned(docs: DataFrame, byte_path: str, piece_path: str, key: str = "doc_id
         for batch in batches:
             id_type = batch.schema.field(0).type
             for first, texts in encoding.runs(batch.column(1)):
-                lists = [token_lists(k, p, texts) for k, p in kinds]
+                lists = token_lists(byte_path, piece_path, texts)
                 good = spells(lists[0], spelt[0], texts) & spells(lists[1], spelt[1], texts)
                 a, b = (kept_lists(x, good) for x in lists)
-                links = align(a, b, *sizes)
+                starts = pa.array(np.cumsum([0, *[len(t) + 2 for t in texts]])[:-1])
+                links = align(a, b, *sizes, starts)
                 pairs = pa.table({"doc": links.column("doc"), "a": pc.take(a.values, links.column("a")), "b": pc.take(b.values, links.column("b"))})
                 own = pairs.group_by(["doc", "a", "b"], use_threads=False).aggregate([([], "count_all")]).rename_columns(["doc", "a", "b", "n"])
                 own = own.take(np.argsort(own.column("doc").to_numpy(), kind="stable")).combine_chunks()
@@ -140,7 +147,7 @@ def aligned(docs: DataFrame, byte_path: str, piece_path: str, key: str = "doc_id
                 held += len(counted[-1])
                 doc = links.column("doc").to_numpy()
                 places = pa.array(np.searchsorted(own.column("doc").to_numpy(), np.arange(len(texts) + 1)).astype(np.int32))
-                text_of = group_texts(a, b, links)
+                text_of = group_texts(a, b, links, marked)
                 count = lambda x: pa.array(np.bincount(x, minlength=len(texts)).astype(np.int64))
                 yield batch_of(
                     len(texts), id_type, id=batch.column(0).slice(first, len(texts)), row=batch.column(2).slice(first, len(texts)),

@@ -13,6 +13,7 @@ import re
 from array import array
 from collections.abc import Callable
 
+import numpy as np
 import pyarrow as pa
 import regex
 
@@ -22,14 +23,23 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Pieces remembered by one worker, some 150 bytes each. Half of them are dropped at a time, those not met lately.
 REMEMBERED = 1_200_000
-#: White space other than one blank, or one line feed, between two words.
-OTHER_SPACE = re.compile(
-    rb"^[\n ]|[\n ]$|[\n ][\n ]|[\t\x0b-\r\x1c-\x1f]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80"
-)
+#: White space other than one blank, or one line feed, between two words; beyond ASCII by its UTF-8 bytes.
+DOUBLED = [b"  ", b"\n\n", b" \n", b"\n "]
+CONTROLS = [bytes([c]) for c in (*range(9, 10), *range(11, 14), *range(28, 32))]
+WIDE_SPACE = [b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a\x80", b"\xe2\x81\x9f", b"\xe3\x80\x80"]
+GENERAL_SPACE = re.compile(rb"\xe2\x80[\x80-\x8a\xa8\xa9\xaf]")
 #: Characters below U+0250 but for control characters: composed already, and lower-cased one by one.
 PLAIN = re.compile("[\x09-\x0d\x20-\x7e\xa0-\u024f]*")
 
 
+def other_space(text: bytes) -> bool:
+    if text[:1] in (b" ", b"\n") or text[-1:] in (b" ", b"\n") or any(c in text for c in DOUBLED) or any(c in text for c in CONTROLS):
+        return True
+    if text.isascii():
+        return False
+    return any(c in text for c in WIDE_SPACE) or (b"\xe2\x80" in text and GENERAL_SPACE.search(text) is not None)
+
+
 class Remembered(dict):
     """Ids of each piece met, as bytes of little-endian unsigned 32-bit numbers; ``ids`` gives those of a new one."""
 
@@ -55,7 +65,7 @@ class Encoder:
     def split(self, text: bytes) -> list[bytes] | None:
         """Pieces of a text; None if it must be encoded whole. A piece that does not begin with a line feed stands
         for itself after a blank."""
-        return None if OTHER_SPACE.search(text) else text.replace(b"\n", b" \n").split(b" ")
+        return None if other_space(text) else text.replace(b"\n", b" \n").split(b" ")
 
     def piece(self, piece: bytes) -> bytes:
         raise NotImplementedError
@@ -88,7 +98,7 @@ class LibraryBpe(Encoder):
         self.library = Tokenizer.from_file(path)
         self.model = self.library.model
         self.letters = byte_letters()
-        self.runs = Remembered(self.run, REMEMBERED // 2)
+        self.runs = Remembered(self.run, REMEMBERED // 4)
 
     def run(self, run: str) -> bytes:
         if not run.isascii() or " " in run or "\n" in run:
@@ -178,6 +188,40 @@ class PieceBpe(Encoder):
         return [bytes([int(m[1], 16)]) if (m := one.fullmatch(p)) else p.replace("▁", " ").encode() for p in self.entries]
 
 
+class Pair(Encoder):
+    """A byte-level and a sentence-piece tokenizer at once: each piece is looked up once for both. A piece's numbers are the ids of
+    the first, a mark, the ids of the second, a mark."""
+
+    MARK = 0xFFFFFFFF
+
+    def __init__(self, first: ByteBpe, second: PieceBpe, limit: int = REMEMBERED // 2):
+        self.first, self.second = first, second
+        self.known = Remembered(self.piece, limit)
+        self.mark = array("I", [self.MARK]).tobytes()
+
+    def piece(self, piece: bytes) -> bytes:
+        return self.first.piece(piece) + self.mark + self.second.piece(piece) + self.mark
+
+    def split(self, text: bytes) -> list[bytes] | None:
+        return self.second.split(text)  # the first takes any text without other white space
+
+    def whole(self, text: bytes) -> list[int]:
+        return [*self.first.whole(text), self.MARK, *self.second.whole(text), self.MARK]
+
+    def both(self, texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each tokenizer all ids of the texts, and where each text's begin and end."""
+        found = [self.encode(t) if t else b"" for t in texts]
+        numbers = np.frombuffer(b"".join(found), "<u4")
+        mark = numbers == self.MARK
+        side = np.cumsum(mark) & 1
+        at = np.cumsum([0, *[len(x) // 4 for x in found]])
+        out = []
+        for i in (0, 1):
+            own = ~mark & (side == i)
+            out.append((numbers[own].astype(np.int32), np.r_[0, np.cumsum(own)][at].astype(np.int32)))
+        return out
+
+
 _held: dict[tuple[type, str], Encoder] = {}
 
 
@@ -188,6 +232,12 @@ def held(kind: type, path: str) -> Encoder:
     return _held[kind, path]
 
 
+def held_pair(byte_path: str, piece_path: str) -> Pair:
+    if (Pair, byte_path + piece_path) not in _held:
+        _held[Pair, byte_path + piece_path] = Pair(held(ByteBpe, byte_path), held(PieceBpe, piece_path))
+    return _held[Pair, byte_path + piece_path]
+
+
 def runs(texts: pa.Array):
     """Whole texts in runs of about a megabyte: first row, the texts as bytes (null as empty)."""
     for row, data, offsets in W.chunks(texts):

@@ -54,6 +54,15 @@ def test_pieces_give_the_ids_of_whole_texts(kind, spark):
     short()
 
 
+def test_two_tokenizers_at_once_give_what_each_gives():
+    pair = encoding.held_pair(ALL[encoding.ByteBpe], ALL[encoding.PieceBpe])
+    texts = [t.encode() for t in ODD_TEXTS]
+    for side, kind in ((0, encoding.ByteBpe), (1, encoding.PieceBpe)):
+        ids, at = pair.both(texts)[side]
+        for i, t in enumerate(texts):
+            assert ids[at[i] : at[i + 1]].tolist() == (list(encoding.held(kind, ALL[kind]).whole(t)) if t else [])
+
+
 def test_a_full_memory_changes_nothing():
     encoder = encoding.WordBpe(WORD)
     encoder.known, encoder.runs = encoding.Remembered(encoder.piece, 6), encoding.Remembered(encoder.run, 4)
