@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark import SparkContext
+from concurrent.futures import ThreadPoolExecutor
+from datetime import timedelta
+from functools import reduce
+
+from pyspark import inheritable_thread_target
 from pyspark.ml.feature import StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressionModel, GBTRegressor, RandomForestRegressor
@@ -13,13 +17,10 @@ from kerbwise import settings as S
 from kerbwise.functions.numbers import round_half_even
 from kerbwise.functions.quantiles import exact_quantile, value_counts
 from kerbwise.operators.cleaning import US_PER_MIN
-from kerbwise.operators.evaluate import (
-    capture_by_date,
-    fold_count,
-    fold_start,
-    mean_capture,
-)
-from kerbwise.operators.surface import CELL, cell_date_panel, holdout_start
+from kerbwise.operators.evaluate import capture_by_date, fold_count, mean_capture, walk_forward
+from kerbwise.operators.surface import (
+    CELL, LAT_ORIGIN_E7, LON_ORIGIN_E7, cell_date_panel, first_day, holdout_start, last_day, mean_from_offsets,
+)
 from kerbwise.session import cut, sized
 
 RISK_FEATURES = ["lat", "lon", "dow", "month", "is_weekend", "hist_n", "hist_rate", "crit"]
@@ -30,51 +31,100 @@ SEED = 7
 
 # Most rounds of boosting: of the forecast, and of each weekly fit of the walk-forward.
 RISK_ROUNDS, FOLD_ROUNDS = 400, 300
-# All are fitted; those up to the smallest squared error on the held-out tenth of the
-# training rows are kept. Neither number depends on the size of the input.
+# Rounds end when none of the last PATIENCE has an error on the held-out tenth that is lower by more than TOLERANCE
+# than the one before them; those up to the smallest error are kept.
+PATIENCE, TOLERANCE = 10, 1e-7
+# Weekly fits that run at the same time.
+FOLDS_AT_ONCE = 4
 MAX_BINS = 255
+VECTOR = ["fold", *CELL, "dow", "month"]
+
 
+def vectors(days: DataFrame, cells: DataFrame, starts: list[tuple]) -> DataFrame:
+    """One row per fold, cell, weekday and month: the features with number, sum and sum of squares of the targets of the
+    dates before the fold's start, zeros of quiet dates included.
 
-def fit_risk(train: DataFrame, features: list[str], rounds: int) -> tuple[VectorAssembler, GBTRegressionModel]:
-    """Gradient-boosted trees on the panel. Spark's trees have no L2 leaf penalty;
-    a minimum leaf size regularises instead. A tenth of the rows, chosen by a hash of
-    cell and date, is not fitted on and tells how many of all the rounds to keep."""
+    Features depend on the date by weekday and month only, so these rows say all that the cell-date panel of the fold
+    says, and their number does not grow with the dates. A tenth of them, by a hash of cell, weekday and month, is held
+    out. ``starts``: (fold, first date not trained on), a row per week.
+    """
+    spark = days.sparkSession
+    table = F.broadcast(spark.createDataFrame(starts, "fold int, start date"))
+    ends = days.agg(F.min("date").alias("first"), F.max("date").alias("last"))
+    date = ends.select(F.explode(F.sequence("first", "last")).alias("date"))
+    training = F.col("date") < F.col("start")
+    parts = [F.weekday("date").alias("dow"), F.month("date").alias("month")]
+    calendar = date.join(table).groupBy("fold", *parts).agg(F.count_if(training).alias("n"))  # dates x folds
+    impact = F.col("impact_t").cast("double") / F.lit(10.0)
+    listed = F.array(*[F.struct(F.lit(f).alias("fold"), F.lit(d).alias("start")) for f, d in starts])
+    trained = F.explode(F.transform(F.filter(listed, lambda s: s["start"] > F.col("date")), lambda s: s["fold"])).alias("fold")
+    actual = days.select(*CELL, *parts, impact.alias("y"), trained)
+    summed = actual.groupBy(*VECTOR).agg(F.sum("y").alias("y"), F.sum(F.col("y") * F.col("y")).alias("yy"))
+    rows = cells.join(F.broadcast(calendar), "fold").join(summed, VECTOR, "left")
+    return rows.withColumns({
+        "y": F.coalesce("y", F.lit(0.0)), "yy": F.coalesce("yy", F.lit(0.0)), "is_weekend": F.col("dow").isin(5, 6).cast("int"),
+        "held": F.pmod(F.xxhash64(*CELL, "dow", "month"), F.lit(10)) == 0,
+    })
+
+
+def chosen_rounds(errors: list[float], patience: int = PATIENCE, tolerance: float = TOLERANCE) -> int | None:
+    """Rounds to keep by the stop rule; None if the errors end before it holds."""
+    for last in range(patience, len(errors)):
+        if min(errors[last - patience + 1 : last + 1]) >= errors[last - patience] - tolerance:
+            return errors.index(min(errors[: last + 1])) + 1
+    return None
+
+
+def fit_risk(rows: DataFrame, features: list[str], rounds: int) -> tuple[VectorAssembler, GBTRegressionModel]:
+    """Gradient-boosted trees on ``vectors`` of one fold, each weighing as many rows as it stands for. Spark's trees have no L2
+    leaf penalty; a minimum leaf size regularises instead.
+
+    The held-out vectors tell how many rounds to keep. Ceilings double until the stop rule holds within one, up to
+    ``rounds``; the same rounds come first under each. The model is then fitted to all vectors with the rounds kept.
+    Without vectors on either side ten rounds are fitted.
+    """
     assembler = VectorAssembler(inputCols=features, outputCol="features")
-    trees = GBTRegressor(
-        labelCol="y", featuresCol="features", predictionCol="raw", maxDepth=6, stepSize=0.08,
-        maxIter=rounds, minInstancesPerNode=20, maxBins=MAX_BINS, seed=SEED,
-    )
-    held = F.pmod(F.xxhash64(*CELL, "date"), F.lit(10)) == 0
-    rows = cut(assembler.transform(train).select("features", "y", held.alias("held")))
-    fitted, judged = rows.filter("not held"), rows.filter("held")
-    if fitted.isEmpty() or judged.isEmpty():
-        return assembler, trees.fit(rows)
-    model = trees.fit(fitted)
-    errors = model.evaluateEachIteration(judged, "squared")
-    return assembler, first_rounds(model, errors.index(min(errors)) + 1)
-
-
-def first_rounds(model: GBTRegressionModel, rounds: int) -> GBTRegressionModel:
-    """The model of the first ``rounds`` trees."""
-    java, gateway = model._java_obj, SparkContext._active_spark_context._gateway
-    package = gateway.jvm.org.apache.spark.ml.regression
-    given, weights = java.trees(), java.treeWeights()
-    trees, shares = gateway.new_array(package.DecisionTreeRegressionModel, rounds), gateway.new_array(gateway.jvm.double, rounds)
-    for i in range(rounds):
-        trees[i], shares[i] = given[i], weights[i]
-    return model._copyValues(GBTRegressionModel(package.GBTRegressionModel(java.uid(), trees, shares, java.numFeatures())))
-
-
-def predict(panel: DataFrame, assembler: VectorAssembler, model: GBTRegressionModel) -> DataFrame:
-    scored = model.transform(assembler.transform(panel))
+    known = rows.filter("n > 0").withColumn("mean", F.col("y") / F.col("n"))
+    known = cut(assembler.transform(known).select("features", "mean", F.col("n").cast("double").alias("n"), "held"))
+    fitted, judged = known.filter("not held"), known.filter("held")
+
+    def trees(most: int) -> GBTRegressor:
+        return GBTRegressor(
+            labelCol="mean", weightCol="n", featuresCol="features", predictionCol="raw", maxDepth=6, stepSize=0.08,
+            maxIter=most, minInstancesPerNode=5, maxBins=MAX_BINS, seed=SEED,
+        )
+
+    kept = min(rounds, PATIENCE)
+    if not fitted.isEmpty() and not judged.isEmpty():
+        most = min(rounds, 2 * PATIENCE)
+        while True:
+            errors = trees(most).fit(fitted).evaluateEachIteration(judged, "squared")
+            kept = chosen_rounds(errors)
+            if kept or most >= rounds:
+                break
+            most = min(rounds, 2 * most)
+        kept = kept or errors.index(min(errors)) + 1
+    return assembler, trees(kept).fit(known)
+
+
+def predict(rows: DataFrame, assembler: VectorAssembler, model: GBTRegressionModel) -> DataFrame:
+    scored = model.transform(assembler.transform(rows))
     return scored.withColumn("pred", F.greatest(F.col("raw"), F.lit(0.0))).drop("features", "raw")
 
 
 def risk_forecast(days: DataFrame, rounds: int = RISK_ROUNDS, leaky: bool = False) -> DataFrame:
     """The panel with predicted impact; fitted on dates before the hold-out."""
-    panel = cut(cell_date_panel(days, leaky=leaky))
-    train = panel.filter(F.col("date") < holdout_start(panel))
-    return predict(panel, *fit_risk(train, RISK_FEATURES, rounds))
+    panel = cell_date_panel(days, leaky=leaky)
+    start = days.select(holdout_start(days).alias("d")).first()["d"]
+    if start is None:
+        return panel.withColumn("pred", F.lit(0.0))
+    features = ["lat", "lon", "hist_n", "hist_rate", "crit"]
+    cells = panel.select(F.lit(0).alias("fold"), *CELL, *features).distinct()
+    rows = cut(vectors(days, cells, [(0, start)]))
+    if rows.filter("n > 0").isEmpty():
+        return panel.withColumn("pred", F.lit(0.0))
+    scored = predict(rows, *fit_risk(rows, RISK_FEATURES, rounds))
+    return panel.join(scored.select(*CELL, "dow", "month", "pred"), [*CELL, "dow", "month"])
 
 
 def risk_surface_model(predicted: DataFrame) -> DataFrame:
@@ -97,34 +147,59 @@ def risk_metrics(predicted: DataFrame) -> DataFrame:
     )
 
 
-def walk_forward_model(days: DataFrame, rounds: int = FOLD_ROUNDS) -> DataFrame:
-    """Walk-forward capture with a fresh fit per week on the past only.
-
-    Each fit and each scoring is distributed; the loop runs over weeks. The cells
-    and features of a fold come from incidents before it.
-    """
+def fold_cells(days: DataFrame, folds: int) -> DataFrame:
+    """Cells and features of every weekly fold from the days before it, by one running sum over folds."""
+    since = F.datediff(F.col("date"), first_day(days)) - S.WARMUP_DAYS
+    fold = F.when(since < 0, F.lit(-1)).otherwise(F.floor(since / S.FOLD_DAYS).cast("int")).alias("fold")
+    sums = ["n", "lat_off", "lon_off", "crit_e9"]
+    per_fold = cut(days.groupBy(*CELL, fold).agg(*[F.sum(c).alias(c) for c in sums]))
+    grid = per_fold.select(*CELL).distinct().withColumn("fold", F.explode(F.sequence(F.lit(-1), F.lit(folds - 1))))
+    before = Window.partitionBy(*CELL).orderBy("fold").rowsBetween(Window.unboundedPreceding, -1)
+    past = grid.join(per_fold, [*CELL, "fold"], "left").withColumns({c: F.sum(c).over(before) for c in sums})
+    n = F.col("n")
+    return past.filter((F.col("fold") >= 0) & (n >= S.PANEL_MIN_INCIDENTS)).select(
+        "fold", *CELL, mean_from_offsets(F.col("lat_off"), n, LAT_ORIGIN_E7).alias("lat"),
+        mean_from_offsets(F.col("lon_off"), n, LON_ORIGIN_E7).alias("lon"), n.alias("hist_n"),
+        (F.col("crit_e9").cast("double") / n / F.lit(1e9)).alias("crit"),
+    )
+
+
+def walk_forward_scores_model(days: DataFrame, rounds: int = FOLD_ROUNDS) -> DataFrame:
+    """Predicted impact of every (fold, cell, date) of the fold's week by a model of the days before it: fold, train_days, cell,
+    date, y, score. The vectors of all folds are stored once; FOLDS_AT_ONCE fits share the cluster."""
     dated = days.filter(F.col("date").isNotNull())
-    folds = dated.select(fold_count(dated).alias("f")).first()
-    result = None
-    for fold in range(folds["f"] if folds else 0):
-        start = fold_start(dated, F.lit(fold))
-        panel = cut(cell_date_panel(dated, as_of=start))
-        train = panel.filter(F.col("date") < start)
-        week = panel.filter((F.col("date") >= start) & (F.col("date") < F.date_add(start, S.FOLD_DAYS)))
-        scored = predict(week, *fit_risk(train, FOLD_FEATURES, rounds)).withColumn("score", F.col("pred"))
-        captured = mean_capture(capture_by_date(scored)).select(
-            F.lit(fold).alias("fold"), F.col("capture_pct").alias("capture"),
-            F.lit(S.WARMUP_DAYS + S.FOLD_DAYS * fold).alias("train_days"),
-        )
-        result = captured if result is None else result.unionByName(captured)
-    if result is None:
-        result = dated.select(F.lit(0).alias("fold"), F.lit(0.0).alias("capture"), F.lit(0).alias("train_days")).limit(0)
-    # At most one row per fold; a fold without capture has a null and no week.
-    return result.filter(F.col("capture").isNotNull()).select(
-        F.row_number().over(Window.orderBy("fold")).alias("week"), "capture", "train_days"
+    found = dated.select(fold_count(dated).alias("f"), first_day(dated).alias("d")).first()
+    folds = found["f"] if found and found["f"] else 0
+    starts = [(k, found["d"] + timedelta(days=S.WARMUP_DAYS + S.FOLD_DAYS * k)) for k in range(folds)]
+    if not folds:
+        none = "fold int, train_days int, gy long, gx long, date date, y double, score double"
+        return days.sparkSession.createDataFrame([], none)
+    cells = cut(fold_cells(dated, folds))
+    rows = cut(vectors(dated, cells, starts))
+
+    def fold(k: int) -> DataFrame:
+        own = rows.filter(F.col("fold") == k)
+        return cut(predict(own, *fit_risk(own, FOLD_FEATURES, rounds)).select(*VECTOR, F.col("pred").alias("score")))
+
+    held = sorted(r["fold"] for r in rows.filter("n > 0").select("fold").distinct().collect())  # one a week
+    with ThreadPoolExecutor(FOLDS_AT_ONCE) as pool:
+        scored = reduce(DataFrame.unionByName, pool.map(inheritable_thread_target(dated.sparkSession)(fold), held), rows.select(*VECTOR, F.lit(0.0).alias("score")).limit(0))
+    offsets = F.explode(F.sequence(F.lit(0), F.lit(S.FOLD_DAYS - 1)))
+    train_days = F.lit(S.WARMUP_DAYS) + F.lit(S.FOLD_DAYS) * F.col("fold")
+    week = cells.select("fold", *CELL, train_days.alias("train_days"), offsets.alias("_d"))
+    week = week.withColumn("date", F.date_add(F.lit(found["d"]), F.col("train_days") + F.col("_d"))).filter(F.col("date") <= last_day(dated))
+    actual = dated.select(*CELL, "date", (F.col("impact_t").cast("double") / F.lit(10.0)).alias("y"))
+    week = week.withColumns({"dow": F.weekday("date"), "month": F.month("date")}).join(actual, [*CELL, "date"], "left")
+    return week.join(scored, VECTOR).select(
+        "fold", "train_days", *CELL, "date", F.coalesce("y", F.lit(0.0)).alias("y"), "score"
     )
 
 
+def walk_forward_model(days: DataFrame, rounds: int = FOLD_ROUNDS) -> DataFrame:
+    """Walk-forward capture with a fresh fit per week on the past only; weeks are numbered over folds with a capture."""
+    return walk_forward(walk_forward_scores_model(days, rounds))
+
+
 def clearance_rows(enriched: DataFrame) -> DataFrame:
     """Incidents with a trusted duration below the modelling limit."""
     return enriched.filter(F.col("dur_trust_min") < S.MODEL_CLEARANCE_LIMIT_MIN).select(
