@@ -27,7 +27,8 @@ COUNTED = int(0.4 * 2**64)
 #: A shingle in this share of all sets is common: it comes last in the order and is not counted by list.
 #: At most 1 / COMMON times the mean set size of shingles can be common.
 COMMON = 0.02
-FLUSH = 2_000_000
+#: Shingles that a worker holds before it hands them on, some 60 bytes each while they are sorted.
+FLUSH = 1_000_000
 POSITIONS = 16
 PIVOTS = 8
 CLOSE, FAMILY_BLOCK = 0.6, 512
@@ -95,7 +96,7 @@ def describe_sets(docs: DataFrame, k: int, key: str, text: str) -> DataFrame:
         if held:
             yield common()
 
-    return docs.select(key, text).mapInArrow(run, f"id {kind}, n long, set_id long, token long, seen long")
+    return docs.select(key, text).mapInArrow(W.tidy(run), f"id {kind}, n long, set_id long, token long, seen long")
 
 
 def common_tokens(described: DataFrame) -> np.ndarray:
@@ -237,9 +238,9 @@ def index_lists(docs: DataFrame, k: int, percent: int, common: np.ndarray, text:
     parts = tasks(docs.sparkSession)
     buckets = 2 * parts
     blob = "bucket int, a binary, b binary, c binary, d binary, kind int"
-    sent = docs.select(F.lit(None).cast("int").alias("_"), text).mapInArrow(_tokens_by_bucket(k, percent, common, buckets, parts), blob)
-    counted = sent.groupBy("bucket").applyInArrow(_count_tokens(buckets, parts), blob)
-    postings = stored(counted.groupBy("bucket").applyInArrow(_choose_prefix(percent), "token long, set_id long, n long, pos long"), "postings")
+    sent = docs.select(F.lit(None).cast("int").alias("_"), text).mapInArrow(W.tidy(_tokens_by_bucket(k, percent, common, buckets, parts)), blob)
+    counted = sent.groupBy("bucket").applyInArrow(W.tidy_group(_count_tokens(buckets, parts)), blob)
+    postings = stored(counted.groupBy("bucket").applyInArrow(W.tidy_group(_choose_prefix(percent)), "token long, set_id long, n long, pos long"), "postings")
     shared = postings.groupBy("token").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("token")
     return stored(postings.join(shared, "token", "left_semi"), "lists")
 
@@ -251,7 +252,7 @@ def set_table(docs: DataFrame, wanted: DataFrame, k: int, text: str) -> DataFram
         for _, ids, values, bounds in _set_batches(batches, k):
             yield pa.RecordBatch.from_arrays([pa.array(ids.view(np.int64)), pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(values.view(np.int64)))], ["set_id", "tokens"])
 
-    sets = docs.select(F.lit(None).cast("int").alias("_"), text).mapInArrow(run, "set_id long, tokens array<long>")
+    sets = docs.select(F.lit(None).cast("int").alias("_"), text).mapInArrow(W.tidy(run), "set_id long, tokens array<long>")
     return stored(sets.join(small(wanted), "set_id", "left_semi").groupBy("set_id").agg(F.first("tokens").alias("tokens")), "sets")
 
 
@@ -386,7 +387,7 @@ def _family_links(families: DataFrame, sets: DataFrame, percent: int) -> DataFra
         _, once = np.unique(np.stack([comp[a], comp[b]]), axis=1, return_index=True)
         return pa.table([pa.array(ids[a[once]]), pa.array(ids[b[once]])], ["a", "b"])
 
-    return stored(own.groupBy("family", "one", "two").applyInArrow(run, "a long, b long"), "links")
+    return stored(own.groupBy("family", "one", "two").applyInArrow(W.tidy_group(run), "a long, b long"), "links")
 
 
 def _across(rows: DataFrame, done: DataFrame | None, families: DataFrame | None, percent: int) -> DataFrame:

@@ -8,7 +8,9 @@ windows are built by array arithmetic and no word is ever a Python object.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import functools
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -45,6 +47,41 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
+@functools.cache
+def _trim() -> Callable | None:
+    return getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def give_back() -> None:
+    """Return freed memory to the system: workers live on between tasks, and what they keep is missing to others."""
+    pa.default_memory_pool().release_unused()
+    if _trim():
+        _trim()(0)
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable:
+    """``run``, a function of a partition's batches, with freed memory returned at its end."""
+
+    def tidied(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return tidied
+
+
+def tidy_group(run: Callable[[pa.Table], pa.Table]) -> Callable:
+    """``run``, a function of a group's rows, with freed memory returned at its end."""
+
+    def tidied(table: pa.Table) -> pa.Table:
+        out = run(table)
+        give_back()
+        return out
+
+    return tidied
+
+
 @dataclass
 class Words:
     """Words of consecutive texts. ``bounds[i]:bounds[i + 1]`` are the words of text ``first + i``."""
