@@ -187,7 +187,7 @@ def contaminated(
                 )
 
     schema = f"`{key}` {kinds[0]}, `{item}` {kinds[1]}, start_word long, n_words long, similarity double, distance int"
-    return docs.select(key, text).mapInArrow(run, schema)
+    return docs.select(key, text).mapInArrow(W.tidy(run), schema)
 
 
 def _touched(w: W.Words, items: Items) -> np.ndarray:

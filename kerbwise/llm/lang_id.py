@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kerbwise.llm.words import CHUNK_BYTES, mix, string_parts
+from kerbwise.llm.words import CHUNK_BYTES, mix, string_parts, tidy
 
 _U = np.uint64
 FEATURES = 1 << 16
@@ -106,7 +106,7 @@ def document_frequencies(docs: DataFrame, text: str) -> tuple[np.ndarray, int]:
         yield pa.RecordBatch.from_arrays([pa.array(np.r_[-1, used].astype(np.int32)), pa.array(np.r_[texts, seen[used]])], ["feature", "df"])
 
     out = np.zeros(FEATURES + 1, np.int64)
-    total = docs.select(text).mapInArrow(run, "feature int, df long").groupBy("feature").agg(F.sum("df").alias("df")).toArrow()  # FEATURES rows at most
+    total = docs.select(text).mapInArrow(tidy(run), "feature int, df long").groupBy("feature").agg(F.sum("df").alias("df")).toArrow()  # FEATURES rows at most
     np.add.at(out, total.column("feature").to_numpy().astype(np.int64), total.column("df").to_numpy())
     return out[:-1], int(out[-1])
 
@@ -135,7 +135,7 @@ def training_rows(docs: DataFrame, text: str, label: str, limit: int) -> tuple[l
                             ["h", "label", "feature", "tf"],
                         )
 
-    rows = chosen.select("h", "text", "label").mapInArrow(run, "h long, label string, feature array<int>, tf array<float>").toArrow()
+    rows = chosen.select("h", "text", "label").mapInArrow(tidy(run), "h long, label string, feature array<int>, tf array<float>").toArrow()
     rows = rows.sort_by([("h", "ascending"), ("label", "ascending")])
     return list(zip(list_rows(rows.column("feature")), list_rows(rows.column("tf")))), rows.column("label").to_pylist()
 
@@ -264,4 +264,4 @@ def identify(docs: DataFrame, model: Model | None, text: str = "text", names: tu
 
     given = docs.select(F.col(text).alias("_text_"), *[F.col(f"`{c}`") for c in passed])
     fields = [*docs.select(*[F.col(f"`{c}`") for c in passed]).schema.fields, T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())]
-    return given.mapInArrow(run, T.StructType(fields))
+    return given.mapInArrow(tidy(run), T.StructType(fields))
