@@ -8,10 +8,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kerbwise import settings as S
-from kerbwise.functions.geo import distance_pairs, haversine_km
+from kerbwise.functions.geo import distance_pairs, haversine_km, nearest
 from kerbwise.functions.numbers import round_half_even, tenths
 from kerbwise.operators.surface import CELL
-from kerbwise.session import cut, sized
+from kerbwise.session import cut
 
 # Weights are held as whole millionths. Gains are then exact sums, and neither a
 # pick nor a tie depends on how the cells are partitioned.
@@ -41,9 +41,11 @@ def greedy_cover(
     partition, ``k``, cell, position, ``covers`` and ``total`` weight.
 
     All partitions advance together, so there are ``units`` rounds however many
-    partitions there are. A round is one aggregation over (cell, neighbour) rows
-    and one minimum per partition; its state is written to the shared checkpoint
-    folder, which keeps the plan of the next round short.
+    partitions there are. Gains are kept from round to round: a pick takes weight from
+    the cells within reach of it, and only cells within reach of those lose gain. A
+    round therefore moves one pick per partition and the few cells around it; the cells
+    themselves are updated where they lie and never shuffled after the first gains. Its state is
+    written to the shared checkpoint folder, which keeps the plan of the next round short.
     """
     if not parts:
         whole = greedy_cover(cells.withColumn("_whole", F.lit(0)), ["_whole"], units, reach_km, minsep_km, order)
@@ -51,10 +53,11 @@ def greedy_cover(
     parts = list(parts)
     order = order or [F.col("gy"), F.col("gx")]
     places = cells.select(*CELL, "lat", "lon").distinct()
-    near = sized(cells_in_reach(places, reach_km).select("gy_i", "gx_i", "gy_j", "gx_j"))
+    near = cut(cells_in_reach(places, reach_km).select("gy_i", "gx_i", "gy_j", "gx_j"))
     weight = F.rint(F.col("w") * F.lit(float(WEIGHT_SCALE))).cast("long")
+    weighted = cut(cells.select(*parts, *CELL, "lat", "lon", weight.alias("w"), F.struct(*order).alias("ord")))
     state = cut(
-        cells.select(*parts, *CELL, "lat", "lon", weight.alias("w"), F.struct(*order).alias("ord")).withColumns(
+        weighted.join(_within_reach(weighted, near, parts, "w", "offer"), [*parts, *CELL]).withColumns(
             {
                 "left": F.col("w"),
                 "open": F.lit(True),
@@ -63,19 +66,22 @@ def greedy_cover(
             }
         )
     )
-    own = (F.col("gy_i") == F.col("gy_j")) & (F.col("gx_i") == F.col("gx_j"))
+    covered = haversine_km(F.col("lat"), F.col("lon"), F.col("p_lat"), F.col("p_lon"))
+    taken = (F.col("gy") == F.col("p_gy")) & (F.col("gx") == F.col("p_gx"))
     for round_no in range(1, units + 1):
-        pick = _next_pick(state, near, parts, own)
-        covered = haversine_km(F.col("lat"), F.col("lon"), F.col("p_lat"), F.col("p_lon"))
-        taken = (F.col("gy") == F.col("p_gy")) & (F.col("gx") == F.col("p_gx"))
         # One row per partition: weekdays, or events from the rule table x weekdays.
+        pick = F.broadcast(_next_pick(state, parts))
+        newly = state.join(pick, parts).filter((covered <= reach_km) & (F.col("left") > 0)).select(*parts, *CELL, "left")
+        # Distinct grid cells within one and two times the reach of a pick: their number follows from the grid alone.
+        loss = F.broadcast(_within_reach(F.broadcast(newly), near, parts, "left", "loss"))
         state = cut(
-            state.join(F.broadcast(pick), parts, "left").select(
+            state.join(pick, parts, "left").join(loss, [*parts, *CELL], "left").select(
                 *parts, *CELL, "lat", "lon", "w", "ord",
                 F.when(covered <= reach_km, F.lit(0)).otherwise(F.col("left")).cast("long").alias("left"),
                 (F.col("open") & ~F.coalesce(taken | (covered < minsep_km), F.lit(False))).alias("open"),
                 F.when(taken, F.lit(round_no)).otherwise(F.col("k")).alias("k"),
                 F.when(taken, F.col("p_gain")).otherwise(F.col("gain")).alias("gain"),
+                (F.col("offer") - F.coalesce("loss", F.lit(0))).alias("offer"),
             )
         )
     totals = state.groupBy(*parts).agg(F.sum("w").alias("total"))
@@ -87,24 +93,19 @@ def greedy_cover(
     )
 
 
-def _next_pick(state: DataFrame, near: DataFrame, parts: list[str], own: Column) -> DataFrame:
-    """The open cell with the largest gain per partition: at most one row each.
+def _within_reach(cells: DataFrame, near: DataFrame, parts: list[str], value: str, name: str) -> DataFrame:
+    """Sum of ``value`` over the given cells in reach of each cell of the same partition."""
+    met = cells.select(*parts, F.col("gy").alias("gy_j"), F.col("gx").alias("gx_j"), value).join(near, ["gy_j", "gx_j"])
+    return met.groupBy(*parts, F.col("gy_i").alias("gy"), F.col("gx_i").alias("gx")).agg(F.sum(value).alias(name))
 
-    Every cell is in reach of itself, so one aggregation per cell yields both its
-    gain and, from the row where it meets itself, its own attributes.
-    """
-    offered = state.withColumnsRenamed({"gy": "gy_j", "gx": "gx_j"}).join(near, ["gy_j", "gx_j"])
-    mine = {c: F.max(F.when(own, F.col(c))) for c in ("lat", "lon", "open", "ord")}
-    gains = offered.groupBy(*parts, "gy_i", "gx_i").agg(
-        F.sum("left").alias("gain"), *[column.alias(name) for name, column in mine.items()]
-    )
-    best = F.min_by(
-        F.struct("gy_i", "gx_i", "lat", "lon", "gain"), F.struct(-F.col("gain"), F.col("ord"))
-    ).alias("b")
-    return gains.filter(F.col("open")).groupBy(*parts).agg(best).filter(F.col("b").isNotNull()).select(
+
+def _next_pick(state: DataFrame, parts: list[str]) -> DataFrame:
+    """The open cell with the largest gain per partition: at most one row each."""
+    best = F.min_by(F.struct(*CELL, "lat", "lon", "offer"), F.struct(-F.col("offer"), F.col("ord"))).alias("b")
+    return state.filter(F.col("open")).groupBy(*parts).agg(best).filter(F.col("b").isNotNull()).select(
         *parts,
-        F.col("b.gy_i").alias("p_gy"), F.col("b.gx_i").alias("p_gx"),
-        F.col("b.lat").alias("p_lat"), F.col("b.lon").alias("p_lon"), F.col("b.gain").alias("p_gain"),
+        F.col("b.gy").alias("p_gy"), F.col("b.gx").alias("p_gx"),
+        F.col("b.lat").alias("p_lat"), F.col("b.lon").alias("p_lon"), F.col("b.offer").alias("p_gain"),
     )
 
 
@@ -215,22 +216,18 @@ def event_points(scenarios: DataFrame, pins: Sequence[tuple[str, float, float, f
 
 def event_bump(cells: DataFrame, events: DataFrame) -> DataFrame:
     """Extra weight per (event, cell): all cells within the radius of the event, or
-    the nearest cell if there is none.
+    the nearest cell if there is none (of equals that of smaller latitude, then longitude).
 
-    ``events`` has one row per archetype rule or given point. They travel to the
-    cells as one constant array, so each cell is read once.
+    Cells within the radius come from the bucketed distance join; only events without one
+    go through the pyramid of boxes for their nearest cell. No event meets every cell.
     """
-    listed = events.agg(F.collect_list(F.struct("scenario", "lat", "lon", "bump")).alias("e")).scalar()
-    offered = cells.select(*CELL, "lat", "lon", F.explode(listed).alias("e")).select(
-        F.col("e.scenario").alias("scenario"), *CELL, F.col("e.bump").alias("bump"),
-        haversine_km(F.col("lat"), F.col("lon"), F.col("e.lat"), F.col("e.lon")).alias("km"), "lat", "lon",
-    )
-    inside = offered.filter(F.col("km") <= S.EVENT_RADIUS_KM).select("scenario", *CELL, "bump")
-    nearest = offered.groupBy("scenario").agg(
-        F.min_by(F.struct(*CELL, "bump", "km"), F.struct("km", "lat", "lon")).alias("c")
-    )
-    fallback = nearest.filter(F.col("c.km") > S.EVENT_RADIUS_KM).select("scenario", "c.gy", "c.gx", "c.bump")
-    return inside.unionByName(fallback)
+    events = cut(events)
+    places = cells.select(*CELL, "lat", "lon")
+    inside = cut(distance_pairs(events, places, S.EVENT_RADIUS_KM).select("scenario", *CELL, "bump"))
+    lost = cut(events.join(inside.select("scenario").distinct(), "scenario", "left_anti"))
+    if lost.isEmpty():
+        return inside
+    return inside.unionByName(nearest(lost, places, ["scenario"]).select("scenario", *CELL, "bump"))
 
 
 def scenario_sweep(
@@ -252,6 +249,7 @@ def scenario_sweep(
     dense = places.withColumn("dow", F.explode(F.sequence(F.lit(0), F.lit(6)))).join(
         risk.select(*CELL, "dow", "w"), [*CELL, "dow"], "left"
     )
+    # One name per rule of the rule table and per given point, whatever the size of the log.
     names = events.agg(F.collect_list("scenario").alias("s")).scalar()
     scenarios = F.explode(F.concat(F.array(F.lit("base")), names))
     bumped = (

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kerbwise import settings as S
-from kerbwise.functions.geo import distance_pairs
+from kerbwise.functions.geo import distance_pairs, nearest
 from kerbwise.functions.numbers import round_half_even
 from kerbwise.functions.quantiles import exact_quantile, value_counts
 from kerbwise.operators import anomaly, barricade, bursts, cleaning, cover, evaluate, impact, network, surface
@@ -214,3 +214,40 @@ def test_panel_features_ignore_later_days(spark):
     features = ["lat", "lon", "hist_n", "hist_impact"]
     plain, changed = (p.select(*features).distinct().collect() for p in (panel(False), panel(True)))
     assert plain == changed and plain[0]["hist_n"] == 60 - S.HOLDOUT_DAYS
+
+
+def test_nearest_equals_brute_force_around_the_globe(spark):
+    r = random.Random(8)
+    spots = [(r.uniform(-90, 90), r.uniform(-180, 180)) for _ in range(60)]
+    spots += [(12.9 + r.uniform(-0.2, 0.2), 77.5 + r.uniform(-0.2, 0.2)) for _ in range(150)]
+    spots += [(0.0, 179.99), (0.0, -179.9), (89.9, 10.0), (-89.9, -120.0), (90.0, 0.0)]
+    spots += [(10.0, 20.0), (10.0, 20.2), (None, 3.0)]
+    asked = [(f"p{i}", r.uniform(-90, 90), r.uniform(-180, 180)) for i in range(80)]
+    asked += [("east", 0.0, -179.98), ("pole", 89.95, -170.0), ("tie", 10.0, 20.1), ("none", None, 1.0), ("in", 12.9, 77.5)]
+    places = spark.createDataFrame([(i, *p) for i, p in enumerate(spots)], "j long, lat double, lon double")
+    points = spark.createDataFrame(asked, "name string, lat double, lon double")
+    got = {x["name"]: (x["j"], x["km"]) for x in nearest(points, places, ["name"]).collect()}
+    full = [(i, *p) for i, p in enumerate(spots) if p[0] is not None]
+    for name, lat, lon in asked:
+        if lat is None:
+            assert name not in got
+            continue
+        best = min((distance((lat, lon), p[1:]), p[1], p[2], p[0]) for p in full)
+        assert got[name][1] == pytest.approx(best[0], abs=1e-6)
+        if name in ("east", "pole", "in"):
+            assert got[name][0] == best[3]
+    assert nearest(points, places.limit(0), ["name"]).count() == 0
+
+
+@pytest.mark.parametrize("centre", [(0.0, 180.0), (-17.0, 179.95), (89.95, 30.0), (-89.97, -60.0), (89.8, 179.0)])
+def test_distance_pairs_cross_the_meridian_and_the_poles(spark, centre):
+    r = random.Random(int(centre[0] * 7))
+    spread = 180.0 if abs(centre[0]) > 89 else 0.2
+    points = []
+    for i in range(120):
+        lon = (centre[1] + r.uniform(-spread, spread) + 180.0) % 360.0 - 180.0
+        points.append((i, max(-90.0, min(90.0, centre[0] + r.uniform(-0.2, 0.2))), lon))
+    left = spark.createDataFrame(points, "a long, lat double, lon double")
+    found = distance_pairs(left, left.withColumnRenamed("a", "b"), 8.0).select("a", "b").collect()
+    want = {(p[0], q[0]) for p in points for q in points if distance(p[1:], q[1:]) <= 8.0}
+    assert len(found) == len(want) and {tuple(x) for x in found} == want
