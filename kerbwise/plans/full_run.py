@@ -33,8 +33,8 @@ def stage_tables(enriched: DataFrame) -> dict[str, DataFrame]:
     }
 
 
-def report_sections(enriched: DataFrame, predicted: DataFrame | None = None) -> dict:
-    """Every section of the feed as a column of nested values. ``predicted`` is the model's
+def report_sections(enriched: DataFrame, predicted: DataFrame | None = None) -> dict[str, sinks.Section]:
+    """Every section of the feed. ``predicted`` is the model's
     forecast; without it heat, plan, reach and learning curve come from plain averages."""
     cells = cut(surface.risk_cells(enriched))
     days = surface.cell_days(enriched)
@@ -99,7 +99,7 @@ def report_sections(enriched: DataFrame, predicted: DataFrame | None = None) ->
 
 
 def run(spark: SparkSession, raw: DataFrame, folder: str, with_models: bool = True) -> DataFrame:
-    """Raw log to stage tables and feed under ``folder``; returns the feed sections.
+    """Raw log to stage tables and feed under ``folder``; returns the rows of the feed.
 
     The enriched table is written once, partitioned by date, and everything after it
     reads that table with column and partition pruning.
@@ -111,6 +111,6 @@ def run(spark: SparkSession, raw: DataFrame, folder: str, with_models: bool = Tr
     if predicted is not None:
         rest["risk_by_dow"] = models.risk_surface_model(predicted)
     sinks.write_tables(rest, folder, {})
-    feed = cut(sinks.document(spark, report_sections(stored, predicted)))
+    feed = sinks.document(spark, report_sections(stored, predicted))
     sinks.write_feed(feed, f"{folder}/feed")
-    return feed
+    return sinks.feed_rows(feed)

@@ -523,7 +523,7 @@ def write_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_direct
 def feed_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Write all stage tables and the nested feed document; returns its sections."""
+    """Write all stage tables and the nested feed document; returns its report rows."""
     return full_run.run(spark, scan_events(spark, sf_dir), _fresh_folder(spark, "feed"))
 
 

@@ -41,11 +41,17 @@ def test_every_sql_names_a_query():
 
 
 def test_full_run_writes_tables_and_feed(spark, sf_dir, tmp_path):
-    full_run.run(spark, scan_events(spark, sf_dir), str(tmp_path / "out"), with_models=False)
-    text = "".join(p.read_text(encoding="utf-8") for p in (tmp_path / "out" / "feed").glob("part-*"))
+    listed = full_run.run(spark, scan_events(spark, sf_dir), str(tmp_path / "out"), with_models=False).groupBy("section").count()
+    text = "".join(p.read_text(encoding="utf-8") for p in sorted((tmp_path / "out" / "feed").glob("part-*")))
     feed = json.loads(text)
     assert feed["meta"][0]["incidents"] == 987
     assert len(feed["hotspots"]) == 15 and set(feed["deploy_by_dow"]) == {str(d) for d in range(7)}
+    counts = {r["section"]: r["count"] for r in listed.collect()}
+    for name, part in feed.items():
+        nested = isinstance(part, dict) and all(isinstance(v, list) for v in part.values())
+        assert (sum(map(len, part.values())) if nested else len(part)) == counts.get(name, 0)
+    lists = {"blast", "deploy_by_dow", "diversion"}
+    assert {n for n, part in feed.items() if isinstance(part, dict)} == lists | {"dow_load", "corridor_load"}
     per_day = [h["per_day"] for h in feed["hotspots"]]
     assert per_day == sorted(per_day, reverse=True)
     stored = spark.read.parquet(str(tmp_path / "out" / "incidents_enriched"))
