@@ -6,7 +6,7 @@ blocks at first, then, near the possible cuts only, ever finer ones down to sing
 
 from __future__ import annotations
 
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -48,8 +48,45 @@ def smallest(edges: list[int], total: int, shards: int, slack: list[bool] | None
     return low
 
 
+def spread(edges: list[int], total: int, capacity: int, shards: int) -> list[int]:
+    """Cuts at ``edges`` such that no shard is above ``capacity`` and the smallest shard is as large as it can be then;
+    of those the cuts nearest to even places. No shard is empty, and only with fewer edges than shards are there fewer shards.
+
+    ``capacity`` must be feasible. A further binary search finds the size of the smallest shard: its check keeps, for each cut, the
+    edges that whole shards between the two sizes can reach.
+    """
+    shards = min(shards, len(edges))
+
+    def any_between(places: list[int], low: int, high: int) -> bool:
+        i = bisect_left(places, low)
+        return i < len(places) and places[i] <= high
+
+    def reachable(least: int) -> list[list[int]] | None:
+        found = [[0]]
+        for i in range(1, shards):
+            before, after = found[-1], shards - i
+            low = max(before[0] + least, total - after * capacity)
+            high = min(before[-1] + capacity, total - after * least)
+            open_ = edges[bisect_left(edges, low) : bisect_right(edges, high)]
+            found.append([e for e in open_ if any_between(before, e - capacity, e - least)])
+            if not found[-1]:
+                return None
+        return found if any_between(found[-1], total - capacity, total - least) else None
+
+    low, high = 1, total // shards
+    while low < high:
+        middle = (low + high + 1) // 2
+        low, high = (middle, high) if reachable(middle) else (low, middle - 1)
+    places, at, chosen = reachable(low), total, []
+    for i in range(shards - 1, 0, -1):
+        fitting = [e for e in places[i] if at - capacity <= e <= at - low]
+        at = min(fitting, key=lambda e: (abs(e * shards - i * total), e))
+        chosen.append(at)
+    return chosen[::-1]
+
+
 def minimax_cuts(groups: DataFrame, total: int, shards: int) -> list[int]:
-    """Starts of shards 1, 2, ... in the running sum of sizes: the cut with the smallest largest shard.
+    """Starts of shards 1, 2, ... in the running sum of sizes: the cut with the smallest largest shard, spread evenly within it.
 
     ``groups``: start (sum of the sizes before it in the order) and bytes (at least 1) of each atomic group.
     What reaches the driver is a histogram: at most 2 * BLOCKS cells, then 2 ** FINER_BITS cells for each block near a cut.
@@ -70,7 +107,7 @@ def minimax_cuts(groups: DataFrame, total: int, shards: int) -> list[int]:
         ends = [*starts[1:], total]
         near = [s for s, e, open_ in zip(starts, ends, slack) if open_ and any(a <= e and s <= b for a, b in ranges)]
         if not near:
-            return cuts(starts, total, best, shards)
+            return spread(starts, total, best, shards)
         for bits in {edges[s][1] for s in near}:
             cells = [s >> bits for s in near if edges[s][1] == bits]
             wanted = F.broadcast(groups.sparkSession.createDataFrame([(c,) for c in cells], "c long"))  # a bounded number of blocks
@@ -109,7 +146,8 @@ def shard(docs: DataFrame, shards: int = 16, key: str = "doc_id", text: str = "t
     The law is ``bytes``. Size is the UTF-8 length plus 1 (null text: 1, checksum 0). Rows with equal texts
     (null as empty) form an atomic group and share a shard. A group above an even share of the bytes gets a
     shard of its own, largest first; of all contiguous partitions of the other groups, in order of their
-    smallest key (null last), the largest shard is smallest. Slots number the rows of a shard from 0 without
+    smallest key (null last), the largest shard is smallest; within that size the smallest shard is as large as cuts at the
+    histogram's cells allow, and no shard is empty while there are as many groups as shards. Slots number the rows of a shard from 0 without
     gaps, by group and key; rows that repeat a key and text get slots of their own. An empty table gives an
     empty result. With ``keep`` the other columns of ``docs`` are returned too, except those named like a
     result column.

@@ -111,6 +111,32 @@ def test_cuts_are_minimax(spark, seed, monkeypatch):
         assert max(b - a for a, b in zip(edges, edges[1:])) == _best(sizes, shards)
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_cuts_are_spread_within_the_capacity(seed):
+    r = random.Random(seed)
+    n = r.randrange(5, 12)
+    sizes = [r.randrange(1, 30) for _ in range(n)]
+    edges, total = [sum(sizes[:i]) for i in range(n)], sum(sizes)
+    for shards in (1, 2, 4, 7, 15):
+        capacity = sharding.smallest(edges, total, shards)
+        found = sharding.spread(edges, total, capacity, shards)
+        parts = [b - a for a, b in zip([0, *found], [*found, total])]
+        assert len(parts) == min(shards, n) and max(parts) <= capacity and set(found) <= set(edges)
+        best = 0
+        for cut in combinations(edges[1:], min(shards, n) - 1):
+            other = [b - a for a, b in zip([0, *cut], [*cut, total])]
+            best = max(best, min(other)) if max(other) <= capacity else best
+        assert min(parts) == best > 0
+
+
+@pytest.mark.parametrize("groups", [16, 20, 50, 200])
+def test_few_groups_leave_no_shard_empty(spark, groups):
+    df = spark.createDataFrame([(i, f"text {i:08d}") for i in range(groups)], "doc_id long, text string")
+    sizes = _check(sharding.shard(df).collect(), 16)
+    per = 14
+    assert min(sizes) == groups // 16 * per and max(sizes) == -(-groups // 16) * per
+
+
 def _check(rows, shards):
     groups, slots, sizes = {}, {}, [0] * shards
     for r in rows:
