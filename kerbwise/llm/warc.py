@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import base64
+import contextlib
 import hashlib
 import re
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Generator, Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -132,6 +133,7 @@ class Gap:
     start: int
     end: int
     reason: str
+    inner: tuple[int, int] | None = None  # within a gzip member: the range of its inflated bytes
 
 
 class Damaged(Exception):
@@ -186,8 +188,11 @@ def _parse(head: bytes) -> tuple[dict[str, str], int]:
     return headers, end + 4
 
 
-def _checked(start: int, end: int, headers: dict[str, str], block: bytes) -> Record:
+def _checked(start: int, end: int, headers: dict[str, str], block: bytes, sound: bool = True) -> Record:
+    """The record if its digests agree. Within bytes that failed a check (not ``sound``) a block digest must be stated."""
     found = Record(start, end, headers, block)
+    if not sound and not headers.get("warc-block-digest", "").startswith("sha1:"):
+        raise Damaged("no block digest in a damaged member")
     for name, data in (("warc-block-digest", block), ("warc-payload-digest", None if headers.get("warc-type") == "revisit" else found.payload)):
         stated = headers.get(name, "")
         if stated.startswith("sha1:") and data is not None and stated[5:] != payload_digest(data):
@@ -195,28 +200,109 @@ def _checked(start: int, end: int, headers: dict[str, str], block: bytes) -> Rec
     return found
 
 
-def _member(window: _Window, start: int) -> tuple[list[Record], int]:
-    """Records of the gzip member at ``start`` and where it ends."""
-    inflate, parts, at = zlib.decompressobj(31), [], start
+def _deflated(window: _Window, start: int) -> int:
+    """Where the compressed bytes of the gzip member at ``start`` begin: after its header and the optional fields."""
+    head = window.read(start, BLOCK)
+    try:
+        flags, at = head[3], 10
+        if flags & 4:  # extra field
+            at += 2 + int.from_bytes(head[at : at + 2], "little")
+        for flag in (8, 16):  # name, comment
+            at = head.index(0, at) + 1 if flags & flag else at
+    except (IndexError, ValueError):
+        raise Damaged("member header without end") from None
+    if flags & 0xE0:
+        raise Damaged("member header with unknown flags")
+    return start + at + (2 if flags & 2 else 0)
+
+
+def _inflated(window: _Window, start: int) -> Generator[bytes, None, int]:
+    """Inflated pieces of at most a block of the gzip member at ``start``; returns its end. What comes before damage is given first."""
+    at, waiting, check, size = _deflated(window, start), b"", 0, 0
+    inflate = zlib.decompressobj(-zlib.MAX_WBITS)
     while not inflate.eof:
-        block = window.read(at, BLOCK)
-        if not block:
-            raise Damaged("member without end")
+        if not waiting:
+            waiting = window.read(at, BLOCK)
+            if not waiting:
+                raise Damaged("member without end")
+            at += len(waiting)
+        before = inflate.copy()
         try:
-            parts.append(inflate.decompress(block))
+            piece = inflate.decompress(waiting, BLOCK)
         except zlib.error as error:
+            with contextlib.suppress(zlib.error):
+                while one := before.decompress(waiting, 1):  # byte by byte up to the failure
+                    waiting = before.unconsumed_tail
+                    yield one
             raise Damaged(f"member: {error}") from None
-        at += len(block)
+        waiting = inflate.unconsumed_tail
+        if piece:
+            check, size = zlib.crc32(piece, check), size + len(piece)
+            yield piece
     at -= len(inflate.unused_data)
-    data, place, records = b"".join(parts), 0, []
-    while place < len(data):
-        headers, body = _parse(data[place:])
-        stop = place + body + int(headers["content-length"])
-        if data[stop : stop + 4] != b"\r\n\r\n":
-            raise Damaged("block of another length")
-        records.append(_checked(start, at, headers, data[place + body : stop]))
-        place = stop + 4
-    return records, at
+    if window.read(at, 8) != check.to_bytes(4, "little") + (size & 0xFFFFFFFF).to_bytes(4, "little"):
+        raise Damaged("member: checksum or length does not agree")
+    return at + 8
+
+
+def _member_end(window: _Window, start: int) -> int:
+    """End of the gzip member at ``start``, whose checksum is verified on the way."""
+    pieces = _inflated(window, start)
+    while True:
+        try:
+            next(pieces)
+        except StopIteration as stop:
+            return stop.value
+
+
+def _inside(window: _Window, start: int, end: int, sound: bool) -> Iterator[Record | Gap]:
+    """Records of the gzip member at ``start`` that pass their checks, one in memory at a time, and the gaps between them.
+
+    After a failed check the next version line in the inflated bytes is searched for.
+    """
+    pieces, held, base, failed, more = _inflated(window, start), bytearray(), 0, None, True
+
+    def fill() -> None:
+        nonlocal more
+        try:
+            held.extend(next(pieces))
+        except (StopIteration, Damaged):
+            more = False
+
+    while held or more:
+        try:
+            while more and len(held) < 16 * BLOCK and held.find(b"\r\n\r\n") < 0:
+                fill()
+            if not held:
+                break
+            headers, body = _parse(bytes(held[: held.find(b"\r\n\r\n") + 4]))
+            stop = body + int(headers["content-length"])
+            while more and len(held) < stop + 4:
+                fill()
+            if held[stop : stop + 4] != b"\r\n\r\n":
+                raise Damaged("block of another length")
+            found = _checked(start, end, headers, bytes(held[body:stop]), sound)
+            stop += 4
+        except Damaged as error:
+            failed, found, stop = failed or (base, str(error)), None, 1
+        if found:
+            if failed:
+                yield Gap(start, end, failed[1], (failed[0], base))
+                failed = None
+            yield found
+        del held[:stop]
+        base += stop
+        while failed and (held or more):
+            hit = held.find(VERSION)
+            drop = hit if hit >= 0 else max(0, len(held) - len(VERSION) + 1) if more else len(held)
+            del held[:drop]
+            base += drop
+            if hit >= 0:
+                break
+            if more:
+                fill()
+    if failed:
+        yield Gap(start, end, failed[1], (failed[0], base))
 
 
 def _plain(window: _Window, start: int) -> tuple[list[Record], int]:
@@ -238,23 +324,35 @@ def salvage(stream) -> Iterator[Record | Gap]:
     """All records of a plain or gzipped WARC file that pass their checks, and the gaps between them.
 
     After a failed check (gzip checksum, version line, lengths, digests) the next member or version line
-    that opens a valid record is searched for; the bytes up to it are one gap.
+    that opens a valid record is searched for; the bytes up to it are one gap. A gzip member may hold any number of
+    records: a damaged one costs only itself, and of a member that is torn or fails its checksum the records
+    with agreeing digests are kept, with the member as a gap beside them. A record's range in the file is that of its member.
     """
-    window, at, broken = _Window(stream), 0, None
+    window, at, broken = _Window(stream), 0, None  # broken: start, reason, whether a torn member with intact records starts there
+
+    def quarantined(until: int) -> Iterator[Record | Gap]:
+        if broken:
+            start, reason, saved = broken
+            if saved:
+                yield from (x for x in _inside(window, start, until, False) if isinstance(x, Record))
+            yield Gap(start, until, reason)
+
     while at < window.size:
+        gzipped = window.read(at, 3) == MEMBER
         try:
-            records, end = (_member if window.read(at, 3) == MEMBER else _plain)(window, at)
+            records, end = ([], _member_end(window, at)) if gzipped else _plain(window, at)
         except Damaged as error:
-            broken = broken or (at, str(error))
+            if gzipped and any(isinstance(x, Record) for x in _inside(window, at, at, False)):
+                yield from quarantined(at)
+                broken = (at, str(error), True)
+            broken = broken or (at, str(error), False)
             at = window.find(at + 1)
             continue
-        if broken:
-            yield Gap(broken[0], at, broken[1])
-            broken = None
-        yield from records
+        yield from quarantined(at)
+        broken = None
+        yield from _inside(window, at, end, True) if gzipped else records
         at = end
-    if broken:
-        yield Gap(broken[0], window.size, broken[1])
+    yield from quarantined(window.size)
 
 
 RECORD_SCHEMA = (
@@ -266,7 +364,7 @@ RECORD_SCHEMA = (
 def read_archives(manifest: DataFrame, with_payload: bool = False) -> DataFrame:
     """Read the files of ``manifest`` (path): a row per record, and one of kind ``gap`` per quarantined range.
 
-    Each file is read by one task, a record at a time; files are bounded by the writer's ``archive_bytes``.
+    Each file is read by one task, a record at a time (a gzip member is inflated twice: its checksum first); files are bounded by the writer's ``archive_bytes``.
     An empty manifest gives no rows; a page without id has null.
     """
 
@@ -285,7 +383,8 @@ def read_archives(manifest: DataFrame, with_payload: bool = False) -> DataFrame:
             with system.open_input_file(name) as stream:
                 for x in salvage(stream):
                     if isinstance(x, Gap):
-                        rows.append((path, x.start, x.end, "gap", x.reason, None, None, x.end - x.start, None, None, None))
+                        reason = f"{x.reason}, inflated bytes {x.inner[0]} to {x.inner[1]}" if x.inner else x.reason
+                        rows.append((path, x.start, x.end, "gap", reason, None, None, x.end - x.start, None, None, None))
                     else:
                         h, revisit = x.headers, x.headers.get("warc-type") == "revisit"
                         digest = h.get("warc-payload-digest", "").removeprefix("sha1:") if revisit else payload_digest(x.payload)

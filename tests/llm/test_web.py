@@ -4,6 +4,7 @@ import base64
 import gzip
 import hashlib
 import io
+import random
 import re
 
 import pytest
@@ -114,6 +115,34 @@ def test_salvage_recovers_later_records():
     assert list(warc.salvage(io.BytesIO(b""))) == []
 
 
+@pytest.mark.parametrize("block", [64, 1 << 18])
+def test_a_member_of_several_records_loses_only_damaged_ones(monkeypatch, block):
+    monkeypatch.setattr(warc, "BLOCK", block)
+    parts = _file(5, plain=True)
+    hurt = bytearray(b"".join(parts))
+    hurt[len(parts[0]) + len(parts[1]) - 60] ^= 0xFF
+    member = gzip.compress(bytes(hurt))
+    assert _salvaged(member + gzip.compress(parts[0])) == ([0, 2, 3, 4, 0], [(0, len(member))])
+    gap = next(x for x in warc.salvage(io.BytesIO(member)) if isinstance(x, warc.Gap))
+    assert gap.inner == (len(parts[0]), len(parts[0]) + len(parts[1]))
+
+    torn = bytearray(gzip.compress(b"".join(parts)))
+    torn[-6] ^= 0xFF  # the checksum
+    assert _salvaged(bytes(torn)) == ([0, 1, 2, 3, 4], [(0, len(torn))])
+    assert _salvaged(bytes(torn) + gzip.compress(parts[0])) == ([0, 1, 2, 3, 4, 0], [(0, len(torn))])
+    assert _salvaged(bytes(torn[:-8]) + bytes(torn)) == ([0, 1, 2, 3, 4] * 2, [(0, len(torn) - 8), (len(torn) - 8, 2 * len(torn) - 8)])
+    noise = [random.Random(i).randbytes(3000) for i in range(5)]
+    big = [warc.record(i, "u", n, warc.payload_digest(n), None, False) for i, n in enumerate(noise)]
+    cut = gzip.compress(b"".join(big))
+    cut = cut[: len(cut) * 7 // 10]
+    assert _salvaged(cut) == ([0, 1, 2], [(0, len(cut))])
+    unstated = re.sub(rb"WARC-(Block|Payload)-Digest: [^\r]*\r\n", b"", b"".join(parts))
+    bare = bytearray(gzip.compress(unstated))
+    assert _salvaged(bytes(bare)) == ([0, 1, 2, 3, 4], [])
+    bare[-6] ^= 0xFF  # without digests nothing vouches for the records
+    assert _salvaged(bytes(bare)) == ([], [(0, len(bare))])
+
+
 def test_search_across_blocks(monkeypatch):
     monkeypatch.setattr(warc, "BLOCK", 50)
     parts = _file(4)
