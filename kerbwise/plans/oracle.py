@@ -423,6 +423,14 @@ STEPS["confidence_cells"] = f"""
 SELECT *, {rnd('greatest(0.0::DOUBLE, least(1.0::DOUBLE, ln(1 + n) / ln(1 + (SELECT ' + quantile('n', 0.95) + ' FROM confidence_base)))) * (1.0::DOUBLE - 0.5::DOUBLE * censored) * 100.0::DOUBLE')}
   AS confidence FROM confidence_base"""
 STEPS["clearance_log"] = f"SELECT * FROM enriched WHERE dur_trust_min < {S.MODEL_CLEARANCE_LIMIT_MIN}"
+STEPS["life_log"] = f"""SELECT cause, dur_trust_us, least(coalesce(dur_trust_us, CAST(round(dur_raw_min * 60000000) AS BIGINT),
+  (SELECT max(t_us) FROM enriched) - t_us), {S.TRUST_LIMIT_MIN * 60000000}) AS us FROM enriched"""
+STEPS["life_counts"] = """SELECT cause, (us + 59999999) // 60000000 AS minute, count(dur_trust_us) AS cleared,
+  count(*) - count(dur_trust_us) AS censored FROM life_log
+WHERE coalesce(dur_trust_us, us) > 0 AND us > 0 GROUP BY cause, minute"""
+STEPS["life_risk"] = """SELECT *, CAST(sum(cleared + censored) OVER (PARTITION BY cause ORDER BY minute DESC) AS BIGINT) AS at_risk FROM life_counts"""
+STEPS["life_curve"] = f"""SELECT cause, minute, at_risk, cleared, censored, {rnd('product((at_risk - cleared)::DOUBLE / at_risk) OVER (PARTITION BY cause ORDER BY minute)', 6)} AS open_share
+FROM life_risk"""
 STEPS["clearance_split"] = f"SELECT max(t_us) - {S.HOLDOUT_DAYS * 86400000000} AS limit_us FROM clearance_log"
 STEPS["train_median"] = f"""
 SELECT {quantile('dur_trust_us', 0.5)} AS m FROM clearance_log WHERE t_us <= (SELECT limit_us FROM clearance_split)"""
@@ -593,6 +601,11 @@ FINAL: dict[str, str] = {
         SELECT fold, train_days, {rnd('100.0::DOUBLE * (' + MEAN_CAPTURE + ')', 1)} AS capture FROM fold_captures GROUP BY fold, train_days)""",
     "clearance_by_cause": f"""SELECT cause, count(*) AS n, {rnd(quantile('dur_trust_us', 0.5) + ' / 60000000.0::DOUBLE', 4)} AS p50_min,
         {rnd(quantile('dur_trust_us', 0.9) + ' / 60000000.0::DOUBLE', 4)} AS p90_min FROM clearance_log GROUP BY cause""",
+    "survival_curve": "SELECT cause, minute, at_risk, cleared, censored, open_share FROM life_curve",
+    "clearance_survival": f"""SELECT cause, CAST(sum(cleared + censored) AS BIGINT) AS n, CAST(sum(cleared) AS BIGINT) AS cleared,
+        {rnd('CAST(sum(censored) AS DOUBLE) / sum(cleared + censored)', 4)} AS censored_share,
+        min(minute) FILTER (WHERE open_share <= 0.5 + 1e-9) AS p50_min, min(minute) FILTER (WHERE open_share <= 0.1 + 1e-9) AS p90_min,
+        min(open_share) AS open_share FROM life_curve GROUP BY cause""",
     "model_metrics": f"""SELECT count(*) AS test_rows, {rnd('max(m) / 60000000.0::DOUBLE', 4)} AS train_median_min,
         {rnd('CAST(sum(CAST(abs(dur_trust_us - m) * 2 AS BIGINT)) AS DOUBLE) / 2 / count(*) / 60000000.0::DOUBLE', 4)} AS baseline_mae
         FROM clearance_log, train_median WHERE t_us > (SELECT limit_us FROM clearance_split)""",

@@ -12,7 +12,7 @@ from kerbwise import settings as S
 from kerbwise.functions.geo import grid_index, haversine_km
 from kerbwise.functions.numbers import round_half_even
 from kerbwise.functions.text import archetype, text_signal, urgency_label, urgency_tier
-from kerbwise.operators import anomaly, barricade, bursts, cleaning, cover, evaluate, impact, models, network, planned, surface
+from kerbwise.operators import anomaly, barricade, bursts, cleaning, cover, evaluate, impact, models, network, planned, surface, survival
 from kerbwise.plans import full_run
 from kerbwise.session import cut, shared_dir
 from kerbwise.sources import sinks
@@ -491,6 +491,16 @@ def clearance_by_cause(enriched):
     return models.clearance_by_cause(enriched)
 
 
+@_enriched
+def survival_curve(enriched):
+    return survival.survival_curve(enriched)
+
+
+@_enriched
+def clearance_survival(enriched):
+    return survival.clearance_survival(enriched)
+
+
 @_enriched
 def model_metrics(enriched):
     return models.baseline_metrics(enriched)
