@@ -56,15 +56,15 @@ def around(band: Column, km: float) -> Column:
     return F.when(polar, F.lit(1)).otherwise(F.greatest(F.lit(1), F.floor(F.lit(360.0) / band_width(band, km)))).cast("long")
 
 
-def distance_pairs(left: DataFrame, right: DataFrame, km: float, strict: bool = False) -> DataFrame:
+def distance_pairs(left: DataFrame, right: DataFrame, km: float, strict: bool = False, on: tuple[str, ...] = ()) -> DataFrame:
     """Rows of ``left`` joined to rows of ``right`` no further than ``km`` away.
 
     Both sides carry ``lat``/``lon``; the other columns must have distinct names.
     Every left row sits in one bucket and every right row is offered to the nine
     buckets around its own, so that the join is an equi-join and no pair occurs
     twice. Buckets follow the latitude and close around the globe, so that pairs across
-    the 180th meridian and the poles are found. Adds ``km``; the right coordinates are
-    ``lat_r``/``lon_r``.
+    the 180th meridian and the poles are found. Rows must also agree in the columns ``on``,
+    which both sides carry. Adds ``km``; the right coordinates are ``lat_r``/``lon_r``.
     """
     height = km / KM_PER_DEGREE * BUCKET_MARGIN
     circle = around(F.col("_by"), km)
@@ -79,7 +79,7 @@ def distance_pairs(left: DataFrame, right: DataFrame, km: float, strict: bool =
         .withColumn("_bx", F.explode(F.array_distinct(columns)))
     )
     distance = haversine_km(F.col("lat"), F.col("lon"), F.col("lat_r"), F.col("lon_r"))
-    joined = bucketed.join(offered, ["_by", "_bx"]).drop("_by", "_bx").withColumn("km", distance)
+    joined = bucketed.join(offered, [*on, "_by", "_bx"]).drop("_by", "_bx").withColumn("km", distance)
     return joined.filter(F.col("km") < km if strict else F.col("km") <= km)
 
 

@@ -19,19 +19,20 @@ def cause_neighbours(enriched: DataFrame, pair_limit: int = PAIR_LIMIT) -> DataF
     return found.groupBy(*PLACE_TIME, F.col("p_cause").alias("cause")).agg(F.sum("p_n").alias("n"))
 
 
+def neighbourhood_figures() -> list[Column]:
+    """Size, number of causes and dominant cause from counts per cause."""
+    return [
+        F.sum("n").alias("size"),
+        F.count(F.lit(1)).alias("mix"),
+        F.max("n").alias("dom_n"),
+        F.min_by("cause", F.struct(-F.col("n"), F.col("cause"))).alias("dom_cause"),
+        F.max(F.col("cause").isin(*S.LIVE_CAUSES)).alias("live"),
+    ]
+
+
 def neighbourhoods(enriched: DataFrame) -> DataFrame:
-    """Size, number of causes and dominant cause of the neighbourhood of each anchor."""
-    return (
-        cause_neighbours(enriched)
-        .groupBy(*PLACE_TIME)
-        .agg(
-            F.sum("n").alias("size"),
-            F.count(F.lit(1)).alias("mix"),
-            F.max("n").alias("dom_n"),
-            F.min_by("cause", F.struct(-F.col("n"), F.col("cause"))).alias("dom_cause"),
-            F.max(F.col("cause").isin(*S.LIVE_CAUSES)).alias("live"),
-        )
-    )
+    """Figures of the neighbourhood of each anchor place and second."""
+    return cause_neighbours(enriched).groupBy(*PLACE_TIME).agg(*neighbourhood_figures())
 
 
 def with_place_time(enriched: DataFrame) -> DataFrame:

@@ -130,7 +130,11 @@ def score(cleaned: DataFrame, medians: DataFrame, criticality: DataFrame) -> Dat
 
 def lookups(cleaned: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Both lookup tables, computed once and size-checked for broadcast."""
-    counts = cut(lookup_counts(cleaned))
+    return lookups_from(cut(lookup_counts(cleaned)))
+
+
+def lookups_from(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both lookup tables from stored ``lookup_counts``."""
     return sized(clearance_medians(counts)), sized(corridor_criticality(counts))
 
 

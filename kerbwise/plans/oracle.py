@@ -615,6 +615,14 @@ FINAL: dict[str, str] = {
         UNION ALL SELECT 'risk_by_dow', count(*) FROM dow_risk""",
     "stream_enrich": "SELECT id, date, dow, cause, text_signal, impact_min FROM enriched",
     "windowed_bursts": WINDOWS,
+    "circle_bursts": f"""SELECT t_s, {rnd('lat', 5)} AS lat, {rnd('lon', 5)} AS lon, size, mix, dom_cause, dom_share FROM (
+        SELECT DISTINCT CAST(floor(c.t_us / 1000000.0::DOUBLE) AS BIGINT) AS t_s, c.lat, c.lon, f.size, f.mix, f.dom_cause,
+          {rnd('CAST(f.dom_n AS DOUBLE) / f.size', 4)} AS dom_share
+        FROM (SELECT id, size, mix, dom_cause, dom_n FROM flagged) f JOIN clean_log c USING (id))
+        WHERE t_s + {S.PAIR_WINDOW_SEC} + 1800 <= (SELECT floor(max(t_us) / 1000000.0::DOUBLE) FROM clean_log)""",
+    "refit_enrich": "SELECT id, impact_min FROM enriched",
+    "refit_lookups": f"""SELECT CAST(level AS INTEGER) AS level, cause, priority, tier, CAST(NULL AS VARCHAR) AS corridor, {rnd('med_min', 4)} AS "value"
+        FROM median_levels UNION ALL SELECT NULL, NULL, NULL, NULL, corridor, {rnd('corridor_crit', 4)} FROM crit_table""",
     "stream_bursts": WINDOWS + " AND (w + 5400) * 1000000 <= (SELECT max(t_us) FROM clean_log) - 1800000000",
 }
 

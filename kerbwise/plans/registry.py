@@ -18,7 +18,7 @@ from kerbwise.session import cut, shared_dir
 from kerbwise.sources import sinks
 from kerbwise.sources.event_log import scan_events
 from kerbwise.sources.incidents import null_tokens
-from kerbwise.streaming import live
+from kerbwise.streaming import live, refit
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -562,3 +562,39 @@ def stream_bursts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_cleaned
 def windowed_bursts(cleaned):
     return live.windowed_bursts(cleaned)
+
+
+@_direct
+def circle_bursts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The live alarm on the true circle, streamed."""
+    stream = live.circle_bursts(cleaning.clean(_event_stream(spark, sf_dir)))
+    folder = _fresh_folder(spark, "circles")
+    found = live.run_available(stream, f"{folder}/rows", f"{folder}/progress")
+    return found.withColumns({c: round_half_even(F.col(c), 5) for c in ("lat", "lon")})
+
+
+def _refitted(spark: SparkSession, sf_dir: str) -> tuple[refit.LookupStore, DataFrame]:
+    folder = _fresh_folder(spark, "refit")
+    store = refit.LookupStore(spark, f"{folder}/counts")
+    return store, refit.refit_enrich(_event_stream(spark, sf_dir), store, f"{folder}/rows", f"{folder}/progress")
+
+
+@_direct
+def refit_enrich(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Incidents scored by the stream while it keeps the lookups up to date."""
+    return _refitted(spark, sf_dir)[1].select("id", "impact_min")
+
+
+@_direct
+def refit_lookups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Median clearance and criticality as the stream left them."""
+    medians, criticality = _refitted(spark, sf_dir)[0].lookups()
+    label = F.lit(None).cast("string")
+    return medians.select(
+        "level", "cause", "priority", "tier", label.alias("corridor"), round_half_even(F.col("med_min"), 4).alias("value")
+    ).unionByName(
+        criticality.select(
+            F.lit(None).cast("int").alias("level"), label.alias("cause"), label.alias("priority"), label.alias("tier"),
+            "corridor", round_half_even(F.col("corridor_crit"), 4).alias("value"),
+        )
+    )

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kerbwise import settings as S
-from kerbwise.functions.geo import BUCKET_MARGIN, KM_PER_DEGREE, band_width
-from kerbwise.operators.bursts import is_burst
+from kerbwise.functions.geo import BUCKET_MARGIN, KM_PER_DEGREE, band_width, distance_pairs
+from kerbwise.functions.numbers import round_half_even
+from kerbwise.operators.bursts import is_burst, neighbourhood_figures
 from kerbwise.operators.cleaning import clean
 from kerbwise.operators.impact import score
 from kerbwise.sources.event_log import incidents_from_events
@@ -60,13 +61,7 @@ def windowed_bursts(incidents: DataFrame) -> DataFrame:
         .groupBy(F.window("t_event", WINDOW, SLIDE), "sq_y", "sq_x", "cause")
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    per_square = per_cause.groupBy("window", "sq_y", "sq_x").agg(
-        F.sum("n").alias("size"),
-        F.count(F.lit(1)).alias("mix"),
-        F.max("n").alias("dom_n"),
-        F.min_by("cause", F.struct(-F.col("n"), F.col("cause"))).alias("dom_cause"),
-        F.max(F.col("cause").isin(*S.LIVE_CAUSES)).alias("live"),
-    )
+    per_square = per_cause.groupBy("window", "sq_y", "sq_x").agg(*neighbourhood_figures())
     return per_square.filter(is_burst()).select(
         F.date_format("window.start", "yyyy-MM-dd HH:mm").alias("window_start"),
         F.date_format("window.end", "yyyy-MM-dd HH:mm").alias("window_end"),
@@ -74,6 +69,39 @@ def windowed_bursts(incidents: DataFrame) -> DataFrame:
     )
 
 
+def circle_bursts(incidents: DataFrame) -> DataFrame:
+    """Gathering alarm on the true circle: what follows an incident within the window and radius.
+
+    Works on a stream and on a table; one row per second and place that qualifies, with the
+    figures of the batch burst query. Incidents are first counted per second, place and cause, so
+    copies travel as one weighted row. Anchors and points then meet in an interval join whose keys
+    are a box of time and a bucket on the globe; the watermark on both sides bounds its state to one
+    window. An anchor is reported once the watermark has passed the end of its window. Incidents
+    that arrive behind the watermark, or without a time, take no part.
+    """
+    marked = (
+        incidents.filter(F.col("t_event").isNotNull())
+        .withColumn("t_mark", F.date_trunc("second", "t_event"))
+        .withWatermark("t_mark", WATERMARK)
+    )
+    box = F.floor(F.unix_seconds("t_mark") / F.lit(S.PAIR_WINDOW_SEC))
+    anchors = marked.select("t_mark", "lat", "lon").dropDuplicates(["t_mark", "lat", "lon"]).withColumn("_bt", box)
+    points = (
+        marked.groupBy("t_mark", "lat", "lon", "cause")
+        .agg(F.count(F.lit(1)).alias("n"))
+        .withColumn("_bt", F.explode(F.array(box, box - 1)))
+        .withColumnRenamed("t_mark", "p_mark")
+    )
+    end = F.col("t_mark") + F.make_dt_interval(secs=F.lit(S.PAIR_WINDOW_SEC))
+    pairs = distance_pairs(anchors, points, S.BURST_KM, on=("_bt",)).filter(F.col("p_mark").between(F.col("t_mark"), end))
+    per_cause = pairs.groupBy("t_mark", "lat", "lon", "cause").agg(F.sum("n").alias("n"))
+    around = per_cause.groupBy("t_mark", "lat", "lon").agg(*neighbourhood_figures())
+    return around.filter(is_burst()).select(
+        F.unix_seconds("t_mark").alias("t_s"), "lat", "lon", "size", "mix", "dom_cause",
+        round_half_even(F.col("dom_n") / F.col("size"), 4).alias("dom_share"),
+    )
+
+
 def run_available(stream: DataFrame, out: str, checkpoint: str) -> DataFrame:
     """Process everything that has arrived, append to ``out`` and read it back."""
     query = (
