@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from kerbwise.llm.words import give_back
 from kerbwise.session import BROADCAST_ROW_LIMIT, shared_dir
 
 
@@ -17,9 +18,10 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 
 def stored(df: DataFrame, name: str = "table") -> DataFrame:
     """Write ``df`` to the shared folder as Parquet and continue from there, so that lost
-    executors cost a reread and not a recomputation."""
+    executors cost a reread and not a recomputation. The driver returns what it freed until then."""
     path = fresh_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
+    give_back()
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
