@@ -39,10 +39,45 @@ def test_overfull_buckets_split(spark):
     assert got.filter("kept").count() == 300 and got.agg(F.sum("group_size")).first()[0] == 200 * 4 + 100
     entries = docs.select(F.xxhash64("text").alias("h"), F.lit("s").alias("sha"), "doc_id")
     cells, depth = exact_dedup.directory(entries, 4)
-    buckets = entries.select("h").distinct().withColumn("cell", F.shiftrightunsigned("h", 64 - depth)).join(cells, "cell").groupBy("local", "prefix").count()
+    buckets = entries.select("h").distinct().withColumn("cell", F.shiftrightunsigned("h", 64 - depth)).join(cells, "cell").groupBy("bucket").count()
     assert buckets.agg(F.max("count")).first()[0] <= 4 and buckets.count() > 60
 
 
+@pytest.mark.parametrize("hot_rows", [1, 40, 4096])
+def test_groups_beyond_a_broadcast_are_answered_by_their_buckets(spark, monkeypatch, hot_rows):
+    monkeypatch.setattr(exact_dedup, "BROADCAST_ROW_LIMIT", 5)
+    monkeypatch.setattr(exact_dedup, "HOT_ROWS", hot_rows)
+    docs = [(i, f"t {0 if i % 3 == 0 else i % 150}") for i in range(400)] + [(400, None), (401, "")]
+    got = exact_dedup.exact_dedup(spark.createDataFrame(docs, "doc_id long, text string"), capacity=4).collect()
+    assert sorted((r.doc_id, r.keep_id, r.group_size, r.text_sha256) for r in got) == sorted(_exact(docs))
+
+
+def _entries(spark, n=300):
+    return spark.range(n).select(F.xxhash64("id").alias("h"), F.col("id").cast("string").alias("sha"), F.lit(1).alias("group_size"))
+
+
+def test_a_bucket_lies_in_one_file_of_its_owner(spark):
+    placed = exact_dedup.Index(_entries(spark), 4).entries.withColumn("file", F.input_file_name())
+    found = placed.groupBy("bucket").agg(F.count_distinct("file").alias("files"), F.count(F.lit(1)).alias("n"))
+    most = found.agg(F.max("files").alias("files"), F.max("n").alias("n"), F.sum("n").alias("all")).first()
+    assert (most["files"], most["all"]) == (1, 300) and most["n"] <= 4
+    assert found.select("bucket").count() > 60
+
+
+@pytest.mark.parametrize("wrong", ["one bucket", "a cell less"])
+def test_a_wrong_directory_is_refused(spark, monkeypatch, wrong):
+    right = exact_dedup.directory
+
+    def broken(entries, capacity):
+        cells, depth = right(entries, capacity)
+        some = cells.agg(F.min("cell")).first()[0]
+        return (cells.withColumn("bucket", F.lit(0).cast("long")) if wrong == "one bucket" else cells.filter(F.col("cell") != some)), depth
+
+    monkeypatch.setattr(exact_dedup, "directory", broken)
+    with pytest.raises(RuntimeError, match="directory"):
+        exact_dedup.Index(_entries(spark), 4)
+
+
 def test_colliding_digests_are_told_apart_by_their_bytes(spark, monkeypatch):
     monkeypatch.setattr(exact_dedup.F, "sha2", lambda *_: F.lit("same"))
     monkeypatch.setattr(exact_dedup.F, "xxhash64", lambda *_: F.lit(5).cast("long"))
