@@ -14,10 +14,14 @@ from kerbwise.llm.store import numbered, small, stored
 
 #: A document stays if a language was found with at least this calibrated probability.
 MIN_LANGUAGE_SCORE = 0.5
+#: Documents handed to Python at a time. Long texts make Spark's 10,000 a large batch, which the executor and each of its
+#: workers hold at once, beside what earlier stages left.
+BATCH_ROWS = 1_000
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents without a letter or without a clear language. Learned from the labelled documents themselves."""
+    _small_batches(spark)
     judged = lang_id.identify(docs, lang_id.train(docs), names=("_stage_language", "_stage_score"))
     sure = (F.col("_stage_language") != lang_id.UNKNOWN) & (F.col("_stage_score") >= MIN_LANGUAGE_SCORE)
     return judged.filter(sure).select(*[F.col(f"`{c}`") for c in docs.columns])
@@ -25,6 +29,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked at a similarity of 0.8 of five-word shingles the one with the smallest doc_id stays."""
+    _small_batches(spark)
     rows = _numbered(docs)
     key = F.struct(F.col("_doc.doc_id").isNull().alias("n"), F.col("_doc.doc_id").alias("id"), F.col("_row").alias("row"))
     linked = jaccard_join.jaccard_components(rows.select(key.alias("_key"), F.col("_doc.text").alias("text")), k=5, percent=80, key="_key")
@@ -34,6 +39,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that hold a benchmark item."""
+    _small_batches(spark)
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     rows = _numbered(docs)
     found = decontaminate.contaminated(rows.select("_row", F.col("_doc.text").alias("text")), benchmark, key="_row")
@@ -60,6 +66,10 @@ STAGES = [
 ORACLE_SQL = None
 
 
+def _small_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 def _packed(docs: DataFrame, *columns: str) -> DataFrame:
     """All columns as one, so that none can clash with those of a stage, and the named ones beside it."""
     return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), *columns)

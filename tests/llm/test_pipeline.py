@@ -41,3 +41,22 @@ def test_odd_rows_pass_every_stage(spark):
             if name != "shards":
                 assert out.columns == docs.columns
             docs = out
+
+
+def test_stages_hand_python_small_batches(spark, tmp_path, monkeypatch):
+    spark.createDataFrame([(1, "one two three four five six")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame([(i, f"text {i}") for i in range(1500)], "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "docs"))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    seen = []
+
+    def contaminated(docs, benchmark, key):
+        def run(batches):
+            for b in batches:
+                yield b.slice(0, 0) if b.num_rows <= 1000 else b.slice(0, 1)
+
+        seen.append(docs.mapInArrow(run, docs.schema).count())
+        return docs.filter("false")
+
+    monkeypatch.setattr(corpus_pipeline.decontaminate, "contaminated", contaminated)
+    kept = corpus_pipeline.benchmark_passages(spark, spark.read.parquet(str(tmp_path / "docs")), str(tmp_path))
+    assert kept.count() == 1500 and seen == [0]
