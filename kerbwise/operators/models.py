@@ -34,8 +34,8 @@ RISK_ROUNDS, FOLD_ROUNDS = 400, 300
 # Rounds end when none of the last PATIENCE has an error on the held-out tenth that is lower by more than TOLERANCE
 # than the one before them; those up to the smallest error are kept.
 PATIENCE, TOLERANCE = 10, 1e-7
-# Weekly fits that run at the same time.
-FOLDS_AT_ONCE = 4
+# Weekly fits that run at the same time. Each is a row of short jobs, so they wait for the driver rather than for cores.
+FOLDS_AT_ONCE = 13
 MAX_BINS = 255
 VECTOR = ["fold", *CELL, "dow", "month"]
 
@@ -96,7 +96,7 @@ def fit_risk(rows: DataFrame, features: list[str], rounds: int) -> tuple[VectorA
 
     kept = min(rounds, PATIENCE)
     if not fitted.isEmpty() and not judged.isEmpty():
-        most = min(rounds, 2 * PATIENCE)
+        most = min(rounds, 4 * PATIENCE)
         while True:
             errors = trees(most).fit(fitted).evaluateEachIteration(judged, "squared")
             kept = chosen_rounds(errors)

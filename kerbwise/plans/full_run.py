@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,7 +12,7 @@ from kerbwise.functions.text import urgency_label, urgency_tier
 from kerbwise.operators import anomaly, barricade, bursts, cover, evaluate, models, planned, surface
 from kerbwise.operators.impact import enrich
 from kerbwise.operators.network import Network, top_edges
-from kerbwise.session import cut, prepare
+from kerbwise.session import cut, prepare, together
 from kerbwise.sources import sinks
 
 ENRICHED_COLUMNS = [
@@ -33,27 +35,49 @@ def stage_tables(enriched: DataFrame) -> dict[str, DataFrame]:
     }
 
 
-def report_sections(enriched: DataFrame, predicted: DataFrame | None = None) -> dict[str, sinks.Section]:
-    """Every section of the feed. ``predicted`` is the model's
-    forecast; without it heat, plan, reach and learning curve come from plain averages."""
-    cells = cut(surface.risk_cells(enriched))
-    days = surface.cell_days(enriched)
-    if predicted is not None:
-        risk = cut(models.risk_surface_model(predicted))
-        clearance = models.clearance_table(enriched)
-        learning = cut(models.walk_forward_model(days))
-    else:
-        risk = cut(surface.weekday_risk(enriched))
-        clearance = models.clearance_by_cause(enriched).select("cause", "p50_min", "p90_min")
-        learning = evaluate.walk_forward(evaluate.walk_forward_scores(days))
-    plan = cut(cover.deploy_by_dow(risk))
-    curve = cut(cover.coverage_curve(cells))
-    network = Network(enriched)
-    edges, blast = cut(network.edges), cut(network.blast)
-    diversion = cut(network.diversion)
+def report_sections(enriched: DataFrame, forecast: Callable[[], DataFrame] | None = None) -> dict[str, sinks.Section]:
+    """Every section of the feed. ``forecast`` returns the model's
+    forecast; without it heat, plan, reach and learning curve come from plain averages.
+
+    What the sections share is computed first, independent parts at the same time: the boosting of the forecast and of
+    the weekly fits is thousands of short jobs, which leave room for the joins and counts of the others.
+    """
+    def surfaces() -> tuple[DataFrame | None, DataFrame, DataFrame]:
+        predicted = forecast() if forecast else None
+        risk = cut(models.risk_surface_model(predicted) if forecast else surface.weekday_risk(enriched))
+        return predicted, risk, cut(cover.deploy_by_dow(risk))
+
+    def weekly() -> DataFrame:
+        days = surface.cell_days(enriched)
+        if forecast:
+            return cut(models.walk_forward_model(days))
+        return cut(evaluate.walk_forward(evaluate.walk_forward_scores(days)))
+
+    def clearances() -> tuple[DataFrame, DataFrame | None]:
+        if forecast:
+            return cut(models.clearance_table(enriched)), cut(models.clearance_metrics(enriched))
+        return models.clearance_by_cause(enriched).select("cause", "p50_min", "p90_min"), None
+
+    def covered() -> tuple[DataFrame, DataFrame, DataFrame]:
+        cells = cut(surface.risk_cells(enriched))
+        busiest = cover.preposition_busiest(cells, surface.cell_dow_load(enriched))
+        return cells, cut(cover.coverage_curve(cells)), cut(busiest)
+
+    def linked() -> tuple[Network, DataFrame, DataFrame, DataFrame]:
+        network = Network(enriched)
+        return network, cut(network.edges), cut(network.blast), cut(network.diversion)
+
+    shared = together(
+        enriched.sparkSession, surfaces=surfaces, weekly=weekly, clearances=clearances, covered=covered, linked=linked,
+        gatherings=lambda: cut(bursts.burst_dedup(bursts.burst_score(enriched))),
+        flagged=lambda: cut(anomaly.abnormal_days(enriched)), confidence=lambda: cut(evaluate.cell_confidence(enriched)),
+    )
+    (predicted, risk, plan), learning = shared["surfaces"], shared["weekly"]
+    clearance, clearance_errors = shared["clearances"]
+    cells, curve, busiest = shared["covered"]
+    network, edges, blast, diversion = shared["linked"]
+    flagged, confidence = shared["flagged"], shared["confidence"]
     reached = evaluate.reach(enriched, plan)
-    confidence = evaluate.cell_confidence(enriched)
-    flagged = cut(anomaly.abnormal_days(enriched))
     scenarios = planned.scenario_archetypes(enriched)
     rec = sinks.records
     sections = {
@@ -78,7 +102,7 @@ def report_sections(enriched: DataFrame, predicted: DataFrame | None = None) ->
                              ["date", "z", "impact", "cause", "event"]),
         "barricading": rec(barricade.barricade_plan(barricade.barricade_zones(enriched), diversion), ["gy", "gx"]),
         "learning_curve": rec(learning, ["week"]),
-        "gatherings": rec(bursts.burst_dedup(bursts.burst_score(enriched)).withColumn("o", -F.col("size")), ["o", "started"],
+        "gatherings": rec(shared["gatherings"].withColumn("o", -F.col("size")), ["o", "started"],
                           ["started", "lat", "lon", "size", "area", "cause", "mix", "text"]),
         "scenario_archetypes": rec(scenarios.withColumn("o", -F.col("bump")), ["o", "name"],
                                    ["name", "lat", "lon", "bump", "events", "p90_hold"]),
@@ -88,16 +112,28 @@ def report_sections(enriched: DataFrame, predicted: DataFrame | None = None) ->
         "equity": rec(evaluate.equity_by_zone(reached), ["reached_pct", "zone"]),
         "confidence_audit": rec(evaluate.confidence_audit(confidence), ["confidence", "gy", "gx"]),
     }
-    busiest = cover.preposition_busiest(cells, surface.cell_dow_load(enriched))
     sections["preposition"] = rec(busiest, ["k"], ["dow", "k", "lat", "lon", "anchor_corridor", "covers", "cum_coverage_pct"])
     urgency = enriched.groupBy("cause").agg(F.count(F.lit(1)).alias("incidents")).withColumn("tier", urgency_tier(F.col("cause")))
     sections["urgency"] = rec(urgency.withColumn("response", urgency_label(F.col("tier"))), ["cause"], ["cause", "incidents", "tier", "response"])
     if predicted is not None:
         sections["risk_metrics"] = rec(models.risk_metrics(predicted), ["n_cells"])
-        sections["clearance_metrics"] = rec(models.clearance_metrics(enriched), ["p50_mae"])
+        sections["clearance_metrics"] = rec(clearance_errors, ["p50_mae"])
     return sections
 
 
+def write_incidents(raw: DataFrame, folder: str) -> DataFrame:
+    """The scored log, written once by date. What follows reads it with column and partition pruning."""
+    return sinks.write_table(enrich(raw).select(*ENRICHED_COLUMNS), f"{folder}/incidents_enriched", "date")
+
+
+def write_stage_tables(stored: DataFrame, folder: str, risk: DataFrame | None = None) -> dict[str, DataFrame]:
+    """The stage tables that follow from the written ``incidents_enriched``; ``risk`` in place of plain averages."""
+    rest = {name: df for name, df in stage_tables(stored).items() if name != "incidents_enriched"}
+    if risk is not None:
+        rest["risk_by_dow"] = risk
+    return sinks.write_tables(rest, folder, {})
+
+
 def run(spark: SparkSession, raw: DataFrame, folder: str, with_models: bool = True) -> DataFrame:
     """Raw log to stage tables and feed under ``folder``; returns the rows of the feed.
 
@@ -105,12 +141,15 @@ def run(spark: SparkSession, raw: DataFrame, folder: str, with_models: bool = Tr
     reads that table with column and partition pruning.
     """
     prepare(spark)
-    stored = sinks.write_table(enrich(raw).select(*ENRICHED_COLUMNS), f"{folder}/incidents_enriched", "date")
-    rest = {name: df for name, df in stage_tables(stored).items() if name != "incidents_enriched"}
-    predicted = cut(models.risk_forecast(surface.cell_days(stored))) if with_models else None
-    if predicted is not None:
-        rest["risk_by_dow"] = models.risk_surface_model(predicted)
-    sinks.write_tables(rest, folder, {})
-    feed = sinks.document(spark, report_sections(stored, predicted))
+    stored = write_incidents(raw, folder)
+    predicted = []
+
+    def forecast() -> DataFrame:
+        predicted.append(cut(models.risk_forecast(surface.cell_days(stored))))
+        return predicted[0]
+
+    sections = report_sections(stored, forecast if with_models else None)
+    write_stage_tables(stored, folder, models.risk_surface_model(predicted[0]) if with_models else None)
+    feed = sinks.document(spark, sections)
     sinks.write_feed(feed, f"{folder}/feed")
     return sinks.feed_rows(feed)
