@@ -521,9 +521,9 @@ def _fresh_folder(spark: SparkSession, name: str) -> str:
 @_direct
 def write_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write the stage tables and report the rows read back from each."""
-    enriched = impact.enrich(scan_events(spark, sf_dir))
     folder = _fresh_folder(spark, "tables")
-    written = sinks.write_tables(full_run.stage_tables(enriched), folder, {"incidents_enriched": "date"})
+    stored = full_run.write_incidents(scan_events(spark, sf_dir), folder)
+    written = {"incidents_enriched": stored} | full_run.write_stage_tables(stored, folder)
     counts = [df.agg(F.lit(name).alias("table"), F.count(F.lit(1)).alias("rows")) for name, df in written.items()]
     result = counts[0]
     for one in counts[1:]:

@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from kerbwise.operators import evaluate, models, surface
 from kerbwise.plans import full_run
+from kerbwise.plans.registry import QUERIES
 from kerbwise.session import together
+from kerbwise.sources import sinks
 from kerbwise.sources.event_log import scan_events
 
 
@@ -34,3 +36,18 @@ def test_forecast_and_weekly_fits_run_at_the_same_time(spark, sf_dir, tmp_path,
 def test_pieces_of_work_by_name(spark):
     got = together(spark, a=lambda: spark.range(3).count(), b=lambda: spark.range(5).count())
     assert got == {"a": 3, "b": 5}
+
+
+def test_stage_tables_follow_from_the_written_log(spark, sf_dir, monkeypatch):
+    sources = {}
+    write = sinks.write_table
+
+    def noted(df, path, *args, **kwargs):
+        sources[path.rsplit("/", 1)[1]] = " ".join(df.inputFiles())
+        return write(df, path, *args, **kwargs)
+
+    monkeypatch.setattr(sinks, "write_table", noted)
+    rows = {r["table"]: r["rows"] for r in QUERIES["write_tables"](spark, sf_dir).collect()}
+    assert "events.parquet" in sources.pop("incidents_enriched") and len(sources) == 4
+    assert not any("events.parquet" in files for files in sources.values())
+    assert "incidents_enriched" in sources["risk_cells"] and rows["incidents_enriched"] > rows["risk_cells"] > 0
