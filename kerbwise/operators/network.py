@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from kerbwise import settings as S
 from kerbwise.functions.geo import distance_pairs
-from kerbwise.functions.numbers import mean_lat, mean_lon, round_half_even, sum_tenths
-from kerbwise.operators.neighbours import PAIR_LIMIT, following, place_time_counts
+from kerbwise.functions.numbers import (
+    LAT_ORIGIN_E7, LON_ORIGIN_E7, mean_from_offsets, mean_lat, mean_lon, offset_e7, round_half_even, sum_tenths, tenths,
+)
+from kerbwise.operators.neighbours import PAIR_LIMIT, PLACE_TIME, following, place_time_counts
 from kerbwise.operators.surface import unplanned
 from kerbwise.session import cut, sized
 
@@ -34,6 +36,33 @@ def node_incidents(enriched: DataFrame, nodes: DataFrame) -> DataFrame:
     return unplanned(enriched).join(nodes.select("corridor"), "corridor", "left_semi")
 
 
+def corridor_counts(enriched: DataFrame) -> DataFrame:
+    """Unplanned incidents of named corridors per (second, place, corridor), with their impact; without a time too.
+
+    Nodes and pairs both follow from these rows, so the log is read once for the network.
+    """
+    named = unplanned(enriched).filter(F.col("corridor") != S.NON_CORRIDOR)
+    return named.groupBy(F.unix_seconds("t_event").alias("t_s"), "lat", "lon", "corridor").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(tenths(F.col("impact_min"))).alias("impact_t")
+    )
+
+
+def nodes_from(counts: DataFrame) -> DataFrame:
+    """``corridor_nodes`` from stored ``corridor_counts``."""
+    n = F.sum("n")
+    lat, lon = (F.sum(offset_e7(F.col(c), o) * F.col("n")) for c, o in (("lat", LAT_ORIGIN_E7), ("lon", LON_ORIGIN_E7)))
+    return (
+        counts.groupBy("corridor")
+        .agg(
+            mean_from_offsets(lat, n, LAT_ORIGIN_E7).alias("lat"),
+            mean_from_offsets(lon, n, LON_ORIGIN_E7).alias("lon"),
+            (F.sum("impact_t").cast("double") / F.lit(10.0)).alias("load"),
+            n.alias("n"),
+        )
+        .filter(F.col("n") >= S.NODE_MIN_INCIDENTS)
+    )
+
+
 def spillover_pairs(incidents: DataFrame, pair_limit: int = PAIR_LIMIT) -> DataFrame:
     """Number of follow-on pairs per ordered corridor pair ``(src, dst, count)``.
 
@@ -41,7 +70,11 @@ def spillover_pairs(incidents: DataFrame, pair_limit: int = PAIR_LIMIT) -> DataF
     window and radius. Within one second the alphabetically smaller corridor is the
     source, so each pair counts once and never depends on row order.
     """
-    counts = cut(place_time_counts(incidents, "corridor"))
+    return pairs_from(cut(place_time_counts(incidents, "corridor")), pair_limit)
+
+
+def pairs_from(counts: DataFrame, pair_limit: int = PAIR_LIMIT) -> DataFrame:
+    """``spillover_pairs`` from stored ``place_time_counts``."""
     found = following(counts, counts, "corridor", S.SPILL_KM, S.PAIR_WINDOW_SEC, True, pair_limit)
     return (
         found.filter(F.col("p_corridor") != F.col("corridor"))
@@ -128,8 +161,10 @@ class Network:
     """The network tables of one log, each computed once and reused by the next."""
 
     def __init__(self, enriched: DataFrame):
-        self.nodes = sized(corridor_nodes(enriched))
-        self.pairs = cut(spillover_pairs(node_incidents(enriched, self.nodes)))
+        counts = cut(corridor_counts(enriched))
+        self.nodes = sized(nodes_from(counts))
+        timed = counts.filter(F.col("t_s").isNotNull()).select(*PLACE_TIME, "corridor", "n")
+        self.pairs = cut(pairs_from(timed.join(self.nodes.select("corridor"), "corridor", "left_semi")))
 
     @property
     def edges(self) -> DataFrame:
