@@ -87,6 +87,36 @@ def _turn(lon: Column, circle: Column) -> Column:
     return F.floor((lon + F.lit(180.0)) * circle / F.lit(360.0))
 
 
+def _reach_degrees(band: Column, height: float, km: float) -> Column:
+    """Longitudes that ``km`` can span next to a band of latitude ``height`` degrees high."""
+    farthest = F.least(F.greatest(F.abs(band - 1), F.abs(band + 2)) * F.lit(height), F.lit(89.9))
+    chord = F.least(F.lit(1.0), F.lit(math.sin(km / S.EARTH_RADIUS_KM / 2)) / F.cos(F.radians(farthest)))
+    return F.degrees(F.asin(chord)) * F.lit(2 * BUCKET_MARGIN)
+
+
+def reach_boxes(df: DataFrame, km: float, side: float) -> DataFrame:
+    """Every row once per box ``(_by, _bx)``, at least ``side`` times ``km`` wide, that may hold a place within ``km`` of it.
+
+    Boxes follow the latitude and close around the globe. ``_own`` marks the box the row lies in.
+    """
+    reach = km / KM_PER_DEGREE * BUCKET_MARGIN
+    height = reach * side
+    span = _reach_degrees(F.col("_by"), height, km)
+    polar = F.greatest(F.abs(F.col("_by") - 1), F.abs(F.col("_by") + 2)) * F.lit(height) >= F.lit(89.9)
+    circle = F.when(polar, F.lit(1)).otherwise(F.greatest(F.lit(1), F.floor(F.lit(360.0 / side) / span))).cast("long")
+
+    def column(lon: Column) -> Column:
+        return _turn(lon, F.col("_circle"))
+
+    lat, lon = F.col("lat"), F.col("lon")
+    turns = F.sequence(column(lon - F.col("_span")), column(lon + F.col("_span")))
+    bands = F.sequence(F.floor((lat - reach) / height), F.floor((lat + reach) / height))
+    offered = df.withColumn("_by", F.explode(bands)).withColumns({"_span": F.least(span, F.lit(180.0)), "_circle": circle})
+    around_globe = F.array_distinct(F.transform(turns, lambda x: F.pmod(x, F.col("_circle"))))
+    own = (F.col("_by") == F.floor(lat / height)) & (F.col("_bx") == F.pmod(column(lon), F.col("_circle")))
+    return offered.withColumn("_bx", F.explode(around_globe)).withColumn("_own", own).drop("_span", "_circle")
+
+
 # Places are sorted into a pyramid of boxes: 2 ** 15 steps of latitude and of longitude at
 # the bottom, eight times fewer on each level above it.
 PYRAMID_BITS = (12, 9, 6, 3, 0)

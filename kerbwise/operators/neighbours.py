@@ -127,7 +127,7 @@ def _comparison(label: str, km: float, seconds: int, per_label: bool) -> Callabl
     """``following`` for the anchors and points of one box."""
 
     def run(anchors: pa.Table, points: pa.Table) -> pa.Table:
-        names, (a_code, p_code) = _codes(anchors[label] if per_label else None, points[f"p_{label}"])
+        names, (a_code, p_code) = label_codes(anchors[label] if per_label else None, points[f"p_{label}"])
         a_t, p_t = anchors["t_s"].to_numpy(), points["p_t_s"].to_numpy()
         a_order, p_order = np.lexsort((a_code, a_t)) if per_label else np.argsort(a_t, kind="stable"), np.lexsort((p_code, p_t))
         sides = []
@@ -142,7 +142,7 @@ def _comparison(label: str, km: float, seconds: int, per_label: bool) -> Callabl
         last = np.maximum(first, np.searchsorted(sides[1][0], times + seconds, "right"))
         rows, labels, counts = [], [], []
         total = np.zeros((codes, codes) if per_label else (0, 0), np.int64)
-        for block, sums in _near_sums(*sides, first, last, p_code, weight, codes, km):
+        for block, sums in near_sums(*sides, first, last, p_code, weight, codes, km):
             if per_label:
                 np.add.at(total, a_code[a_order[block]], sums * anchors["n"].to_numpy()[a_order[block], None])
             else:
@@ -160,14 +160,14 @@ def _comparison(label: str, km: float, seconds: int, per_label: bool) -> Callabl
     return run
 
 
-def _codes(*columns: pa.ChunkedArray | None) -> tuple[pa.Array, list[np.ndarray | None]]:
+def label_codes(*columns: pa.ChunkedArray | None) -> tuple[pa.Array, list[np.ndarray | None]]:
     """The different labels in order, and the number of each label in every column."""
     names = pc.unique(pa.chunked_array([chunk for c in columns if c is not None for chunk in c.chunks], columns[-1].type))
     names = names.take(pc.sort_indices(names, null_placement="at_start"))
     return names, [None if c is None else pc.index_in(c, names).to_numpy().astype(np.int64) for c in columns]
 
 
-def _near_sums(anchors, points, first, last, codes, weights, n_codes, km) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def near_sums(anchors, points, first, last, codes, weights, n_codes, km) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Places of some anchors, and for each the weights by code of its points ``first`` to ``last`` within ``km``.
 
     Distances are compared as cosines of unit vectors; those next to the radius by the distance formula.
@@ -287,3 +287,6 @@ def _relation(
     inside = (gap >= 1) & ((gap + 1) * F.lit(span) <= seconds) & (farthest <= km)
     outside = (gap < 0) | ((gap - 1) * F.lit(span) > seconds) | (nearest * F.lit(1 - 1e-6) > km)
     return inside, outside
+
+
+_near_sums = near_sums  # the name it had
