@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kerbwise.llm import decontaminate, jaccard_join, lang_id, mixing, sharding
-from kerbwise.llm.store import numbered, small, stored
+from kerbwise.llm.store import give_back_driver, numbered, small, stored
 
 #: A document stays if a language was found with at least this calibrated probability.
 MIN_LANGUAGE_SCORE = 0.5
@@ -22,7 +22,9 @@ BATCH_ROWS = 1_000
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents without a letter or without a clear language. Learned from the labelled documents themselves."""
     _small_batches(spark)
-    judged = lang_id.identify(docs, lang_id.train(docs), names=("_stage_language", "_stage_score"))
+    model = lang_id.train(docs)
+    give_back_driver(spark)  # the training rows
+    judged = lang_id.identify(docs, model, names=("_stage_language", "_stage_score"))
     sure = (F.col("_stage_language") != lang_id.UNKNOWN) & (F.col("_stage_score") >= MIN_LANGUAGE_SCORE)
     return judged.filter(sure).select(*[F.col(f"`{c}`") for c in docs.columns])
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections import defaultdict
 
 import numpy as np
@@ -45,17 +46,22 @@ class HammingIndex:
     def __init__(self, prints: np.ndarray, radius: int = RADIUS) -> None:
         self.prints, self.radius = prints, radius
         self.blocks = BITS // BLOCK_BITS
-        near = np.bitwise_count(np.arange(256)[:, None] ^ np.arange(256)[None, :]) <= radius // self.blocks
-        own = prints.view(np.uint8).reshape(-1, self.blocks)
-        self.tables = [[np.flatnonzero(near[v][own[:, b]]) for v in range(256)] for b in range(self.blocks)]
+
+    @functools.cached_property
+    def tables(self) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Per block: how many prints are near each of its values, and those prints, value by value. Made at the first
+        search, so that the driver neither holds nor ships the tables of every length of item."""
+        near = np.bitwise_count(np.arange(256)[:, None] ^ np.arange(256)[None, :]) <= self.radius // self.blocks
+        own = self.prints.view(np.uint8).reshape(-1, self.blocks)
+        lists = ([np.flatnonzero(near[v][own[:, b]]) for v in range(256)] for b in range(self.blocks))
+        return [(np.array([len(x) for x in block]), np.concatenate(block)) for block in lists]
 
     def search(self, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """All (query, print, distance) within the radius."""
         parts = queries.view(np.uint8).reshape(-1, self.blocks)
         pairs = []
-        for b, lists in enumerate(self.tables):
-            counts = np.array([len(x) for x in lists])
-            flat, base = np.concatenate(lists), np.cumsum(counts) - counts
+        for b, (counts, flat) in enumerate(self.tables):
+            base = np.cumsum(counts) - counts
             value = parts[:, b].astype(np.int64)
             many = counts[value]
             q = np.repeat(np.arange(len(queries)), many)

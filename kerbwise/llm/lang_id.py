@@ -136,8 +136,9 @@ def training_rows(docs: DataFrame, text: str, label: str, limit: int) -> tuple[l
                         )
 
     rows = chosen.select("h", "text", "label").mapInArrow(tidy(run), "h long, label string, feature array<int>, tf array<float>").toArrow()
-    rows = rows.sort_by([("h", "ascending"), ("label", "ascending")])
-    return list(zip(list_rows(rows.column("feature")), list_rows(rows.column("tf")))), rows.column("label").to_pylist()
+    order = pc.sort_indices(rows.select(["h", "label"]), [("h", "ascending"), ("label", "ascending")]).to_numpy()
+    feature, tf = list_rows(rows.column("feature")), list_rows(rows.column("tf"))
+    return [(feature[i], tf[i]) for i in order], rows.column("label").take(pa.array(order)).to_pylist()
 
 
 def list_rows(column: pa.ChunkedArray) -> list[np.ndarray]:
@@ -170,8 +171,15 @@ def softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(-1, keepdims=True)
 
 
-def follow_the_leader(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, classes: int, size: int) -> np.ndarray:
-    """Proximal FTRL with L1 and L2 penalties: per-coordinate learning rates, exact zeros. The last row is the bias."""
+def scaled(feature: np.ndarray, tf: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    return tf * idf[feature] * SCALE
+
+
+def follow_the_leader(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, classes: int, size: int, idf: np.ndarray | None = None) -> np.ndarray:
+    """Proximal FTRL with L1 and L2 penalties: per-coordinate learning rates, exact zeros. The last row is the bias.
+
+    With ``idf``, values are term frequencies and scaled where they are used, so that no scaled copy of all rows is held.
+    """
     z, n = np.zeros((size + 1, classes)), np.zeros((size + 1, classes))
 
     def weights(zi, ni):
@@ -179,7 +187,7 @@ def follow_the_leader(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndar
 
     for _ in range(EPOCHS):
         for (feature, value), y in zip(rows, labels):
-            at, x = np.append(feature, size), np.append(value, 1.0)
+            at, x = np.append(feature, size), np.append(value if idf is None else scaled(feature, value, idf), 1.0)
             zi, ni = z[at], n[at]
             w = weights(zi, ni)
             p = softmax(x @ w)
@@ -217,14 +225,13 @@ def train(docs: DataFrame, text: str = "text", label: str = "lang", limit: int =
     idf = np.log((1 + texts) / (1 + df)) + 1
     languages = sorted(set(names))
     y = np.array([languages.index(x) for x in names])
-    scaled = [(f, t * idf[f] * SCALE) for f, t in rows]
     fifth = np.arange(len(rows)) % 5
 
     def fitted(at: np.ndarray) -> np.ndarray:
-        return follow_the_leader([scaled[i] for i in at], y[at], len(languages), FEATURES)
+        return follow_the_leader([rows[i] for i in at], y[at], len(languages), FEATURES, idf)
 
     def judged(weights: np.ndarray, at: np.ndarray) -> np.ndarray:
-        return np.array([t @ weights[f] + weights[-1] for f, t in (scaled[i] for i in at)]).reshape(len(at), len(languages))
+        return np.array([scaled(f, t, idf) @ weights[f] + weights[-1] for f, t in (rows[i] for i in at)]).reshape(len(at), len(languages))
 
     if len(rows) >= 50:
         rest = np.flatnonzero(fifth == 4)

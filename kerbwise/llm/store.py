@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -16,12 +17,30 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def give_back_driver(spark: SparkSession) -> None:
+    """Return freed memory of the driver, of its Python and of its JVM. What the JVM's compilers and libraries free stays in
+    the C library's arenas, one for each of many threads, and grows with every plan; a JVM that cannot hand it back (before
+    17.0.9, or on another C library) is left as it is."""
+    give_back()
+    if not hasattr(spark, "_jvm"):
+        return
+    jvm = spark._jvm
+    try:
+        server = jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer()
+        call = next(m for m in jvm.java.lang.Class.forName("javax.management.MBeanServer").getMethods() if m.getName() == "invoke")
+        given = spark.sparkContext._gateway.new_array(jvm.java.lang.Object, 4)
+        given[0], given[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+        call.invoke(server, given)
+    except Py4JError:
+        pass
+
+
 def stored(df: DataFrame, name: str = "table") -> DataFrame:
     """Write ``df`` to the shared folder as Parquet and continue from there, so that lost
     executors cost a reread and not a recomputation. The driver returns what it freed until then."""
     path = fresh_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    give_back()
+    give_back_driver(df.sparkSession)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
