@@ -32,6 +32,8 @@ FLUSH = 1_000_000
 POSITIONS = 16
 PIVOTS = 8
 CLOSE, FAMILY_BLOCK = 0.6, 512
+#: Shingles of two blocks that a worker sorts at a time, some 70 bytes each.
+AT_ONCE = 1 << 18
 
 
 def pack(values: np.ndarray) -> bytes:
@@ -346,6 +348,27 @@ def _families(rows: DataFrame, done: DataFrame, labels: DataFrame) -> DataFrame:
     return stored(chosen.join(needed, "set_id", "left_semi").join(small(labels), "set_id"), "families")
 
 
+def _shared_tokens(lists: pa.ChunkedArray, most: int = AT_ONCE) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Shingles that several rows of ``lists`` hold, numbered from 0, and their rows: one range of the hash after the other, of
+    about ``most`` shingles, so that those of all rows are never sorted or copied at once."""
+    parts, row = [], 0
+    for chunk in lists.chunks:
+        ends = np.cumsum(pa.compute.list_value_length(chunk).to_numpy(zero_copy_only=False))
+        parts.append((chunk.flatten().to_numpy(zero_copy_only=False).view(_U), ends, row))
+        row += len(chunk)
+    bits = (sum(len(values) for values, _, _ in parts) // most).bit_length()
+    for place in range(1 << bits):
+        tokens, owners = [np.zeros(0, _U)], [np.zeros(0, np.int64)]
+        for values, ends, start in parts:
+            at = np.flatnonzero(values >> _U(64 - bits) == _U(place)) if bits else np.arange(len(values))
+            tokens.append(values[at])
+            owners.append(start + np.searchsorted(ends, at, "right"))
+        token, owner = np.concatenate(tokens), np.concatenate(owners)
+        _, token, seen = np.unique(token, return_inverse=True, return_counts=True)
+        shared = seen[token] > 1
+        yield np.unique(token[shared], return_inverse=True)[1], owner[shared]
+
+
 def _family_links(families: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) between sets of one family and different components, one for each pair of components met in a task.
 
@@ -367,19 +390,15 @@ def _family_links(families: DataFrame, sets: DataFrame, percent: int) -> DataFra
     def run(table: pa.Table) -> pa.Table:
         get = lambda name: table.column(name).combine_chunks().to_numpy(zero_copy_only=False)
         ids, comp, n, m, p, block = (get(c).astype(np.int64) for c in ("set_id", "comp", "n", "m", "p", "block"))
-        lists = table.column("difference").combine_chunks()
-        owner = np.repeat(np.arange(len(ids)), pa.compute.list_value_length(lists).to_numpy(zero_copy_only=False))
-        _, token, seen = np.unique(lists.flatten().to_numpy(zero_copy_only=False), return_inverse=True, return_counts=True)
-        shared = seen[token] > 1
-        token, owner = np.unique(token[shared], return_inverse=True)[1], owner[shared]
         first, second = get("one")[0], get("two")[0]
         x, y = np.flatnonzero(block == first), np.flatnonzero(block == second)
         common = np.zeros((len(x), len(y)), np.float32)
-        for low in range(0, int(token.max(initial=-1)) + 1, 4096):
-            part = (token >= low) & (token < low + 4096)
-            held = np.zeros((len(ids), 4096), np.float32)
-            held[owner[part], token[part] - low] = 1
-            common += held[x] @ held[y].T
+        for token, owner in _shared_tokens(table.column("difference")):
+            for low in range(0, int(token.max(initial=-1)) + 1, 4096):
+                part = (token >= low) & (token < low + 4096)
+                held = np.zeros((len(ids), 4096), np.float32)
+                held[owner[part], token[part] - low] = 1
+                common += held[x] @ held[y].T
         inter = p[0] - m[x][:, None] - m[y][None, :] + common.astype(np.int64)
         linked = 100 * inter >= percent * (n[x][:, None] + n[y][None, :] - inter)
         i, j = np.nonzero(linked & (comp[x][:, None] != comp[y][None, :]))

@@ -2,13 +2,15 @@
 
 import pickle
 import re
+import tracemalloc
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
-from kerbwise.llm import decontaminate, lang_id, store
+from kerbwise.llm import decontaminate, jaccard_join, lang_id, store
 
 
 def _resident(spark):
@@ -75,7 +77,7 @@ def test_items_ship_without_their_tables():
     items = decontaminate.Items(list(range(40)), texts)
     assert len(pickle.dumps(items)) < 400_000  # with the tables of 40 lengths: above 3 MB
     sent = pickle.loads(pickle.dumps(items))
-    own = next(decontaminate.folded(decontaminate.pa.array([texts[7]]))).hashes
+    own = next(decontaminate.folded(pa.array([texts[7]]))).hashes
     assert [m[0] for m in sent.matches(own, 0.8)] == [7]
 
 
@@ -85,3 +87,32 @@ def test_scaling_where_used_trains_the_same_weights():
     labels, idf = random.integers(0, 3, 40), random.random(60) + 1
     before = lang_id.follow_the_leader([(f, t * idf[f] * lang_id.SCALE) for f, t in rows], labels, 3, 60)
     assert np.array_equal(lang_id.follow_the_leader(rows, labels, 3, 60, idf), before)
+
+
+def test_shared_tokens_are_found_range_by_range():
+    random = np.random.default_rng(5)
+    pool = random.integers(-(2**63), 2**63 - 1, 300)
+    rows = [random.choice(pool, n, replace=False).tolist() for n in (0, 40, 7, 0, 90, 120, 1, 0)]
+    lists = pa.chunked_array([pa.array(rows[:3], pa.list_(pa.int64())), pa.array(rows[3:], pa.list_(pa.int64()))])
+    expected = np.array([[len(set(a) & set(b)) for b in rows] for a in rows])
+    for most in (1, 16, 1000):
+        common = np.zeros((len(rows), len(rows)), int)
+        for token, owner in jaccard_join._shared_tokens(lists, most):
+            held = np.zeros((len(rows), token.max(initial=-1) + 1), int)
+            held[owner, token] = 1
+            common += held @ held.T
+        np.fill_diagonal(common, 0)
+        assert np.array_equal(common, expected - np.diag(expected.diagonal()))
+    empty = pa.chunked_array([], pa.list_(pa.int64()))
+    assert [len(t) for t, _ in jaccard_join._shared_tokens(empty)] == [0]
+
+
+def test_two_blocks_are_compared_in_little_memory():
+    values = np.random.default_rng(7).integers(-(2**63), 2**63 - 1, 2_000_000)
+    lists = pa.chunked_array([pa.ListArray.from_arrays(pa.array(np.arange(0, 2_000_001, 2000, dtype=np.int32)), pa.array(values))])
+    tracemalloc.start()
+    for _ in jaccard_join._shared_tokens(lists):
+        pass
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 50_000_000  # sorted at once: above 100 MB
