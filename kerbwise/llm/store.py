@@ -19,8 +19,8 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 
 def give_back_driver(spark: SparkSession) -> None:
     """Return freed memory of the driver, of its Python and of its JVM. What the JVM's compilers and libraries free stays in
-    the C library's arenas, one for each of many threads, and grows with every plan; a JVM that cannot hand it back (before
-    17.0.9, or on another C library) is left as it is."""
+    the C library's arenas, one for each of many threads, and grows with every plan; a JVM that cannot hand it back is left
+    as it is."""
     give_back()
     if not hasattr(spark, "_jvm"):
         return
