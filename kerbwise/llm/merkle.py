@@ -1,7 +1,8 @@
 """Merkle manifest of a dataset: trees per source under one root, proofs and a check of every leaf.
 
 Built levels are stored as node rows linked to their parents. A recursive query then climbs from each leaf, one level a
-step: it meets the node's siblings, folds them with the hash that comes from below and hands both to the parent.
+step: it meets the node's siblings, folds them with the hash that comes from below and hands both to the parent. In the
+upper levels, which many leaves share, it climbs once from each node where leaves enter, and they fold what it met.
 """
 
 from __future__ import annotations
@@ -11,13 +12,14 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kerbwise.llm.store import ordered_sums, small, stored, tasks
+from kerbwise.llm.store import ordered_sums, small, stored
 
 FANOUT = 3
 #: A node is named by its first leaf and its level; levels of the upper tree, over the sources, count from UPPER on.
 UPPER, LEVELS = 64, 128
 #: Up to this many nodes above a level travel to every task; below it they are met by a shuffle, and there a node has
-#: at most FANOUT ** levels leaves, so no key is hot.
+#: at most FANOUT ** levels leaves, so no key is hot. A level of no more nodes is built in one task, not in a shuffle of
+#: as many tasks as the whole table gets.
 TOP_NODES = 20_000
 
 
@@ -44,20 +46,23 @@ def name_of(first: Column, level: Column | int) -> Column:
     return first * LEVELS + (F.lit(level) if isinstance(level, int) else level)
 
 
-def levels(leaves: DataFrame, base: int) -> tuple[DataFrame, DataFrame]:
+def levels(leaves: DataFrame, base: int, sizes: tuple[int, int, int]) -> tuple[DataFrame, DataFrame]:
     """Trees over ``leaves`` (tree, place, size, first, id, hash): ``size`` nodes of a tree at places from 0, each with its
-    first leaf. Returns the node rows below the tops, (id, level, parent, lefts, rights): hashes of the other nodes of
-    its run, and the tops (tree, first, id, hash). Every level is one aggregation that combines its runs of three
-    before they move, so a tree that holds a third of all leaves is no hot key; a level has a third of the rows of
-    the one below."""
+    first leaf; ``sizes`` has the size of the largest tree and the numbers of leaves and trees. Returns the node rows below
+    the tops, (id, level, parent, lefts, rights): hashes of the other nodes of its run, and the tops (tree, first, id,
+    hash). Every level is one aggregation that combines its runs of three before they move, so a tree that holds a third
+    of all leaves is no hot key; a level has a third of the rows of the one below."""
     nodes, tops, level = None, None, base
+    largest, rows, trees = sizes
     now = leaves
     while True:
         done = now.filter("size = 1").select("tree", "first", "id", "hash")
         tops = done if tops is None else tops.unionByName(done)
-        going = now.filter("size > 1")
-        if going.isEmpty():
+        if largest <= 1:
             return nodes, tops
+        going = now.filter("size > 1")
+        if rows <= TOP_NODES:
+            going = going.coalesce(1)
         run = F.floor(F.col("place") / FANOUT).alias("run")
         child = [F.max(F.when(F.col("place") % FANOUT == i, F.struct("id", "hash"))).alias(f"c{i}") for i in range(FANOUT)]
         runs = going.groupBy("tree", run).agg(F.first("size").alias("size"), F.min("first").alias("first"), *child)
@@ -65,13 +70,14 @@ def levels(leaves: DataFrame, base: int) -> tuple[DataFrame, DataFrame]:
         level += 1
         runs = runs.withColumns({"parent": name_of(F.col("first"), level), "hash": digest(as_text(F.concat(*hashes)))})
         runs = stored(runs, "runs")
-        rows = F.array(*[
+        members = F.array(*[
             F.struct(F.col(f"c{i}.id").alias("id"), F.concat(F.lit(b""), *hashes[:i]).alias("lefts"), F.concat(F.lit(b""), *hashes[i + 1 :]).alias("rights"))
             for i in range(FANOUT)
         ])
-        below = runs.select("parent", F.lit(level - 1).alias("level"), F.explode(rows).alias("c")).filter("c.id is not null").select("c.id", "level", "parent", "c.lefts", "c.rights")
+        below = runs.select("parent", F.lit(level - 1).alias("level"), F.explode(members).alias("c")).filter("c.id is not null").select("c.id", "level", "parent", "c.lefts", "c.rights")
         nodes = below if nodes is None else nodes.unionByName(below)
         now = runs.select("tree", F.col("run").alias("place"), F.ceil(F.col("size") / FANOUT).alias("size"), "first", F.col("parent").alias("id"), "hash")
+        largest, rows = -(-largest // FANOUT), (rows + (FANOUT - 1) * trees) // FANOUT  # rows at most
 
 
 @contextmanager
@@ -114,6 +120,17 @@ def climb(start: DataFrame, nodes: DataFrame, name: str, columns: dict[str, str]
 
 
 FOLD = "unhex(sha2(lower(hex(concat(n.lefts, c.folded, n.rights))), 256))"
+CHAIN = "array<struct<lefts: binary, rights: binary>>"
+
+
+def folded(start: Column, chain: Column) -> Column:
+    """The hash at the end of a chain of siblings, from below up, that ``start`` is folded with."""
+    return F.aggregate(chain, start, lambda below, n: digest(as_text(F.concat(n["lefts"], below, n["rights"]))))
+
+
+def joined_text(siblings: Column) -> Column:
+    """Text of an array of bytes, in order."""
+    return F.array_join(F.transform(siblings, as_text), "")
 
 
 def build(docs: DataFrame, key: str = "doc_id", source: str = "source", fields: tuple[str, ...] = ("doc_id", "source", "lang", "n_chars", "text"),
@@ -133,11 +150,12 @@ def build(docs: DataFrame, key: str = "doc_id", source: str = "source", fields:
     trees_small = small(trees)
     leaves = placed.alias("l").join(trees_small.alias("t"), F.col("l.tree").eqNullSafe(F.col("t.tree")))
     leaves = leaves.select(F.col("l.tree").alias("tree"), (F.col("leaf") - F.col("start")).alias("place"), "size", F.col("leaf").alias("first"), name_of(F.col("leaf"), 0).alias("id"), "hash")
-    nodes, subroots = levels(leaves, 0)
+    largest, total, sources = trees.agg(F.max("size"), F.sum("size"), F.count(F.lit(1))).first()
+    nodes, subroots = levels(leaves, 0, (largest or 0, total or 0, sources))
     subroots = stored(subroots, "subroots")
     ranked = ordered_sums(subroots, ["first"], {"place": F.lit(1).cast("long")}, "sources")
-    ranked = stored(ranked.select(F.lit(0).alias("tree"), "place", F.lit(subroots.count()).cast("long").alias("size"), "first", "id", "hash"), "sources")
-    upper, roots = levels(ranked, UPPER)
+    ranked = stored(ranked.select(F.lit(0).alias("tree"), "place", F.lit(sources).cast("long").alias("size"), "first", "id", "hash"), "sources")
+    upper, roots = levels(ranked, UPPER, (sources, sources, 1))
     found = [n for n in (nodes, upper) if n is not None]
     empty = rows.sparkSession.createDataFrame([], "id long, level int, parent long, lefts binary, rights binary")
     both = found[0] if len(found) == 1 else found[0].unionByName(found[1]) if found else empty
@@ -151,7 +169,8 @@ def prove(leaves: DataFrame, nodes: DataFrame, top_nodes: int = TOP_NODES) -> Da
 
     Levels with at most ``top_nodes`` nodes in all, from the root down, travel to every task; below them the climb meets
     its nodes by shuffles, handing on the siblings of a step as a row. What is met above an entry to the upper levels is the
-    same for all leaves below it, so those siblings are appended once per entry; hashes are folded per leaf all the way.
+    same for all leaves below it, so the upper climb starts from the entries, not from the leaves, and hands on the chain of
+    siblings; each leaf folds that of its entry in one pass.
     """
     sizes = sorted((r["level"], r["count"]) for r in nodes.groupBy("level").count().collect())  # a row a level
     above, split = 0, (sizes[-1][0] + 1 if sizes else 0)
@@ -166,20 +185,19 @@ def prove(leaves: DataFrame, nodes: DataFrame, top_nodes: int = TOP_NODES) -> Da
             {"leaf": "c.leaf", "folded": FOLD, "siblings": "concat(n.lefts, n.rights)"}, "leaf, step, node, folded, siblings FROM climb",
         )
         met = steps.groupBy("leaf").agg(F.collect_list(F.struct("step", "siblings")).alias("s"), F.max(F.struct("step", "node", "folded")).alias("l"))  # a row a level
-        own = F.array_join(F.transform(F.array_sort("s"), lambda x: as_text(x["siblings"])), "")
-        start = stored(met.select("leaf", "l.node", "l.folded", F.unhex(own).alias("low")), "climb")
+        start = met.select("leaf", "l.node", "l.folded", joined_text(F.array_sort("s")["siblings"]).alias("low"))
     else:
-        start = start.withColumn("low", F.lit(b""))
+        start = start.withColumn("low", F.lit(""))
     top = nodes.filter(F.col("level") >= split)
+    # Leaves enter at the lowest of these levels or, from a tree that ends below it, at the lowest over the sources.
+    entries = top.filter(F.col("level").isin(split, UPPER)).select(F.col("id").alias("entry"), F.col("id").alias("node"), F.array().cast(CHAIN).alias("chain"))
     wide = "/*+ BROADCAST(n) */"
-    entries = start.select(F.col("node").alias("entry"), "node").distinct().withColumn("high", F.lit(b""))
-    last = "FROM climb LEFT ANTI JOIN {0}_nodes n ON climb.node = n.id"  # at the root
-    append = {"entry": "c.entry", "high": "concat(c.high, n.lefts, n.rights)"}
-    highs = climb(entries, top, "entry", append, f"entry, high {last.format('entry')}", wide)
-    spread = start.select("leaf", "node", "folded").repartition(tasks(leaves.sparkSession), "leaf")
-    roots = climb(spread, top, "high", {"leaf": "c.leaf", "folded": FOLD}, f"leaf, folded {last.format('high')}", wide)
-    proofs = start.join(small(highs), start["node"] == highs["entry"]).select("leaf", F.sha2(as_text(F.concat("low", "high")), 256).alias("proof_sha256"))
-    return proofs.join(roots, "leaf").select("leaf", "proof_sha256", as_text(F.col("folded")).alias("folded_root"))
+    append = {"entry": "c.entry", "chain": "concat(c.chain, array(named_struct('lefts', n.lefts, 'rights', n.rights)))"}
+    chains = climb(entries, top, "entry", append, f"{wide} entry, chain FROM climb LEFT ANTI JOIN entry_nodes n ON climb.node = n.id", wide)  # at the root
+    met = start.join(small(chains), start["node"] == chains["entry"], "left")  # at the root already: no chain
+    chain = F.coalesce("chain", F.array().cast(CHAIN))
+    high = joined_text(F.transform(chain, lambda n: F.concat(n["lefts"], n["rights"])))
+    return met.select("leaf", F.sha2(F.concat("low", high), 256).alias("proof_sha256"), as_text(folded(F.col("folded"), chain)).alias("folded_root"))
 
 
 def manifest(docs: DataFrame, key: str = "doc_id", source: str = "source", fields: tuple[str, ...] = ("doc_id", "source", "lang", "n_chars", "text"),
@@ -194,7 +212,7 @@ def manifest(docs: DataFrame, key: str = "doc_id", source: str = "source", field
     other columns are not read, whatever their names.
     """
     leaves, nodes, tops = build(docs, key, source, fields, tampered)
-    proofs = stored(prove(leaves, nodes), "proofs")
+    proofs = prove(leaves, nodes)
     joined = leaves.alias("l").join(small(stored(tops, "tops")).alias("t"), F.col("l.tree").eqNullSafe(F.col("t.tree"))).select("leaf", "key", "hash", "subroot", "root")
     return joined.join(proofs, "leaf").select(
         F.col("key").alias(key), as_text(F.col("hash")).alias("leaf"), as_text(F.col("subroot")).alias("subroot"), "root", "proof_sha256", "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"),

@@ -102,3 +102,23 @@ def test_climbing_by_shuffles_gives_the_same(spark):
     for limit in (0, 30):
         assert sorted(map(tuple, merkle.prove(leaves, nodes, limit).collect())) == wide
     assert spark.conf.get("spark.sql.cteRecursionRowLimit") != "-1"
+
+
+def test_upper_levels_take_few_tasks(spark):
+    """Levels that all leaves share are neither built nor climbed with the tasks of the whole table."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    many = {"spark.sql.shuffle.partitions": "60", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in many}
+    context, tracker = spark.sparkContext, spark.sparkContext.statusTracker()
+    for k, v in many.items():
+        spark.conf.set(k, v)
+    context.setJobGroup("merkle", "tasks are counted")
+    try:
+        merkle.manifest(docs, tampered=merkle.without_line_feeds()).write.format("noop").mode("overwrite").save()
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    stages = {s for j in tracker.getJobIdsForGroup("merkle") for s in tracker.getJobInfo(j).stageIds}
+    ran = sum(found.numCompletedTasks for s in stages if (found := tracker.getStageInfo(s)))
+    assert 0 < ran < 2500  # 1,771; 3,457 when every leaf climbed all levels
