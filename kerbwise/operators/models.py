@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 from datetime import timedelta
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark import inheritable_thread_target
 from pyspark.ml.feature import StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -16,6 +19,7 @@ from pyspark.sql import functions as F
 from kerbwise import settings as S
 from kerbwise.functions.numbers import round_half_even
 from kerbwise.functions.quantiles import exact_quantile, value_counts
+from kerbwise.operators.boosting import DEPTH, LEAST_ROWS, MAX_BINS, PATIENCE, STEP, chosen_rounds, fitted
 from kerbwise.operators.cleaning import US_PER_MIN
 from kerbwise.operators.evaluate import capture_by_date, fold_count, mean_capture, walk_forward
 from kerbwise.operators.surface import (
@@ -31,12 +35,10 @@ SEED = 7
 
 # Most rounds of boosting: of the forecast, and of each weekly fit of the walk-forward.
 RISK_ROUNDS, FOLD_ROUNDS = 400, 300
-# Rounds end when none of the last PATIENCE has an error on the held-out tenth that is lower by more than TOLERANCE
-# than the one before them; those up to the smallest error are kept.
-PATIENCE, TOLERANCE = 10, 1e-7
-# Weekly fits that run at the same time. Each is a row of short jobs, so they wait for the driver rather than for cores.
+# Vectors of a fold up to which one task fits it; Spark's trees, a job per level, fit a larger one. The model is the same.
+TASK_VECTORS = 500_000
+# Weekly fits by Spark's trees at the same time. Each is a row of short jobs, so they wait for the driver rather than for cores.
 FOLDS_AT_ONCE = 13
-MAX_BINS = 255
 VECTOR = ["fold", *CELL, "dow", "month"]
 
 
@@ -67,14 +69,6 @@ def vectors(days: DataFrame, cells: DataFrame, starts: list[tuple]) -> DataFrame
     })
 
 
-def chosen_rounds(errors: list[float], patience: int = PATIENCE, tolerance: float = TOLERANCE) -> int | None:
-    """Rounds to keep by the stop rule; None if the errors end before it holds."""
-    for last in range(patience, len(errors)):
-        if min(errors[last - patience + 1 : last + 1]) >= errors[last - patience] - tolerance:
-            return errors.index(min(errors[: last + 1])) + 1
-    return None
-
-
 def fit_risk(rows: DataFrame, features: list[str], rounds: int) -> tuple[VectorAssembler, GBTRegressionModel]:
     """Gradient-boosted trees on ``vectors`` of one fold, each weighing as many rows as it stands for. Spark's trees have no L2
     leaf penalty; a minimum leaf size regularises instead.
@@ -90,8 +84,8 @@ def fit_risk(rows: DataFrame, features: list[str], rounds: int) -> tuple[VectorA
 
     def trees(most: int) -> GBTRegressor:
         return GBTRegressor(
-            labelCol="mean", weightCol="n", featuresCol="features", predictionCol="raw", maxDepth=6, stepSize=0.08,
-            maxIter=most, minInstancesPerNode=5, maxBins=MAX_BINS, seed=SEED,
+            labelCol="mean", weightCol="n", featuresCol="features", predictionCol="raw", maxDepth=DEPTH,
+            stepSize=STEP, maxIter=most, minInstancesPerNode=LEAST_ROWS, maxBins=MAX_BINS, seed=SEED,
         )
 
     kept = min(rounds, PATIENCE)
@@ -112,6 +106,55 @@ def predict(rows: DataFrame, assembler: VectorAssembler, model: GBTRegressionMod
     return scored.withColumn("pred", F.greatest(F.col("raw"), F.lit(0.0))).drop("features", "raw")
 
 
+def boosted(rows: DataFrame, features: list[str], rounds: int, task_vectors: int = TASK_VECTORS) -> DataFrame:
+    """VECTOR and ``pred`` of all stored ``vectors`` of each fold by ``fit_risk`` of that fold; folds without a known vector are
+    left out.
+
+    Every fold of up to ``task_vectors`` is fitted by a task of its own, all in one job; the cells of a city box stay below
+    that whatever the log. Larger folds are fitted by jobs over all tasks, FOLDS_AT_ONCE at a time.
+    """
+    counts = rows.groupBy("fold").agg(F.count(F.lit(1)).alias("vectors"), F.count_if(F.col("n") > 0).alias("known"))
+    sizes = {r["fold"]: r["vectors"] for r in counts.filter("known > 0").collect()}  # one a week
+    own = sorted(k for k, n in sizes.items() if n <= task_vectors)
+    schema = rows.select(*VECTOR, F.lit(0.0).alias("pred")).schema
+    found = rows.sparkSession.createDataFrame([], schema)
+    if own:
+        task = F.array_position(F.array(*[F.lit(k) for k in own]), F.col("fold")).cast("int") - 1
+        dealt = rows.filter(F.col("fold").isin(own)).select(*dict.fromkeys([*VECTOR, *features, "y", "n", "held"]))
+        found = cut(dealt.repartitionById(len(own), task).mapInArrow(_folds_fit(features, rounds), schema))
+
+    def fold(k: int) -> DataFrame:
+        mine = rows.filter(F.col("fold") == k)
+        return cut(predict(mine, *fit_risk(mine, features, rounds)).select(*VECTOR, "pred"))
+
+    with ThreadPoolExecutor(FOLDS_AT_ONCE) as pool:
+        large = pool.map(inheritable_thread_target(rows.sparkSession)(fold), sorted(set(sizes) - set(own)))
+        return reduce(DataFrame.unionByName, large, found)
+
+
+def _folds_fit(features: list[str], rounds: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The folds of one task, one after another."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [b for b in batches if b.num_rows]
+        if not parts:
+            return
+        # In the order of the vectors, so that sums do not depend on how they were stored.
+        table = pa.Table.from_batches(parts).sort_by([(c, "ascending") for c in VECTOR])
+        place = table["fold"].to_numpy()
+        for k in np.unique(place):
+            mine = table.slice(np.searchsorted(place, k), np.count_nonzero(place == k))
+            if any(mine[c].null_count for c in features):
+                raise ValueError("a feature of a cell has no value")
+            values = np.stack([mine[c].to_numpy().astype(float) for c in features])
+            n = mine["n"].to_numpy().astype(float)
+            mean = mine["y"].to_numpy() / np.maximum(n, 1.0)
+            raw = fitted(values, mean, n, mine["held"].to_numpy(), rounds)
+            yield from mine.select(VECTOR).append_column("pred", pa.array(np.maximum(raw, 0.0))).to_batches()
+
+    return run
+
+
 def risk_forecast(days: DataFrame, rounds: int = RISK_ROUNDS, leaky: bool = False) -> DataFrame:
     """The panel with predicted impact; fitted on dates before the hold-out."""
     panel = cell_date_panel(days, leaky=leaky)
@@ -123,7 +166,7 @@ def risk_forecast(days: DataFrame, rounds: int = RISK_ROUNDS, leaky: bool = Fals
     rows = cut(vectors(days, cells, [(0, start)]))
     if rows.filter("n > 0").isEmpty():
         return panel.withColumn("pred", F.lit(0.0))
-    scored = predict(rows, *fit_risk(rows, RISK_FEATURES, rounds))
+    scored = boosted(rows, RISK_FEATURES, rounds)
     return panel.join(scored.select(*CELL, "dow", "month", "pred"), [*CELL, "dow", "month"])
 
 
@@ -166,7 +209,7 @@ def fold_cells(days: DataFrame, folds: int) -> DataFrame:
 
 def walk_forward_scores_model(days: DataFrame, rounds: int = FOLD_ROUNDS) -> DataFrame:
     """Predicted impact of every (fold, cell, date) of the fold's week by a model of the days before it: fold, train_days, cell,
-    date, y, score. The vectors of all folds are stored once; FOLDS_AT_ONCE fits share the cluster."""
+    date, y, score. The vectors of all folds are stored once."""
     dated = days.filter(F.col("date").isNotNull())
     found = dated.select(fold_count(dated).alias("f"), first_day(dated).alias("d")).first()
     folds = found["f"] if found and found["f"] else 0
@@ -177,13 +220,7 @@ def walk_forward_scores_model(days: DataFrame, rounds: int = FOLD_ROUNDS) -> Dat
     cells = cut(fold_cells(dated, folds))
     rows = cut(vectors(dated, cells, starts))
 
-    def fold(k: int) -> DataFrame:
-        own = rows.filter(F.col("fold") == k)
-        return cut(predict(own, *fit_risk(own, FOLD_FEATURES, rounds)).select(*VECTOR, F.col("pred").alias("score")))
-
-    held = sorted(r["fold"] for r in rows.filter("n > 0").select("fold").distinct().collect())  # one a week
-    with ThreadPoolExecutor(FOLDS_AT_ONCE) as pool:
-        scored = reduce(DataFrame.unionByName, pool.map(inheritable_thread_target(dated.sparkSession)(fold), held), rows.select(*VECTOR, F.lit(0.0).alias("score")).limit(0))
+    scored = boosted(rows, FOLD_FEATURES, rounds).withColumnRenamed("pred", "score")
     offsets = F.explode(F.sequence(F.lit(0), F.lit(S.FOLD_DAYS - 1)))
     train_days = F.lit(S.WARMUP_DAYS) + F.lit(S.FOLD_DAYS) * F.col("fold")
     week = cells.select("fold", *CELL, train_days.alias("train_days"), offsets.alias("_d"))
