@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +19,9 @@ from kerbwise.session import cut
 # Weights are held as whole millionths. Gains are then exact sums, and neither a
 # pick nor a tie depends on how the cells are partitioned.
 WEIGHT_SCALE = 1_000_000
+# Cells of all partitions, and pairs of cells in reach, up to which a task places all units of a partition. Beyond
+# them every unit is a round over all tasks. The picks are the same.
+TASK_CELLS, TASK_PAIRS = 100_000, 1_000_000
 
 
 def cells_in_reach(cells: DataFrame, km: float, strict: bool = False) -> DataFrame:
@@ -32,6 +38,7 @@ def greedy_cover(
     reach_km: float = S.REACH_KM,
     minsep_km: float = 0.0,
     order: Sequence[Column] | None = None,
+    task_cells: int = TASK_CELLS,
 ) -> DataFrame:
     """Pick ``units`` cells per partition, each adding the most uncovered weight.
 
@@ -40,7 +47,8 @@ def greedy_cover(
     the first cell by ``order`` (default ``gy, gx``). Returns one row per pick:
     partition, ``k``, cell, position, ``covers`` and ``total`` weight.
 
-    All partitions advance together, so there are ``units`` rounds however many
+    Up to ``task_cells`` cells, as a city has them, each partition is placed by one task, all in one job. Beyond, all
+    partitions advance together, so there are ``units`` rounds however many
     partitions there are. Gains are kept from round to round: a pick takes weight from
     the cells within reach of it, and only cells within reach of those lose gain. A
     round therefore moves one pick per partition and the few cells around it; the cells
@@ -48,14 +56,18 @@ def greedy_cover(
     written to the shared checkpoint folder, which keeps the plan of the next round short.
     """
     if not parts:
-        whole = greedy_cover(cells.withColumn("_whole", F.lit(0)), ["_whole"], units, reach_km, minsep_km, order)
+        whole = greedy_cover(cells.withColumn("_whole", F.lit(0)), ["_whole"], units, reach_km, minsep_km, order, task_cells)
         return whole.drop("_whole")
     parts = list(parts)
     order = order or [F.col("gy"), F.col("gx")]
     places = cells.select(*CELL, "lat", "lon").distinct()
-    near = cut(cells_in_reach(places, reach_km).select("gy_i", "gx_i", "gy_j", "gx_j"))
+    near = cut(cells_in_reach(places, reach_km))
     weight = F.rint(F.col("w") * F.lit(float(WEIGHT_SCALE))).cast("long")
     weighted = cut(cells.select(*parts, *CELL, "lat", "lon", weight.alias("w"), F.struct(*order).alias("ord")))
+    size = weighted.agg(F.count(F.lit(1)).alias("n"), F.count("w").alias("known")).first()
+    if minsep_km <= reach_km and size["n"] == size["known"] and size["n"] <= task_cells and near.count() <= TASK_PAIRS:
+        return _placed_in_tasks(weighted, near, parts, units, minsep_km)
+    near = near.drop("km")
     state = cut(
         weighted.join(_within_reach(weighted, near, parts, "w", "offer"), [*parts, *CELL]).withColumns(
             {
@@ -93,6 +105,61 @@ def greedy_cover(
     )
 
 
+def _placed_in_tasks(weighted: DataFrame, near: DataFrame, parts: list[str], units: int, minsep_km: float) -> DataFrame:
+    """``greedy_cover`` with a task per partition. Every cell carries the few cells in its reach."""
+    lists = near.groupBy(F.col("gy_i").alias("gy"), F.col("gx_i").alias("gx")).agg(
+        F.collect_list(F.struct("gy_j", "gx_j", "km")).alias("reach")
+    )
+    lists = lists.select(*CELL, *[F.col(f"reach.{c}").alias(c) for c in ("gy_j", "gx_j", "km")])
+    first = Window.partitionBy(*parts).orderBy("ord")
+    listed = weighted.withColumn("at", F.row_number().over(first)).drop("ord").join(lists, CELL).dropna(subset=parts)
+    scale, none = float(WEIGHT_SCALE), F.lit(None)
+    schema = listed.select(*parts, none.cast("int").alias("k"), *CELL, "lat", "lon", none.cast("long").alias("gain"), none.cast("long").alias("total")).schema
+    found = listed.groupBy(*parts).applyInArrow(_placement(schema.names, units, minsep_km), schema)
+    return found.withColumns({c: F.col(c) / F.lit(scale) for c in ("gain", "total")}).withColumnRenamed("gain", "covers")
+
+
+def _placement(names: list[str], units: int, minsep_km: float) -> Callable[[pa.Table], pa.Table]:
+    """All picks of one partition, round after round."""
+
+    def run(cells: pa.Table) -> pa.Table:
+        own = np.stack([cells[c].to_numpy() for c in CELL], axis=1)
+        there = np.stack([pc.list_flatten(cells[f"{c}_j"]).to_numpy() for c in CELL], axis=1)
+        code = np.unique(np.concatenate([own, there]), axis=0, return_inverse=True)[1].reshape(-1)
+        own, there = code[: len(own)], code[len(own) :]
+        here = np.repeat(np.arange(len(own)), pc.list_value_length(cells["km"]).to_numpy())
+        # A cell in reach is as many rows as it has in this partition.
+        by_code = np.argsort(own, kind="stable")
+        low, high = np.searchsorted(own[by_code], there, "left"), np.searchsorted(own[by_code], there, "right")
+        times = high - low
+        row, km = np.repeat(here, times), np.repeat(pc.list_flatten(cells["km"]).to_numpy(), times)
+        other = by_code[np.repeat(low, times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)]
+        starts = np.searchsorted(row, np.arange(len(own) + 1))
+        weight, at = cells["w"].to_numpy(), cells["at"].to_numpy()
+        offer = np.zeros(len(own), np.int64)
+        np.add.at(offer, row, weight[other])
+        left, free = weight.copy(), np.ones(len(own), bool)
+        picked, gain = np.zeros(len(own), np.int32), np.zeros(len(own), np.int64)
+        for k in range(1, units + 1):
+            if not free.any():
+                break
+            best = np.flatnonzero(free & (offer == offer[free].max()))
+            pick = best[at[best].argmin()]
+            taken, around = own == own[pick], slice(starts[pick], starts[pick + 1])
+            picked[taken], gain[taken] = k, offer[pick]
+            free[taken] = False
+            free[other[around][km[around] < minsep_km]] = False
+            for r in other[around]:
+                if left[r] > 0:
+                    np.subtract.at(offer, other[starts[r] : starts[r + 1]], left[r])
+            left[other[around]] = 0
+        total = np.full(len(own), weight.sum())
+        out = cells.append_column("k", pa.array(picked)).append_column("gain", pa.array(gain)).append_column("total", pa.array(total))
+        return out.filter(pa.array(picked > 0)).select(names)
+
+    return run
+
+
 def _within_reach(cells: DataFrame, near: DataFrame, parts: list[str], value: str, name: str) -> DataFrame:
     """Sum of ``value`` over the given cells in reach of each cell of the same partition."""
     met = cells.select(*parts, F.col("gy").alias("gy_j"), F.col("gx").alias("gx_j"), value).join(near, ["gy_j", "gx_j"])

@@ -39,13 +39,22 @@ def report_sections(enriched: DataFrame, forecast: Callable[[], DataFrame] | Non
     """Every section of the feed. ``forecast`` returns the model's
     forecast; without it heat, plan, reach and learning curve come from plain averages.
 
-    What the sections share is computed first, independent parts at the same time: the boosting of the forecast and of
-    the weekly fits is thousands of short jobs, which leave room for the joins and counts of the others.
+    Sections and what they share are computed and stored at the same time wherever one does not need the other: greedy
+    rounds and the fit of the forest are many short jobs, which leave room for the joins and counts of the others. The feed
+    is then one pass over small stored tables.
     """
-    def surfaces() -> tuple[DataFrame | None, DataFrame, DataFrame]:
+    spark = enriched.sparkSession
+
+    def surfaces() -> dict[str, DataFrame]:
         predicted = forecast() if forecast else None
         risk = cut(models.risk_surface_model(predicted) if forecast else surface.weekday_risk(enriched))
-        return predicted, risk, cut(cover.deploy_by_dow(risk))
+        plan = cut(cover.deploy_by_dow(risk))
+        reached = evaluate.reach(enriched, plan)
+        found = together(
+            spark, counterfactual=lambda: cut(evaluate.counterfactual(reached)), equity=lambda: cut(evaluate.equity_by_zone(reached)),
+            **({"metrics": lambda: cut(models.risk_metrics(predicted))} if forecast else {}),
+        )
+        return found | {"risk": risk, "plan": plan}
 
     def weekly() -> DataFrame:
         days = surface.cell_days(enriched)
@@ -53,71 +62,85 @@ def report_sections(enriched: DataFrame, forecast: Callable[[], DataFrame] | Non
             return cut(models.walk_forward_model(days))
         return cut(evaluate.walk_forward(evaluate.walk_forward_scores(days)))
 
-    def clearances() -> tuple[DataFrame, DataFrame | None]:
+    def clearance() -> DataFrame:
         if forecast:
-            return cut(models.clearance_table(enriched)), cut(models.clearance_metrics(enriched))
-        return models.clearance_by_cause(enriched).select("cause", "p50_min", "p90_min"), None
+            return cut(models.clearance_table(enriched))
+        return cut(models.clearance_by_cause(enriched).select("cause", "p50_min", "p90_min"))
+
+    def clearance_errors() -> DataFrame | None:
+        return cut(models.clearance_metrics(enriched)) if forecast else None
 
-    def covered() -> tuple[DataFrame, DataFrame, DataFrame]:
+    def covered() -> dict[str, DataFrame]:
         cells = cut(surface.risk_cells(enriched))
-        busiest = cover.preposition_busiest(cells, surface.cell_dow_load(enriched))
-        return cells, cut(cover.coverage_curve(cells)), cut(busiest)
+        return together(
+            spark, curve=lambda: cut(cover.coverage_curve(cells)),
+            busiest=lambda: cut(cover.preposition_busiest(cells, surface.cell_dow_load(enriched))),
+        )
 
-    def linked() -> tuple[Network, DataFrame, DataFrame, DataFrame]:
+    def linked() -> dict[str, DataFrame]:
         network = Network(enriched)
-        return network, cut(network.edges), cut(network.blast), cut(network.diversion)
-
+        diversion = cut(network.diversion)
+        return together(
+            spark, nodes=lambda: network.nodes, edges=lambda: cut(network.edges), blast=lambda: cut(network.blast),
+            cascade=lambda: cut(network.cascade), diversion=lambda: diversion,
+            barricades=lambda: cut(barricade.barricade_plan(barricade.barricade_zones(enriched), diversion)),
+        )
+
+    def flagged() -> DataFrame:
+        days = cut(anomaly.abnormal_days(enriched))
+        return cut(anomaly.abnormal_context(enriched, days))
+
+    causes = enriched.groupBy("cause").agg(F.count(F.lit(1)).alias("incidents"))
     shared = together(
-        enriched.sparkSession, surfaces=surfaces, weekly=weekly, clearances=clearances, covered=covered, linked=linked,
-        gatherings=lambda: cut(bursts.burst_dedup(bursts.burst_score(enriched))),
-        flagged=lambda: cut(anomaly.abnormal_days(enriched)), confidence=lambda: cut(evaluate.cell_confidence(enriched)),
+        spark, surfaces=surfaces, weekly=weekly, clearance=clearance, clearance_errors=clearance_errors, covered=covered,
+        linked=linked, flagged=flagged, gatherings=lambda: cut(bursts.burst_dedup(bursts.burst_score(enriched))),
+        confidence=lambda: cut(evaluate.confidence_audit(evaluate.cell_confidence(enriched))),
+        meta=lambda: cut(evaluate.summary_meta(enriched)), hotspots=lambda: cut(surface.hotspots(enriched)),
+        planned=lambda: cut(planned.planned_p90(enriched)), scenarios=lambda: cut(planned.scenario_archetypes(enriched)),
+        dow_load=lambda: cut(anomaly.dow_load(enriched)), corridor_load=lambda: cut(anomaly.corridor_load(enriched)),
+        causes=lambda: cut(causes),
     )
-    (predicted, risk, plan), learning = shared["surfaces"], shared["weekly"]
-    clearance, clearance_errors = shared["clearances"]
-    cells, curve, busiest = shared["covered"]
-    network, edges, blast, diversion = shared["linked"]
-    flagged, confidence = shared["flagged"], shared["confidence"]
-    reached = evaluate.reach(enriched, plan)
-    scenarios = planned.scenario_archetypes(enriched)
+    surfaced, network, curve = shared["surfaces"], shared["linked"], shared["covered"]["curve"]
+    risk, plan, learning = surfaced["risk"], surfaced["plan"], shared["weekly"]
     rec = sinks.records
     sections = {
-        "meta": rec(evaluate.summary_meta(enriched), ["incidents"]),
+        "meta": rec(shared["meta"], ["incidents"]),
         "heat": rec(surface.heat(risk), ["gy", "gx"], ["lat", "lon", "exp_impact"]),
-        "hotspots": rec(surface.hotspots(enriched).withColumn("o", -F.col("per_day")), ["o", "gy", "gx"],
+        "hotspots": rec(shared["hotspots"].withColumn("o", -F.col("per_day")), ["o", "gy", "gx"],
                         ["lat", "lon", "n", "per_day", "cause", "corridor"]),
         "deploy_by_dow": sinks.grouped(plan, "dow", ["k"], ["lat", "lon", "covers", "cum_coverage_pct"]),
-        "clearance_by_cause": rec(clearance.withColumn("o", -F.col("p90_min")), ["o", "cause"],
+        "clearance_by_cause": rec(shared["clearance"].withColumn("o", -F.col("p90_min")), ["o", "cause"],
                                   ["cause", "p50_min", "p90_min"]),
-        "planned_archetypes": rec(planned.planned_p90(enriched), ["archetype"]),
-        "dow_load": sinks.mapping(anomaly.dow_load(enriched), "dow", F.col("impact")),
-        "corridor_load": sinks.mapping(anomaly.corridor_load(enriched), "corridor", F.col("impact")),
-        "nodes": rec(network.nodes, ["corridor"]),
-        "top_edges": rec(top_edges(edges).withColumn("o", -F.col("lift")), ["o", "src", "dst"],
+        "planned_archetypes": rec(shared["planned"], ["archetype"]),
+        "dow_load": sinks.mapping(shared["dow_load"], "dow", F.col("impact")),
+        "corridor_load": sinks.mapping(shared["corridor_load"], "corridor", F.col("impact")),
+        "nodes": rec(network["nodes"], ["corridor"]),
+        "top_edges": rec(top_edges(network["edges"]).withColumn("o", -F.col("lift")), ["o", "src", "dst"],
                          ["src", "dst", "count", "lift"]),
-        "blast": sinks.grouped(blast, "src", ["rank"], ["dst", "lift"]),
-        "diversion": sinks.grouped(diversion, "src", ["rank"], ["dst", "km"]),
+        "blast": sinks.grouped(network["blast"], "src", ["rank"], ["dst", "lift"]),
+        "diversion": sinks.grouped(network["diversion"], "src", ["rank"], ["dst", "km"]),
         "coverage_curve": rec(curve, ["k"], ["k", "lat", "lon", "cum_coverage_pct"]),
         "units_for": rec(cover.marginal_units(curve), ["u_for_50"]),
-        "abnormal_days": rec(anomaly.abnormal_context(enriched, flagged).withColumn("o", -F.col("z")), ["o", "date"],
+        "abnormal_days": rec(shared["flagged"].withColumn("o", -F.col("z")), ["o", "date"],
                              ["date", "z", "impact", "cause", "event"]),
-        "barricading": rec(barricade.barricade_plan(barricade.barricade_zones(enriched), diversion), ["gy", "gx"]),
+        "barricading": rec(network["barricades"], ["gy", "gx"]),
         "learning_curve": rec(learning, ["week"]),
         "gatherings": rec(shared["gatherings"].withColumn("o", -F.col("size")), ["o", "started"],
                           ["started", "lat", "lon", "size", "area", "cause", "mix", "text"]),
-        "scenario_archetypes": rec(scenarios.withColumn("o", -F.col("bump")), ["o", "name"],
+        "scenario_archetypes": rec(shared["scenarios"].withColumn("o", -F.col("bump")), ["o", "name"],
                                    ["name", "lat", "lon", "bump", "events", "p90_hold"]),
         "scenario_cells": rec(surface.dow_vector(risk), ["gy", "gx"], ["lat", "lon", "w"]),
-        "cascade": rec(network.cascade, ["corridor"]),
-        "counterfactual": rec(evaluate.counterfactual(reached), ["reach_pct"]),
-        "equity": rec(evaluate.equity_by_zone(reached), ["reached_pct", "zone"]),
-        "confidence_audit": rec(evaluate.confidence_audit(confidence), ["confidence", "gy", "gx"]),
+        "cascade": rec(network["cascade"], ["corridor"]),
+        "counterfactual": rec(surfaced["counterfactual"], ["reach_pct"]),
+        "equity": rec(surfaced["equity"], ["reached_pct", "zone"]),
+        "confidence_audit": rec(shared["confidence"], ["confidence", "gy", "gx"]),
     }
-    sections["preposition"] = rec(busiest, ["k"], ["dow", "k", "lat", "lon", "anchor_corridor", "covers", "cum_coverage_pct"])
-    urgency = enriched.groupBy("cause").agg(F.count(F.lit(1)).alias("incidents")).withColumn("tier", urgency_tier(F.col("cause")))
+    sections["preposition"] = rec(shared["covered"]["busiest"], ["k"], ["dow", "k", "lat", "lon", "anchor_corridor", "covers", "cum_coverage_pct"])
+    urgency = shared["causes"].withColumn("tier", urgency_tier(F.col("cause")))
     sections["urgency"] = rec(urgency.withColumn("response", urgency_label(F.col("tier"))), ["cause"], ["cause", "incidents", "tier", "response"])
-    if predicted is not None:
-        sections["risk_metrics"] = rec(models.risk_metrics(predicted), ["n_cells"])
-        sections["clearance_metrics"] = rec(clearance_errors, ["p50_mae"])
+    if forecast:
+        sections["risk_metrics"] = rec(surfaced["metrics"], ["n_cells"])
+        sections["clearance_metrics"] = rec(shared["clearance_errors"], ["p50_mae"])
     return sections
 
 
@@ -148,8 +171,12 @@ def run(spark: SparkSession, raw: DataFrame, folder: str, with_models: bool = Tr
         predicted.append(cut(models.risk_forecast(surface.cell_days(stored))))
         return predicted[0]
 
+    def document() -> DataFrame:
+        feed = sinks.document(spark, sections)
+        sinks.write_feed(feed, f"{folder}/feed")
+        return feed
+
     sections = report_sections(stored, forecast if with_models else None)
-    write_stage_tables(stored, folder, models.risk_surface_model(predicted[0]) if with_models else None)
-    feed = sinks.document(spark, sections)
-    sinks.write_feed(feed, f"{folder}/feed")
-    return sinks.feed_rows(feed)
+    risk = models.risk_surface_model(predicted[0]) if with_models else None
+    written = together(spark, tables=lambda: write_stage_tables(stored, folder, risk), feed=document)
+    return sinks.feed_rows(written["feed"])

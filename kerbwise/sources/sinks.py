@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import json
 from dataclasses import dataclass
-from functools import reduce
+from functools import partial, reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kerbwise.session import cut, sized
+from kerbwise.session import cut, sized, together
 
 # Sorted by these, the lines of a feed are its text.
 LINE_ORDER = ["n", "part", "key", "level", "place", "json", "row"]
@@ -39,7 +39,11 @@ def write_table(df: DataFrame, path: str, partition_by: str | None = None, forma
 
 
 def write_tables(tables: dict[str, DataFrame], folder: str, partitions: dict[str, str]) -> dict[str, DataFrame]:
-    return {name: write_table(df, f"{folder}/{name}", partitions.get(name)) for name, df in tables.items()}
+    """Tables that do not need each other, written at the same time."""
+    if not tables:
+        return {}
+    spark = next(iter(tables.values())).sparkSession
+    return together(spark, **{n: partial(write_table, df, f"{folder}/{n}", partitions.get(n)) for n, df in tables.items()})
 
 
 @dataclass(frozen=True)
