@@ -7,14 +7,18 @@ from pyspark.sql import functions as F
 
 from kerbwise import settings as S
 from kerbwise.functions.numbers import round_half_even
-from kerbwise.operators.neighbours import PAIR_LIMIT, PLACE_TIME, following, place_time_counts
+from kerbwise.operators.neighbours import PAIR_LIMIT, PLACE_TIME, following, place_time_counts, surroundings
 from kerbwise.session import cut, shuffled
 
 
 def cause_neighbours(enriched: DataFrame, pair_limit: int = PAIR_LIMIT) -> DataFrame:
     """Neighbour counts per anchor place and time and per cause: ``(t_s, lat, lon, cause, n)``."""
     counts = cut(place_time_counts(enriched, "cause"))
-    anchors = counts.select(*PLACE_TIME).distinct()
+    return neighbours_from(counts, counts.select(*PLACE_TIME).distinct(), pair_limit)
+
+
+def neighbours_from(counts: DataFrame, anchors: DataFrame, pair_limit: int = PAIR_LIMIT) -> DataFrame:
+    """``cause_neighbours`` from stored ``place_time_counts``."""
     found = following(anchors, counts, "cause", S.BURST_KM, S.PAIR_WINDOW_SEC, pair_limit=pair_limit)
     return found.groupBy(*PLACE_TIME, F.col("p_cause").alias("cause")).agg(F.sum("p_n").alias("n"))
 
@@ -30,9 +34,14 @@ def neighbourhood_figures() -> list[Column]:
     ]
 
 
-def neighbourhoods(enriched: DataFrame) -> DataFrame:
-    """Figures of the neighbourhood of each anchor place and second."""
-    return cause_neighbours(enriched).groupBy(*PLACE_TIME).agg(*neighbourhood_figures())
+def neighbourhoods(enriched: DataFrame, pair_limit: int = PAIR_LIMIT) -> DataFrame:
+    """Figures of the neighbourhood of each anchor place and second, found where the anchor is compared unless a box is crowded."""
+    counts = cut(place_time_counts(enriched, "cause"))
+    anchors = counts.select(*PLACE_TIME).distinct()
+    found = surroundings(anchors, counts, "cause", S.BURST_KM, S.PAIR_WINDOW_SEC, S.LIVE_CAUSES, pair_limit)
+    if found is not None:
+        return found
+    return neighbours_from(counts, anchors, pair_limit).groupBy(*PLACE_TIME).agg(*neighbourhood_figures())
 
 
 def with_place_time(enriched: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import threading
+import weakref
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 from datetime import timedelta
@@ -308,14 +310,40 @@ class ClearanceForest:
 PROFILE = ["cause", "high", "closure", "corridor_crit", "is_corridor"]
 
 
+class ClearanceFit:
+    """The modelled rows of a log, the last training instant and the forest of the rows up to it, computed when first asked for."""
+
+    def __init__(self, enriched: DataFrame):
+        self._enriched, self._lock, self._found = weakref.ref(enriched), threading.Lock(), None
+
+    def get(self) -> tuple[DataFrame, Column, ClearanceForest]:
+        with self._lock:
+            if self._found is None:
+                rows = cut(clearance_rows(self._enriched()))
+                limit = clearance_cut(rows)
+                train = cut(rows.filter(F.col("t_event") <= limit))
+                self._found = rows, limit, ClearanceForest().fit(train, rows.select("cause").distinct())
+            return self._found
+
+
+# By the frame of the log, as long as it lives.
+_FITS: weakref.WeakKeyDictionary[DataFrame, ClearanceFit] = weakref.WeakKeyDictionary()
+_FITS_LOCK = threading.Lock()
+
+
+def clearance_fit(enriched: DataFrame) -> tuple[DataFrame, Column, ClearanceForest]:
+    """The fit of one log, made once however many tables, at the same time or later, ask for it."""
+    with _FITS_LOCK:
+        fit = _FITS.setdefault(enriched, ClearanceFit(enriched))
+    return fit.get()
+
+
 def clearance_predictions(enriched: DataFrame) -> DataFrame:
     """Test rows grouped by feature profile with their predicted quantiles.
 
     Rows with equal features have equal predictions, so profiles are scored once.
     """
-    rows = cut(clearance_rows(enriched))
-    limit = clearance_cut(rows)
-    forest = ClearanceForest().fit(cut(rows.filter(F.col("t_event") <= limit)), rows.select("cause").distinct())
+    rows, limit, forest = clearance_fit(enriched)
     profiles = cut(
         rows.filter(F.col("t_event") > limit)
         .groupBy(*PROFILE, "dur_trust_us")
@@ -368,11 +396,9 @@ def baseline_metrics(enriched: DataFrame) -> DataFrame:
 
 def clearance_table(enriched: DataFrame, forest: ClearanceForest | None = None) -> DataFrame:
     """Predicted P50 and P90 per cause at one fixed profile."""
-    rows = cut(clearance_rows(enriched))
+    rows, _, fitted_forest = clearance_fit(enriched) if forest is None else (cut(clearance_rows(enriched)), None, None)
+    forest = forest or fitted_forest
     causes = cut(rows.select("cause").distinct())
-    if forest is None:
-        limit = clearance_cut(rows)
-        forest = ClearanceForest().fit(cut(rows.filter(F.col("t_event") <= limit)), causes)
     profile = causes.select(
         "cause", F.lit(1).alias("high"), F.lit(0).alias("closure"), F.lit(1.5).alias("corridor_crit"),
         F.lit(1).alias("is_corridor"),

@@ -74,11 +74,7 @@ def following(
     those entirely out of reach are dropped, and only what remains on the rim is
     compared. A box that holds much of the log is thus counted, not paired.
     """
-    # The box width holds for the highest latitude that occurs; one number from stored counts.
-    latitude = points.agg(F.max(F.abs("lat"))).first()[0]
-    height, width = bucket_degrees(km, latitude or 0.0)
-    sizes = (float(seconds * SLAB), height * SIDE, width * SIDE)
-    heavy = sized(_heavy_neighbours(anchors, points, sizes, pair_limit))
+    sizes, reach, heavy, any_heavy = _boxes(anchors, points, km, seconds, pair_limit)
     own = [label] if per_label else PLACE_TIME
     others = points.select(*[F.col(c).alias(f"p_{c}") for c in ("t_s", "lat", "lon", label, "n")])
     kinds = dict(anchors.dtypes) | dict(others.dtypes)
@@ -88,8 +84,7 @@ def following(
     def compared(here: DataFrame, there: DataFrame, keys: list[str]) -> DataFrame:
         return here.groupBy(*keys).cogroup(there.groupBy(*keys)).applyInArrow(compare, schema)
 
-    offered = _offer_points(_boxed(others, "p_", sizes, 0), sizes, (float(seconds), height, width))
-    any_heavy = not heavy.isEmpty()
+    offered = _offer_points(_boxed(others, "p_", sizes, 0), sizes, reach)
     if any_heavy:
         offered = offered.join(heavy, A_BOX + P_BOX, "left_anti")
     found = compared(_boxed(anchors, "", sizes, 0), offered, A_BOX)
@@ -123,8 +118,54 @@ def following(
     return found
 
 
-def _comparison(label: str, km: float, seconds: int, per_label: bool) -> Callable[[pa.Table, pa.Table], pa.Table]:
-    """``following`` for the anchors and points of one box."""
+def _boxes(
+    anchors: DataFrame, points: DataFrame, km: float, seconds: int, pair_limit: int
+) -> tuple[tuple[float, float, float], tuple[float, float, float], DataFrame, bool]:
+    """Sides and reach of the largest boxes, the neighbouring ones that are too crowded for a task, and whether there are any."""
+    # The box width holds for the highest latitude that occurs; one number from stored counts.
+    latitude = points.agg(F.max(F.abs("lat"))).first()[0]
+    height, width = bucket_degrees(km, latitude or 0.0)
+    sizes = (float(seconds * SLAB), height * SIDE, width * SIDE)
+    heavy = sized(_heavy_neighbours(anchors, points, sizes, pair_limit))
+    return sizes, (float(seconds), height, width), heavy, not heavy.isEmpty()
+
+
+def surroundings(
+    anchors: DataFrame, points: DataFrame, label: str, km: float, seconds: int, marked: tuple[str, ...], pair_limit: int = PAIR_LIMIT
+) -> DataFrame | None:
+    """Per anchor of ``following`` one row: number of its points ``size``, of their labels ``mix``, count ``dom_n`` and name
+    ``dom_<label>`` of the most frequent (of equals the smallest), and whether a label is one of ``marked``: ``live``.
+
+    A box sees all points of its anchors, so they are summed up where they are compared, and no row per label moves. None
+    if any box is too crowded for that.
+    """
+    sizes, reach, _, any_heavy = _boxes(anchors, points, km, seconds, pair_limit)
+    if any_heavy:
+        return None
+    others = points.select(*[F.col(c).alias(f"p_{c}") for c in ("t_s", "lat", "lon", label, "n")])
+    offered = _offer_points(_boxed(others, "p_", sizes, 0), sizes, reach)
+    kinds = dict(anchors.dtypes) | dict(points.dtypes)
+    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in PLACE_TIME), "size long, mix long, dom_n long", f"`dom_{label}` {kinds[label]}", "live boolean"])
+    compare = _comparison(label, km, seconds, False, marked)
+    here = _boxed(anchors.select(*PLACE_TIME), "", sizes, 0)
+    return here.groupBy(*A_BOX).cogroup(offered.groupBy(*A_BOX)).applyInArrow(compare, schema)
+
+
+def _comparison(label: str, km: float, seconds: int, per_label: bool, marked: tuple[str, ...] | None = None) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """``following`` for the anchors and points of one box; with ``marked`` the figures of ``surroundings``."""
+
+    def figures(anchors: pa.Table, blocks: Iterator[tuple[np.ndarray, np.ndarray]], names: pa.Array) -> pa.Table:
+        among, known = (np.array(x.to_pylist(), bool) for x in (pc.is_in(names, pa.array(marked, names.type)), pc.is_valid(names)))
+        parts = [(np.zeros(0, np.int64),) * 5 + (np.zeros(0, bool),) * 2]
+        for rows, sums in blocks:
+            rows, sums = rows[some := sums.any(axis=1)], sums[some]
+            # Names are in order, so the first of the largest counts has the smallest. Null takes no part in ``live``.
+            code = sums.argmax(axis=1)
+            most = sums[np.arange(len(rows)), code]
+            parts.append((rows, sums.sum(axis=1), np.count_nonzero(sums, axis=1), most, code, sums[:, among & known].any(axis=1), ~sums[:, known].any(axis=1)))
+        rows, size, mix, most, code, live, unknown = (np.concatenate(x) for x in zip(*parts))
+        found = {c: anchors[c].take(pa.array(rows)) for c in PLACE_TIME} | {"size": size, "mix": mix, "dom_n": most}
+        return pa.table(found | {f"dom_{label}": names.take(pa.array(code)), "live": pa.array(live, mask=unknown)})
 
     def run(anchors: pa.Table, points: pa.Table) -> pa.Table:
         names, (a_code, p_code) = label_codes(anchors[label] if per_label else None, points[f"p_{label}"])
@@ -141,6 +182,9 @@ def _comparison(label: str, km: float, seconds: int, per_label: bool) -> Callabl
             first = np.searchsorted(sides[1][0], times, "left")
         last = np.maximum(first, np.searchsorted(sides[1][0], times + seconds, "right"))
         rows, labels, counts = [], [], []
+        if marked is not None:
+            blocks = near_sums(*sides, first, last, p_code, weight, codes, km)
+            return figures(anchors, ((a_order[block], sums) for block, sums in blocks), names)
         total = np.zeros((codes, codes) if per_label else (0, 0), np.int64)
         for block, sums in near_sums(*sides, first, last, p_code, weight, codes, km):
             if per_label:
