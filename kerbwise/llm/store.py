@@ -4,12 +4,11 @@ from __future__ import annotations
 
 import uuid
 
-from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kerbwise.llm.words import give_back
-from kerbwise.session import BROADCAST_ROW_LIMIT, shared_dir
+from kerbwise.session import BROADCAST_ROW_LIMIT, shared_dir, trim_jvm
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
@@ -18,21 +17,9 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 
 
 def give_back_driver(spark: SparkSession) -> None:
-    """Return freed memory of the driver, of its Python and of its JVM. What the JVM's compilers and libraries free stays in
-    the C library's arenas, one for each of many threads, and grows with every plan; a JVM that cannot hand it back is left
-    as it is."""
+    """Return freed memory of the driver, of its Python and of its JVM."""
     give_back()
-    if not hasattr(spark, "_jvm"):
-        return
-    jvm = spark._jvm
-    try:
-        server = jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer()
-        call = next(m for m in jvm.java.lang.Class.forName("javax.management.MBeanServer").getMethods() if m.getName() == "invoke")
-        given = spark.sparkContext._gateway.new_array(jvm.java.lang.Object, 4)
-        given[0], given[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
-        call.invoke(server, given)
-    except Py4JError:
-        pass
+    trim_jvm(spark)
 
 
 def stored(df: DataFrame, name: str = "table") -> DataFrame:

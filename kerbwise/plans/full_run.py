@@ -39,9 +39,9 @@ def report_sections(enriched: DataFrame, forecast: Callable[[], DataFrame] | Non
     """Every section of the feed. ``forecast`` returns the model's
     forecast; without it heat, plan, reach and learning curve come from plain averages.
 
-    Sections and what they share are computed and stored at the same time wherever one does not need the other: greedy
-    rounds and the fit of the forest are many short jobs, which leave room for the joins and counts of the others. The feed
-    is then one pass over small stored tables.
+    Sections and what they share are computed and stored at the same time wherever one does not need the other, those with
+    the longest rows of jobs first: many are short and leave room for the joins and counts of the others. The feed is then
+    one pass over small stored tables.
     """
     spark = enriched.sparkSession
 
@@ -92,13 +92,13 @@ def report_sections(enriched: DataFrame, forecast: Callable[[], DataFrame] | Non
 
     causes = enriched.groupBy("cause").agg(F.count(F.lit(1)).alias("incidents"))
     shared = together(
-        spark, surfaces=surfaces, weekly=weekly, clearance=clearance, clearance_errors=clearance_errors, covered=covered,
-        linked=linked, flagged=flagged, gatherings=lambda: cut(bursts.burst_dedup(bursts.burst_score(enriched))),
+        spark, surfaces=surfaces, weekly=weekly, linked=linked, clearance=clearance,
+        gatherings=lambda: cut(bursts.burst_dedup(bursts.burst_score(enriched))), covered=covered, flagged=flagged,
         confidence=lambda: cut(evaluate.confidence_audit(evaluate.cell_confidence(enriched))),
         meta=lambda: cut(evaluate.summary_meta(enriched)), hotspots=lambda: cut(surface.hotspots(enriched)),
         planned=lambda: cut(planned.planned_p90(enriched)), scenarios=lambda: cut(planned.scenario_archetypes(enriched)),
         dow_load=lambda: cut(anomaly.dow_load(enriched)), corridor_load=lambda: cut(anomaly.corridor_load(enriched)),
-        causes=lambda: cut(causes),
+        causes=lambda: cut(causes), clearance_errors=clearance_errors,
     )
     surfaced, network, curve = shared["surfaces"], shared["linked"], shared["covered"]["curve"]
     risk, plan, learning = surfaced["risk"], surfaced["plan"], shared["weekly"]
