@@ -130,8 +130,9 @@ def boosted(rows: DataFrame, features: list[str], rounds: int, task_vectors: int
         return cut(predict(mine, *fit_risk(mine, features, rounds)).select(*VECTOR, "pred"))
 
     with ThreadPoolExecutor(FOLDS_AT_ONCE) as pool:
-        large = pool.map(inheritable_thread_target(rows.sparkSession)(fold), sorted(set(sizes) - set(own)))
-        return reduce(DataFrame.unionByName, large, found)
+        # Wrapped once a fold: threads that share the properties of one wrapping take each other's query numbers.
+        large = [pool.submit(inheritable_thread_target(rows.sparkSession)(fold), k) for k in sorted(set(sizes) - set(own))]
+        return reduce(DataFrame.unionByName, [x.result() for x in large], found)
 
 
 def _folds_fit(features: list[str], rounds: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:

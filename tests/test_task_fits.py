@@ -75,3 +75,18 @@ def test_weekly_fits_are_not_a_job_per_tree_level(spark):
         context.setLocalProperty("spark.jobGroup.id", None)
     assert len(weeks) >= 5
     assert 0 < len(context.statusTracker().getJobIdsForGroup(group)) < 60  # was some ten a round and fold
+
+
+def test_folds_fitted_by_jobs_do_not_share_a_threads_properties(spark, monkeypatch):
+    wrap, wrapped = models.inheritable_thread_target, []
+
+    def noted(session):
+        def one(f):
+            wrapped.append(f)
+            return wrap(session)(f)
+
+        return one
+
+    monkeypatch.setattr(models, "inheritable_thread_target", noted)
+    assert models.boosted(vectors_of(spark, [0, 1], 60), FEATURES, 2, task_vectors=0).count() == 120
+    assert len(wrapped) == 2  # one wrapping for all threads failed at times: Cannot parse null string
